@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op10_byte_bpe
+from .fingerprints import op5_spotsigs
 from .language_id import op2_language_id
+from .near_dedup import op1_chosen_path
+from .nearest import op6_score_aware_search
 from .packing import op7_vector_packing
 from .quality import op9_quality
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_token_counts, op7_vector_packing, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chosen_path, op2_language_id, op3_token_counts, op5_spotsigs, op6_score_aware_search, op7_vector_packing, op9_quality, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
