@@ -9,7 +9,8 @@ from .near_dedup import op1_chosen_path
 from .nearest import op6_score_aware_search
 from .packing import op7_vector_packing
 from .quality import op9_quality
+from .repeats import op4_merged_suffixes
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_chosen_path, op2_language_id, op3_token_counts, op5_spotsigs, op6_score_aware_search, op7_vector_packing, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_chosen_path, op2_language_id, op3_token_counts, op4_merged_suffixes, op5_spotsigs, op6_score_aware_search, op7_vector_packing, op9_quality, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
