@@ -1,0 +1 @@
+"""Ready-made Spark jobs for location and table analytics."""
