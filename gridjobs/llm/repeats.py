@@ -34,7 +34,7 @@ LENGTH = 100
 GRAM = 32
 HOT = 50_000
 #: Bytes of one merged collection and of one shard, about.
-COLLECTION, SHARD = 1 << 20, 1 << 17
+COLLECTION, SHARD = 1 << 18, 1 << 16
 INTERVALS = "doc_id long, start long, stop long"
 
 
@@ -127,37 +127,41 @@ def suffixes(text: np.ndarray, end: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_transforms(shards: list[tuple[np.ndarray, int]], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges shards' transforms by ``rounds`` refinements of their interleave.
 
-    shards: (transform, number of strings) each. Gives, for each suffix of all shards in turn, its merged place, and by
-    merged place the block of suffixes alike in ``rounds`` symbols, and the common prefix with the suffix before
-    (``rounds`` if at least that).
+    shards: (transform, number of strings) each. The interleave is kept as the place of each merged suffix within its
+    shard, so a round is a counting sort by symbol and a step from each suffix to the one that is a symbol longer.
+    Gives, for each suffix of all shards in turn, its merged place, and by merged place the block of suffixes alike in
+    ``rounds`` symbols, and the common prefix with the suffix before (``rounds`` if at least that).
     """
     symbols = np.concatenate([b for b, _ in shards])
-    strings = [int(k) for _, k in shards]
-    small = np.uint8 if len(shards) < 256 else np.uint16
-    fixed = np.repeat(np.arange(len(shards)), strings).astype(small)  # the ends of strings, which come first
-    leave = np.concatenate([np.full(len(b) - k, j, small) for j, ((b, _), k) in enumerate(zip(shards, strings, strict=True))])
-    shard, top = np.concatenate([fixed, leave]), len(fixed)
-    block = np.zeros(len(shard), np.int32)
-    prefix = np.full(len(shard), rounds, np.int16)
-    prefix[: top + 1] = 0
-    for h in range(1, rounds + 1):
-        place = np.argsort(shard, kind="stable")
-        merged = np.empty(len(shard), np.uint8)
-        merged[place] = symbols
-        inner = np.flatnonzero(merged)
-        order = inner[np.argsort(merged[inner], kind="stable")]
-        shard = np.concatenate([fixed, shard[order]])
-        came, symbol = block[order], merged[order]
-        new = np.ones(len(shard), bool)
+    longer = np.zeros(len(symbols), np.int32)  # by place: that of the suffix with the symbol before it
+    ends, rest, base = [], [], 0  # the ends of strings come first
+    for b, k in shards:
+        inner = np.flatnonzero(b).astype(np.int32)
+        longer[base + inner[np.argsort(b[inner], kind="stable")]] = base + k + np.arange(len(inner), dtype=np.int32)
+        ends.append(base + np.arange(k, dtype=np.int32))
+        rest.append(base + np.arange(k, len(b), dtype=np.int32))
+        base += len(b)
+    fixed, top = np.concatenate(ends), sum(k for _, k in shards)
+    at = np.concatenate([fixed, *rest])
+    block = np.zeros(len(at), np.int32)
+    prefix = np.zeros(len(at), np.int16)  # rounds without a boundary
+    new = np.ones(len(at), bool)
+    for _ in range(rounds):
+        merged = symbols[at]
+        order = np.argsort(merged, kind="stable")[top:]  # behind the symbols that end strings, as many as strings
+        symbol, came = merged[order], block[order]
+        at = np.concatenate([fixed, longer[at[order]]])
         new[top + 1 :] = (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
-        prefix[new & (prefix == rounds)] = h - 1
-        block = (np.cumsum(new) - 1).astype(np.int32)
+        prefix += ~new
+        np.cumsum(new, out=block)
         if new.all():
             break
-    return np.argsort(shard, kind="stable"), block, prefix
+    place = np.empty(len(at), np.int64)
+    place[at] = np.arange(len(at))
+    return place, block - 1, prefix
 
 
 def repeated(strings: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
