@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side of at most so many rows of a few numbers may be broadcast (about 16 MB at 32 bytes a row).
-BROADCAST_ROWS = 500_000
+#: A join side of at most so many rows of a few numbers may be broadcast (about 32 MB at 32 bytes a row).
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
