@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -11,7 +12,12 @@ from ..sources import files
 from ..streaming import jobs
 from .base import POINTS, query, tc, up
 
-one = F.count(F.lit(1))
+
+
+def one() -> Column:
+    """The number of rows."""
+    return F.count(F.lit(1))
+
 
 
 @query("SRC1_csv", "select s_suppkey, s_name, s_nationkey from supplier")
@@ -91,7 +97,7 @@ def snk2(t):
 @query("SRC12_pyramid_level", f"select {up(6, 4)} as cell, count(*) as cnt from (select {tc(6)} as cell from {POINTS}) group by 1")
 def src12(t):
     path = files.workspace(t.spark, "pyramid")
-    cells = t.points.groupBy(geo.tile_cell("lng", "lat", 6).alias("cell")).agg(one.alias("cnt"))
+    cells = t.points.groupBy(geo.tile_cell("lng", "lat", 6).alias("cell")).agg(one().alias("cnt"))
     files.write_pyramid(cells, path, 6, 3, "cnt")
     return t.spark.read.parquet(path).where("res = 4").select("cell", "cnt")
 
@@ -127,7 +133,7 @@ def replay(t, columns, files_a_batch=1):
 @query("ST1_new_files_stream", "select event_type, count(*) as n from events group by 1")
 def st1(t):
     stream, path = replay(t, lambda t: t.events.select("event_id", "ts", "event_type"))
-    return jobs.run_to_parquet(stream, path + "-out", path + "-ck").groupBy("event_type").agg(one.alias("n"))
+    return jobs.run_to_parquet(stream, path + "-out", path + "-ck").groupBy("event_type").agg(one().alias("n"))
 
 
 @query("ST2_minutes", "select date_trunc('minute', ts)::timestamp as start, count(*) as n from events where event_type = 'view' and ts >= (select max(ts) from events) - interval 60 minute group by 1")
@@ -135,7 +141,7 @@ def st2(t):
     """The last hour of the log by minute."""
     top = t.events.agg(F.max("ts").alias("top"))
     last = t.events.crossJoin(F.broadcast(top)).where("event_type = 'view' and ts >= top - interval 60 minutes")
-    return last.groupBy(F.window("ts", "1 minute")["start"].cast("timestamp_ntz").alias("start")).agg(one.alias("n"))
+    return last.groupBy(F.window("ts", "1 minute")["start"].cast("timestamp_ntz").alias("start")).agg(one().alias("n"))
 
 
 @query("ST3_hourly_cells", f"select date_trunc('hour', ts)::timestamp as start, {tc(2)} as cell, count(*) as n from {POINTS} where date_trunc('hour', ts) + interval 3 hour <= (select max(ts) from events) group by 1, 2")
@@ -161,13 +167,13 @@ def m1(t):
 @query("M3_clusters")
 def m3(t):
     """Clusters of users by their counts of event types."""
-    wide = t.events.groupBy("user_id").pivot("event_type", ["click", "purchase", "signup", "view"]).agg(one).fillna(0)
-    return models.clusters(wide, ["click", "purchase", "signup", "view"], 4).groupBy("cluster").agg(one.alias("users"), F.sum("view").alias("views"))
+    wide = t.events.groupBy("user_id").pivot("event_type", ["click", "purchase", "signup", "view"]).agg(one()).fillna(0)
+    return models.clusters(wide, ["click", "purchase", "signup", "view"], 4).groupBy("cluster").agg(one().alias("users"), F.sum("view").alias("views"))
 
 
 @query("M4_trend", "select event_type, round(regr_slope(n, d), 6) as c1 from (select event_type, date_diff('day', date '2024-01-01', cast(ts as date)) as d, count(*) as n from events group by 1, 2) group by 1")
 def m4(t):
-    n = t.events.groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("d")).agg(one.alias("n"))
+    n = t.events.groupBy("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("d")).agg(one().alias("n"))
     return models.polynomial_trend(n, "event_type", "d", "n", degree=1).select("event_type", F.round("c1", 6).alias("c1"))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import joins
 from .base import query
 
-one = F.count(F.lit(1))
+
+
+def one() -> Column:
+    """The number of rows."""
+    return F.count(F.lit(1))
+
 FEEDBACK = "(select 'SUPP-' || l_suppkey as supplier_id, count(*) as num_reviews, 1 + (sum(l_linenumber) % 41)/10e0 as avg_rating from lineitem where l_suppkey % 10 <> 0 group by l_suppkey)"
 PLACES = "(select 'SUP' || lpad(cast(s_suppkey as varchar), 7, '0') as supplier_ref, ['mall','street','outlet','kiosk','online','depot'][s_suppkey % 6 + 1] as store_type, s_suppkey % 90 as staff from supplier)"
 STORES = f"(select s_suppkey, s_name, s_acctbal, coalesce(num_reviews, 0) as num_reviews, avg_rating, store_type, staff from supplier s left join {FEEDBACK} f on cast(regexp_extract(f.supplier_id, '[0-9]+') as bigint) = s_suppkey left join {PLACES} p on cast(regexp_extract(p.supplier_ref, '[0-9]+') as bigint) = s_suppkey)"
@@ -19,7 +24,7 @@ TYPES = ["mall", "street", "outlet", "kiosk", "online", "depot"]
 def stores(t):
     """Suppliers with feedback and places, whose messy ids are cleaned to their first run of digits."""
     number = lambda c: F.regexp_extract(c, r"\d+", 0).try_cast("long")
-    feedback = t.lineitem.where("l_suppkey % 10 <> 0").groupBy(F.concat(F.lit("SUPP-"), F.col("l_suppkey")).alias("supplier_id")).agg(one.alias("num_reviews"), (1 + (F.sum("l_linenumber") % 41) / 10.0).alias("avg_rating"))
+    feedback = t.lineitem.where("l_suppkey % 10 <> 0").groupBy(F.concat(F.lit("SUPP-"), F.col("l_suppkey")).alias("supplier_id")).agg(one().alias("num_reviews"), (1 + (F.sum("l_linenumber") % 41) / 10.0).alias("avg_rating"))
     places = t.supplier.select(F.concat(F.lit("SUP"), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")).alias("supplier_ref"), F.get(F.array(*map(F.lit, TYPES)), (F.col("s_suppkey") % 6).cast("int")).alias("store_type"), (F.col("s_suppkey") % 90).alias("staff"))
     s = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
     s = s.join(feedback.withColumn("s_suppkey", number("supplier_id")), "s_suppkey", "left").join(places.withColumn("s_suppkey", number("supplier_ref")), "s_suppkey", "left")
@@ -93,7 +98,7 @@ def fil9(t):
 @query("FIL10_struct_filter", "select event_type, count(*) as n from events where user_id > 10 and cast(json_extract_string(props, '$.k') as int) > 3 and event_type in ('view', 'click') group by 1")
 def fil10(t):
     s = t.events.select("event_type", F.struct("user_id", F.from_json("props", "k int")["k"].alias("k")).alias("b"))
-    return s.where((F.col("b.user_id") > 10) & (F.col("b.k") > 3) & F.col("event_type").isin("view", "click")).groupBy("event_type").agg(one.alias("n"))
+    return s.where((F.col("b.user_id") > 10) & (F.col("b.k") > 3) & F.col("event_type").isin("view", "click")).groupBy("event_type").agg(one().alias("n"))
 
 
 @query("FIL11_terms", "select p_partkey, p_size from part where p_name like '%a%' or p_name like '%e%' order by p_size desc, p_partkey limit 20")
@@ -121,19 +126,19 @@ def prj3(t):
 
 @query("J1_equi_join", "select user_id, a.n as views, b.n as buys from (select user_id, count(*) as n from events where event_type = 'view' group by 1) a join (select user_id, count(*) as n from events where event_type = 'purchase' group by 1) b using (user_id)")
 def j1(t):
-    n = lambda kind, name: t.events.where(F.col("event_type") == kind).groupBy("user_id").agg(one.alias(name))
+    n = lambda kind, name: t.events.where(F.col("event_type") == kind).groupBy("user_id").agg(one().alias(name))
     return n("view", "views").join(n("purchase", "buys"), "user_id")
 
 
 @query("J3_tagged_outer", "select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.n, b.n) as n, case when b.user_id is null then 'left' when a.user_id is null then 'right' else 'both' end as source from (select user_id, count(*) as n from events where event_type = 'view' group by 1) a full join (select user_id, count(*) as n from events where event_type = 'signup' group by 1) b on a.user_id = b.user_id")
 def j3(t):
-    n = lambda kind: t.events.where(F.col("event_type") == kind).groupBy("user_id").agg(one.alias("n"))
+    n = lambda kind: t.events.where(F.col("event_type") == kind).groupBy("user_id").agg(one().alias("n"))
     return joins.tagged_outer_join(n("view"), n("signup"), "user_id", ["n"])
 
 
 @query("J4_release_diff", "select a.k, a.n, b.n as m, round(1e5*abs(a.n - b.n)/(a.n + b.n), 4) as diff from (select l_partkey as k, count(*) as n from lineitem where l_orderkey % 2 = 0 group by 1) a left join (select l_partkey as k, count(*) as n from lineitem where l_orderkey % 2 = 1 group by 1) b on a.k = b.k")
 def j4(t):
-    n = lambda r, name: t.lineitem.where(F.col("l_orderkey") % 2 == r).groupBy(F.col("l_partkey").alias("k")).agg(one.alias(name))
+    n = lambda r, name: t.lineitem.where(F.col("l_orderkey") % 2 == r).groupBy(F.col("l_partkey").alias("k")).agg(one().alias(name))
     return n(0, "n").join(n(1, "m"), "k", "left").withColumn("diff", F.round(F.expr("1e5*abs(n - m)/(n + m)"), 4))
 
 
@@ -163,8 +168,8 @@ def j14(t):
 
 @query("J16_totals", "select user_id, n, round(n/sum(n) over ()::double, 9) as ratio from (select user_id, count(*) as n from events group by 1)")
 def j16(t):
-    n = t.events.groupBy("user_id").agg(one.alias("n"))
-    return n.crossJoin(F.broadcast(t.events.agg(one.alias("all")))).select("user_id", "n", F.round(F.col("n") / F.col("all"), 9).alias("ratio"))
+    n = t.events.groupBy("user_id").agg(one().alias("n"))
+    return n.crossJoin(F.broadcast(t.events.agg(one().alias("all")))).select("user_id", "n", F.round(F.col("n") / F.col("all"), 9).alias("ratio"))
 
 
 @query("J17_key_range", "select s_suppkey, chunk from supplier join (select l_suppkey // 20 as chunk, min(l_suppkey) as lo, max(l_suppkey) as hi from lineitem group by 1) on s_suppkey between lo and hi")
@@ -188,18 +193,18 @@ def j19(t):
 @query("J20_snapshots", "select s_suppkey, s_name, n from supplier join (select l_suppkey, count(*) as n from lineitem where l_shipdate = (select max(l_shipdate) from lineitem x where x.l_suppkey = lineitem.l_suppkey) group by 1) on l_suppkey = s_suppkey")
 def j20(t):
     latest = t.lineitem.groupBy("l_suppkey").agg(F.max("l_shipdate").alias("l_shipdate"))
-    n = t.lineitem.join(latest, ["l_suppkey", "l_shipdate"]).groupBy("l_suppkey").agg(one.alias("n"))
+    n = t.lineitem.join(latest, ["l_suppkey", "l_shipdate"]).groupBy("l_suppkey").agg(one().alias("n"))
     return t.supplier.join(n, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", "s_name", "n")
 
 
 @query("A10_class_summary", "select event_type, count(*) as n, round(avg(user_id), 6) as mean, min(user_id) as lo, max(user_id) as hi from events group by 1 order by n desc, 1 limit 10")
 def a10(t):
-    return t.events.groupBy("event_type").agg(one.alias("n"), F.round(F.avg("user_id"), 6).alias("mean"), F.min("user_id").alias("lo"), F.max("user_id").alias("hi")).orderBy(F.desc("n"), "event_type").limit(10)
+    return t.events.groupBy("event_type").agg(one().alias("n"), F.round(F.avg("user_id"), 6).alias("mean"), F.min("user_id").alias("lo"), F.max("user_id").alias("hi")).orderBy(F.desc("n"), "event_type").limit(10)
 
 
 @query("A12_month_series", "select date_trunc('month', o_orderdate)::date as month, count(*) as n, round(avg(o_custkey), 6) as mean from orders group by 1")
 def a12(t):
-    return t.orders.groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(one.alias("n"), F.round(F.avg("o_custkey"), 6).alias("mean"))
+    return t.orders.groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(one().alias("n"), F.round(F.avg("o_custkey"), 6).alias("mean"))
 
 
 @query("A13_term_share", "select lang, sum(case when contains(text, 'tion') then 1 else 0 end)::bigint as hits, round(avg(case when contains(text, 'tion') then 1e0 else 0e0 end), 9) as share from documents group by 1")
@@ -218,7 +223,7 @@ KINDS = ["click", "purchase", "signup", "view"]
 
 @query("A16_pivot", "select cast(ts as date) as day, " + ", ".join(f"count(*) filter (event_type = '{k}') as {k}" for k in KINDS) + " from events group by 1")
 def a16(t):
-    return t.events.groupBy(F.to_date("ts").alias("day")).pivot("event_type", KINDS).agg(one).fillna(0)
+    return t.events.groupBy(F.to_date("ts").alias("day")).pivot("event_type", KINDS).agg(one()).fillna(0)
 
 
 @query("A17_unpivot", "select n_nationkey, 'region' as name, n_regionkey as val from nation union all select n_nationkey, 'key', n_nationkey from nation")
@@ -229,7 +234,7 @@ def a17(t):
 @query("A18_cell_iou", "with a as (select distinct user_id, event_id % 10 as cell from events where event_type = 'view'), b as (select distinct user_id, event_id % 10 as cell from events where event_type = 'click') select user_id, count(*) filter (a.cell is not null and b.cell is not null) as inter, count(*) as total, round(count(*) filter (a.cell is not null and b.cell is not null)/count(*)::double, 9) as iou from a full join b using (user_id, cell) group by 1")
 def a18(t):
     cells = lambda kind: t.events.where(F.col("event_type") == kind).select("user_id", F.expr("event_id % 10").alias("cell"), F.lit(1).alias(kind)).distinct()
-    met = cells("view").join(cells("click"), ["user_id", "cell"], "full").groupBy("user_id").agg(F.count(F.when(F.col("view").isNotNull() & F.col("click").isNotNull(), 1)).alias("inter"), one.alias("total"))
+    met = cells("view").join(cells("click"), ["user_id", "cell"], "full").groupBy("user_id").agg(F.count(F.when(F.col("view").isNotNull() & F.col("click").isNotNull(), 1)).alias("inter"), one().alias("total"))
     return met.withColumn("iou", F.round(F.col("inter") / F.col("total"), 9))
 
 
@@ -247,7 +252,7 @@ def a20(t):
 @query("A21_density", "with v as (select user_id::double as x, count(*) as n from events group by 1), s as (select sum(n) as c, sqrt((sum(n*x*x) - sum(n*x)*sum(n*x)/sum(n))/(sum(n) - 1))*pow(sum(n), -0.2e0) as h, min(x) as lo, max(x) as hi from v) select g.i::int as i, round(sum(n*exp(-0.5e0*pow((lo + (hi - lo)*g.i/19e0 - x)/h, 2)))/(any_value(c)*any_value(h)*sqrt(2*pi())), 9) as density from v, s, range(20) g(i) group by 1")
 def a21(t):
     """Gaussian kernels on 20 grid points; equal values are grouped first, one row of totals is broadcast."""
-    v = t.events.groupBy(F.col("user_id").cast("double").alias("x")).agg(one.alias("n"))
+    v = t.events.groupBy(F.col("user_id").cast("double").alias("x")).agg(one().alias("n"))
     s = v.agg(F.expr("sum(n)").alias("c"), F.expr("sqrt((sum(n*x*x) - sum(n*x)*sum(n*x)/sum(n))/(sum(n) - 1))*pow(sum(n), -0.2)").alias("h"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     each = v.crossJoin(F.broadcast(s)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19))))
     return each.groupBy("i").agg(F.round(F.expr("sum(n*exp(-0.5*pow((lo + (hi - lo)*i/19.0 - x)/h, 2)))/(any_value(c)*any_value(h)*sqrt(2*pi()))"), 9).alias("density"))
@@ -265,7 +270,7 @@ def a22s(t):
 
 @query("A27_profile", "select count(*) as rows, count(*) - count(text) as null_text, count(distinct lang) as langs, min(n_chars) as lo, max(n_chars) as hi, round(avg(n_chars), 6) as mean from documents")
 def a27(t):
-    return t.documents.agg(one.alias("rows"), F.count_if(F.col("text").isNull()).alias("null_text"), F.countDistinct("lang").alias("langs"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    return t.documents.agg(one().alias("rows"), F.count_if(F.col("text").isNull()).alias("null_text"), F.countDistinct("lang").alias("langs"), F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.round(F.avg("n_chars"), 6).alias("mean"))
 
 
 @query("A28_class_totals", "select l_linenumber, round(sum(l_orderkey)*0.000247105e0, 4) as acres from lineitem group by 1 order by 2 desc limit 5")
@@ -286,14 +291,14 @@ def a30(t):
 
 @query("A32_hours", "select hour(ts)::int as hour, count(*) as n from events group by 1")
 def a32(t):
-    return t.events.groupBy(F.hour("ts").alias("hour")).agg(one.alias("n")).orderBy("hour")
+    return t.events.groupBy(F.hour("ts").alias("hour")).agg(one().alias("n")).orderBy("hour")
 
 
 DAYS = "(select event_type, cast(ts as date) as day, count(*) as n from events group by 1, 2)"
 
 
 def days(t):
-    return t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(one.alias("n"))
+    return t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(one().alias("n"))
 
 
 @query("W1_running_sum", f"select event_type, day, sum(n) over (partition by event_type order by day)::bigint as total from {DAYS}")
@@ -314,7 +319,7 @@ def w3(t):
 @query("W4_window_over_aggregate", f"select event_type, day, n, round(n/sum(n) over (partition by event_type)::double, 9) as share from {DAYS}")
 def w4(t):
     """Few classes: totals by aggregation and join, not by a window of giant partitions."""
-    totals = t.events.groupBy("event_type").agg(one.alias("total"))
+    totals = t.events.groupBy("event_type").agg(one().alias("total"))
     return days(t).join(totals, "event_type").select("event_type", "day", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
 
 
@@ -325,7 +330,7 @@ def w5(t):
 
 @query("W6_top_names", "select user_id, string_agg(event_type, ',' order by n desc, event_type) as names from (select user_id, event_type, count(*) as n from events group by 1, 2 qualify row_number() over (partition by user_id order by n desc, event_type) <= 3) group by 1")
 def w6(t):
-    n = t.events.groupBy("user_id", "event_type").agg(one.alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).where("r <= 3")
+    n = t.events.groupBy("user_id", "event_type").agg(one().alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).where("r <= 3")
     return n.groupBy("user_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("r", "event_type"))), lambda x: x["event_type"])).alias("names"))
 
 
@@ -342,7 +347,7 @@ def w8(t):
 
 @query("W9_group_size", "select o_orderkey, count(*) over (partition by o_custkey) as n from orders")
 def w9(t):
-    return t.orders.select("o_orderkey", one.over(Window.partitionBy("o_custkey")).alias("n"))
+    return t.orders.select("o_orderkey", one().over(Window.partitionBy("o_custkey")).alias("n"))
 
 
 @query("W10_fill", "select user_id, event_id, coalesce(last_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), first_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between current row and unbounded following)) as filled from (select *, case when event_id % 4 = 0 then event_id end as v from events)")
@@ -359,7 +364,7 @@ def w11(t):
     cuts = sorted(set(t.orders.agg(F.percentile_approx("o_orderkey", [i / 16 for i in range(1, 16)]).alias("c")).first()["c"] or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("o_orderkey"))) if cuts else F.lit(0)
     placed = t.orders.select("o_orderkey", part.alias("part"))
-    sizes = placed.groupBy("part").agg(one.alias("n"))
+    sizes = placed.groupBy("part").agg(one().alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rn = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1
     return placed.join(F.broadcast(before), "part").select("o_orderkey", F.expr("1000").alias("s"), (F.col("before") + rn).alias("at")).select("o_orderkey", F.expr("at div s").alias("chunk"))
@@ -367,7 +372,7 @@ def w11(t):
 
 @query("S2_top_details", "select event_id, event_type from events where event_type in (select event_type from events group by 1 order by count(*) desc, 1 limit 2)")
 def s2(t):
-    top = t.events.groupBy("event_type").agg(one.alias("n")).orderBy(F.desc("n"), "event_type").limit(2)
+    top = t.events.groupBy("event_type").agg(one().alias("n")).orderBy(F.desc("n"), "event_type").limit(2)
     return t.events.select("event_id", "event_type").join(F.broadcast(top), "event_type", "left_semi")  # two rows
 
 
@@ -397,7 +402,7 @@ def s7(t):
 @query("S8_dense_axis", "select d.day::date as day, count(event_id) as n from (select unnest(generate_series((select min(cast(ts as date)) from events), (select max(cast(ts as date)) from events), interval 1 day)) as day) d left join (select * from events where event_id % 97 = 0) e on cast(e.ts as date) = d.day::date group by 1")
 def s8(t):
     axis = t.events.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    n = t.events.where("event_id % 97 = 0").groupBy(F.to_date("ts").alias("day")).agg(one.alias("n"))
+    n = t.events.where("event_id % 97 = 0").groupBy(F.to_date("ts").alias("day")).agg(one().alias("n"))
     return axis.join(n, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -482,7 +487,7 @@ def f13(t):
 
 @query("F21_index", "select l_suppkey, round((a - b)/nullif(a + b, 0)::double, 9) as nd from (select l_suppkey, sum(l_linenumber) as a, count(*) as b from lineitem group by 1)")
 def f21(t):
-    s = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_linenumber").alias("a"), one.alias("b"))
+    s = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_linenumber").alias("a"), one().alias("b"))
     return s.select("l_suppkey", F.round(F.expr("(a - b)/nullif(a + b, 0)"), 9).alias("nd"))
 
 
@@ -505,7 +510,7 @@ def f24(t):
 
 @query("M2_profile_similarity", "with h as (select user_id, hour(ts) as hr, count(*) as n from events group by 1, 2), r as (select hr, n as m from h where user_id = (select min(user_id) from events)) select user_id, round(sum(n*coalesce(m, 0))/(sqrt(sum(n*n))*sqrt((select sum(m*m) from r))), 9) as sim from h left join r using (hr) group by 1")
 def m2(t):
-    h = t.events.groupBy("user_id", F.hour("ts").alias("hr")).agg(one.alias("n"))
+    h = t.events.groupBy("user_id", F.hour("ts").alias("hr")).agg(one().alias("n"))
     first = t.events.agg(F.min("user_id").alias("user_id"))
     ref = h.join(F.broadcast(first), "user_id").select("hr", F.col("n").alias("m"))  # 24 rows at most
     size = ref.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("size"))
