@@ -48,7 +48,7 @@ STAGES = [
     ("suffix_dedup", cut_repeated_passages),
     ("packing", pack),
 ]
-#: Several stages are beyond SQL; tests hold them against brute force.
+#: Several stages are beyond SQL; tests hold each operator, not yet the whole pipeline, against brute force.
 ORACLE_SQL = None
 
 
