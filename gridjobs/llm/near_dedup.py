@@ -186,10 +186,11 @@ def compare_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def blockwise(members: DataFrame) -> DataFrame:
-    """Passing pairs of different components within large children, in blocks of about SMALL members against SMALL."""
-    size = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SMALL).cast("int").alias("blocks"))
-    placed = members.join(size, "node").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+def blockwise(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Passing pairs of different components within the children ``mixed`` (node, n), in blocks of about SMALL members
+    against SMALL."""
+    size = mixed.select("node", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks"))
+    placed = members.join(maybe_broadcast(size), "node").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     left = placed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("node", F.col("block").alias("i"), F.col("other").alias("j"), "cid", "component", "sketch", F.lit(0).alias("side"))
     right = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).where("other < block").select("node", F.col("other").alias("i"), F.col("block").alias("j"), "cid", "component", "sketch", F.lit(1).alias("side"))
     met = left.unionByName(right).drop("side").withColumn("node", F.xxhash64("node", "i", "j"))
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return of.select("cid", "component", "sketch", "tokens", F.explode(F.array(*[F.struct(child(c).alias("node"), F.lit(c).alias("coordinate")) for c in at])).alias("x")).select("cid", "component", "sketch", "tokens", "x.*")
 
     def large(of: DataFrame) -> DataFrame:
-        sizes = of.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        sizes = of.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("coordinate").alias("coordinate"))
         return materialize(sizes.where(f"n > {SMALL}"), "large")
 
     # first round: merge what is plainly alike
@@ -228,9 +229,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     big = large(first)
     hint = maybe_broadcast(big.select("node"))
     found = compare_children(first.join(hint, "node", "left_anti"), best_only=True)
-    crowd = first.join(hint, "node", "left_semi")
-    pivots = crowd.groupBy("node").agg(F.min("cid").alias("b"), F.min_by("sketch", "cid").alias("sketch_b"))
-    met = crowd.select("node", F.col("cid").alias("a"), F.col("sketch").alias("sketch_a")).join(maybe_broadcast(pivots, big.count()), "node").where("a <> b")
+    # here every component is one class, so a node's least component is its pivot
+    named = maybe_broadcast(big.select("node", F.col("lo").alias("b")))
+    pivots = classes.select(F.col("cid").alias("b"), F.col("sketch").alias("sketch_b")).join(named, "b")
+    met = first.select("node", F.col("cid").alias("a"), F.col("sketch").alias("sketch_a")).join(maybe_broadcast(pivots, big.count()), "node").where("a <> b")
     pairs = materialize(found.unionByName(compare_pairs(met)).distinct(), "pairs")
     links = confirm(docs, pairs, words, percent)
     release(pairs, big)
@@ -244,20 +246,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         stored.append(big)
         small = level.join(maybe_broadcast(big.select("node")), "node", "left_anti")
         found.append(materialize(compare_children(small, best_only=False), "pairs"))
-        mixed = big.where("lo < hi").select("node")
+        mixed = big.where("lo < hi")
         if not mixed.limit(1).count():
             break
-        crowd = level.join(maybe_broadcast(mixed), "node", "left_semi")
         if depth == DEPTH:
-            found.append(materialize(blockwise(crowd), "pairs"))
+            found.append(materialize(blockwise(level, mixed), "pairs"))
             break
+        picked = mixed.select("node", F.col("node").alias("own"), "coordinate")
         if depth == 1:  # from here on trees differ
             trees = F.create_map(*[x for c in coordinates for x in (F.lit(c), F.array(*[F.lit(t) for t, own in enumerate(chosen) if c in own]))])
-            crowd = crowd.withColumn("tree", F.explode(trees[F.col("coordinate")])).withColumn("node", F.xxhash64("node", "tree")).drop("tree")
+            picked = picked.withColumn("tree", F.explode(trees[F.col("coordinate")])).withColumn("own", F.xxhash64("node", "tree"))
         rate = int((1 << 20) / (0.8 * COORDINATES))
-        picks = F.expr(f"filter(sequence(0, {COORDINATES - 1}), c -> pmod(xxhash64(node, c), {1 << 20}) < {rate})")
-        picked = crowd.select("node").distinct().withColumn("coordinate", F.explode(picks))
-        level = materialize(crowd.drop("coordinate").join(maybe_broadcast(picked), "node").withColumn("node", F.expr("xxhash64(node, coordinate, tokens[coordinate])")), "level")
+        picks = F.expr(f"filter(sequence(0, {COORDINATES - 1}), c -> pmod(xxhash64(own, c), {1 << 20}) < {rate})")
+        picked = picked.select("node", "own", F.explode(picks).alias("coordinate"))
+        below = level.drop("coordinate").join(maybe_broadcast(picked), "node")
+        level = materialize(below.withColumn("node", F.expr("xxhash64(own, coordinate, tokens[coordinate])")).drop("own"), "level")
         stored.append(level)
     pairs = found[0]
     for more in found[1:]:
