@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, shapes
 
 #: Metres of a degree of latitude.
 DEGREE_M = geo.EARTH_M * math.pi / 180
@@ -93,6 +93,15 @@ def prefix_join(addresses: DataFrame, blocks: DataFrame, lengths: list[int]) ->
     return distinct.join(stored, ["length", "prefix"]).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "prefix")
 
 
+def long_prefix_join(addresses: DataFrame, blocks: DataFrame, lengths: list[int]) -> DataFrame:
+    """IPv6 addresses (ip, text) with the block (start, text; length INT, ...) of the longest prefix that holds them."""
+    distinct = addresses.select("ip").distinct().withColumn("bits", shapes.address_bits("ip"))
+    tried = distinct.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("prefix", F.expr("substring(bits, 1, length)")).drop("bits")
+    stored = blocks.withColumn("prefix", F.substring(shapes.address_bits("start"), F.lit(1), F.col("length")))
+    best = Window.partitionBy("ip").orderBy(F.desc("length"))
+    return tried.join(stored, ["length", "prefix"]).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "prefix")
+
+
 def tagged_outer_join(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Full outer join with ``source`` (both, left, right) and columns taken from the left side first."""
     a, b = left.alias("a"), right.alias("b")

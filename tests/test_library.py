@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridjobs.functions import geo
+from gridjobs.functions import geo, shapes
 from gridjobs.operators import joins
 from gridjobs.sources import files
 
@@ -60,3 +60,30 @@ def test_bounds_read_prunes_partitions(spark):
     plan = df._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "file_cell" in plan.split("PartitionFilters", 1)[1]
     assert df.count() == points(spark, 400, 5).where("lng between 0 and 20 and lat between 0 and 20").count()
+
+
+def test_points_along_odd_lines(spark):
+    df = spark.sql("select 1 as id, array(named_struct('x', 2d, 'y', 3d)) as line union all select 2, array(named_struct('x', 0d, 'y', 0d), named_struct('x', 0d, 'y', 0d), named_struct('x', 4d, 'y', 0d), named_struct('x', 4d, 'y', 0d))")
+    found = sorted((r["id"], r["k"], r["x"], r["y"]) for r in shapes.points_along(df, "line", 2.0).collect())
+    assert found == [(1, 0, 2.0, 3.0), (2, 0, 0.0, 0.0), (2, 1, 2.0, 0.0), (2, 2, 4.0, 0.0)]
+
+
+def test_line_text(spark):
+    df = spark.createDataFrame([("LINESTRING (1 2, -3.5 4e1)",), ("LINESTRING EMPTY",), ("--",), (None,)], "wkt string").withColumn("parts", shapes.line_parts("wkt"))
+    found = [r["parts"] for r in df.collect()]
+    assert [[(p["x"], p["y"]) for p in part] for part in found[0]] == [[(1.0, 2.0), (-3.5, 40.0)]] and found[1:] == [[], [], []]
+    assert df.where("size(parts) > 0").select(shapes.line_wkt("parts[0]", 1)).first()[0] == "LINESTRING (1.0 2.0, -3.5 40.0)"
+
+
+def test_random_points_lie_in_their_boxes(spark):
+    boxes = spark.createDataFrame([(-10.0, 5.0, 10.0, 6.0)], "minx double, miny double, maxx double, maxy double")
+    found = shapes.random_points(boxes, 100, 3).collect()
+    assert len(found) == 100 and all(-10 <= r["lng"] < 10 and 5 <= r["lat"] < 6 for r in found) and len({r["lng"] for r in found}) > 90
+
+
+def test_address_bits(spark):
+    import ipaddress
+
+    texts = ["::", "::1", "2001:db8::ff00:42:8329", "1:2:3:4:5:6:7:8", "fe80::"]
+    found = spark.createDataFrame([(x,) for x in texts], "ip string").select("ip", shapes.address_bits("ip").alias("b")).collect()
+    assert all(int(r["b"], 2) == int(ipaddress.ip_address(r["ip"])) and len(r["b"]) == 128 for r in found)
