@@ -2,7 +2,8 @@
 
 Lines that are equal once trimmed are one class. A class's signature is ROWS * BANDS minima over its character shingles
 (of long lines, over the quarter of the shingles whose hash is divisible by four: the same ones in every line), made by
-one map-side aggregation over exploded shingles. Classes that agree in a whole band are candidates; candidates are
+one map-side aggregation over exploded shingles. Lines of lengths that can be similar to both shorter and longer ones
+have both kinds of signature, so no pair is split by the length at which the kind changes. Classes that agree in a whole band are candidates; candidates are
 confirmed by exact Jaccard similarity of all their shingles; distributed union-find joins the confirmed links, and of
 every component only the line that comes first (doc_id, then position) stays.
 
@@ -26,8 +27,10 @@ from .components import connected_components
 
 SHINGLE = 8
 ROWS, BANDS = 3, 8
-WHOLE = 64  # shingles up to which a line's signature uses all of them
 PERCENT = 80
+WHOLE = 64  # distinct shingles up to which a line's signature uses all of them
+LEAST, MOST = -(-PERCENT * (WHOLE + 1) // 100), WHOLE * 100 // PERCENT  # what can be similar to a line on WHOLE's other side
+PREFIX = 128  # positions of a longer line that are enough to tell most lines of more than MOST distinct shingles
 CROWDED = 20_000  # rows of one of 65536 shares of the bands beyond which its buckets are salted
 _r = random.Random(4)
 #: One order of 64-bit hashes for each minimum: nearness to a constant, constants spread over the leading bits.
@@ -46,14 +49,22 @@ def shingle(units: str, at: str) -> Column:
     return F.expr(f"xxhash64(substring({units}, 2 * {at} + 1, {2 * SHINGLE}))")
 
 
+def kinds(units: str, last: str) -> Column:
+    """The kinds of signature of a line, by its number of distinct shingles: 0 over all of them, 1 over the sampled ones."""
+    distinct = lambda end: f"size(array_distinct(transform(sequence(0, {end}), p -> xxhash64(substring({units}, 2 * p + 1, {2 * SHINGLE})))))"
+    exact = f"transform(array({distinct(last)}), n -> CASE WHEN n < {LEAST} THEN array(0) WHEN n <= {MOST} THEN array(0, 1) ELSE array(1) END)[0]"
+    return F.expr(f"CASE WHEN {last} + 1 < {LEAST} THEN array(0) WHEN {last} >= {PREFIX} AND {distinct(PREFIX - 1)} > {MOST} THEN array(1) ELSE {exact} END")
+
+
 def signatures(each: DataFrame) -> DataFrame:
-    """k1, k2, copies and the hash of each band of every class of lines."""
+    """k1, k2, copies and the hash of each band of every class of lines; a row for each kind of its signatures."""
     units = each.select("k1", "k2", F.encode("line", "UTF-16BE").alias("units")).withColumn("last", F.expr(f"greatest(0, int(octet_length(units) div 2) - {SHINGLE})"))
-    every = units.select("k1", "k2", "units", "last", F.explode(F.sequence(F.lit(0), "last")).alias("at")).withColumn("h", shingle("units", "at"))
-    used = every.where((F.col("at") == 0) | (F.col("last") < WHOLE) | (F.col("h").bitwiseAND(3) == 0))
+    units = units.select("k1", "k2", "units", "last", F.explode(kinds("units", "last")).alias("kind"))
+    every = units.select("k1", "k2", "kind", "units", F.explode(F.sequence(F.lit(0), "last")).alias("at")).withColumn("h", shingle("units", "at"))
+    used = every.where((F.col("at") == 0) | (F.col("kind") == 0) | (F.col("h").bitwiseAND(3) == 0))
     least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 33).cast("int")).alias(f"m{j}") for j, c in enumerate(CONSTANTS)]
-    found = used.groupBy("k1", "k2").agg(F.sum(F.expr("int(at = 0)")).alias("copies"), *least)
-    bands = [F.xxhash64(F.lit(b), *(F.col(f"m{b + r * BANDS}") for r in range(ROWS))) for b in range(BANDS)]
+    found = used.groupBy("k1", "k2", "kind").agg(F.sum(F.expr("int(at = 0)")).alias("copies"), *least)
+    bands = [F.xxhash64(F.lit(b), "kind", *(F.col(f"m{b + r * BANDS}") for r in range(ROWS))) for b in range(BANDS)]
     return found.select("k1", "k2", "copies", F.array(*bands).alias("bands"))
 
 
@@ -96,7 +107,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     pairs = materialize(candidates(signed), "pairs")
     links = confirmed(each, pairs)
     merged = connected_components(links).select("node.k1", "node.k2", "component")
-    again = signed.where("copies > 1").select("k1", "k2").join(merged, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
+    again = signed.where("copies > 1").select("k1", "k2").distinct().join(merged, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
     again = materialize(again, "again")
     place = F.struct("doc_id", "pos")
     copies = materialize(each.select("doc_id", "pos", "k1", "k2").join(maybe_broadcast(again), ["k1", "k2"]).select("doc_id", "pos", "component"), "copies")

@@ -244,6 +244,34 @@ def test_lines(docs, nothing):
     assert line_dedup.keep_first_lines(nothing).count() == 0
 
 
+def similar(rows):
+    """Brute force: the component of each line, joined where the sets of shingles reach 0.8."""
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in rows]
+    name = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 5 >= len(a | sets[j]) * 4 and name[i] != name[j]:
+                name = [name[j] if x == name[i] else x for x in name]
+    return name
+
+
+def test_lines_across_signature_kinds(spark):
+    """Pairs of 71 and 72 characters and others around the length at which signatures change, and repetitive lines."""
+    letters = lambda n: "".join(R.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for n, m in ((71, 72), (70, 73), (68, 74), (60, 71), (72, 86)):
+        for _ in range(30):
+            x = letters(m)
+            rows += [x[:n], x]
+    for _ in range(30):  # sets of 60 and 66 shingles repeated over hundreds of characters
+        x, y = letters(60), letters(6)
+        rows += [x * 9, x * 9 + y]
+    found = by_id(line_dedup.keep_first_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    expected = len(rows) - len(set(similar(rows)))
+    assert expected >= 150
+    assert sum(r["n_removed"] for r in found.values()) >= expected - 2  # found with high probability
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
