@@ -7,8 +7,10 @@ have both kinds of signature, so no pair is split by the length at which the kin
 confirmed by exact Jaccard similarity of all their shingles; distributed union-find joins the confirmed links, and of
 every component only the line that comes first (doc_id, then position) stays.
 
-Within a band's bucket each class is paired with the bucket's first and with the one before it, so a bucket costs its
-size, not its square. Buckets of a crowded share of the bands are salted, and the salted parts' firsts paired.
+Within a band's bucket each class is first paired with the bucket's first and with the one before it, which joins most
+groups at the cost of a bucket's size. Buckets of a crowded share of the bands are salted, and the salted parts' firsts
+paired. Then buckets that still hold several components are gone through again, in blocks of BLOCK against BLOCK: all
+their pairs of different components are compared, so every pair that agrees in a band is linked or was compared.
 
 Defined results: a null text has no lines and stays null; lines end at a line feed; blank lines are always kept. A line
 shorter than a shingle is one shingle. Repeated lines within a document count like those of other documents. Of rows
@@ -32,6 +34,7 @@ WHOLE = 64  # distinct shingles up to which a line's signature uses all of them
 LEAST, MOST = -(-PERCENT * (WHOLE + 1) // 100), WHOLE * 100 // PERCENT  # what can be similar to a line on WHOLE's other side
 PREFIX = 128  # positions of a longer line that are enough to tell most lines of more than MOST distinct shingles
 CROWDED = 20_000  # rows of one of 65536 shares of the bands beyond which its buckets are salted
+BLOCK = 256  # classes of a bucket that meet as many others in one group
 _r = random.Random(4)
 #: One order of 64-bit hashes for each minimum: nearness to a constant, constants spread over the leading bits.
 CONSTANTS = [((j * 64 // (ROWS * BANDS)) << 58 | _r.getrandbits(58)) - (1 << 63) for j in range(ROWS * BANDS)]
@@ -68,22 +71,46 @@ def signatures(each: DataFrame) -> DataFrame:
     return found.select("k1", "k2", "copies", F.array(*bands).alias("bands"))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes, each a struct of its two hashes, that agree in a band."""
+def buckets(signed: DataFrame) -> DataFrame:
+    """Classes b (a struct of two hashes) by band, of buckets that hold several: n of them, the one before and the first,
+    within salts of the buckets of crowded shares."""
     each = signed.select(F.struct("k1", "k2").alias("b"), F.explode("bands").alias("band"))
     share = F.pmod("band", F.lit(1 << 16))
     crowded = [r["share"] for r in each.groupBy(share.alias("share")).count().where(F.col("count") > CROWDED).collect()]  # 65536 at most
-    salt = F.when(share.isin(crowded), F.pmod("b.k1", F.lit(64))).otherwise(0) if crowded else F.lit(0)
-    by = Window.partitionBy("band", "salt").orderBy("b")
-    met = each.withColumn("salt", salt).select("b", "band", "salt", F.lag("b").over(by).alias("before"), F.first("b").over(by).alias("first"))
+    each = each.withColumn("crowded", share.isin(crowded) if crowded else F.lit(False))
+    each = each.withColumn("salt", F.when(F.col("crowded"), F.pmod("b.k1", F.lit(64))).otherwise(0))
+    whole = Window.partitionBy("band", "salt")
+    by = whole.orderBy("b")
+    met = each.select("b", "band", "crowded", F.count(F.lit(1)).over(whole).alias("n"), F.lag("b").over(by).alias("before"), F.first("b").over(by).alias("first"))
+    return met.where("n > 1 or crowded")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that agree in a band: each with the one before and the first of its bucket."""
     pairs = met.where("before is not null").select("b", F.explode(F.array("before", "first")).alias("a"))
-    if crowded:
-        firsts = met.where("before is null and salt is not null").where(share.isin(crowded)).select("band", "b")
-        least = firsts.groupBy("band").agg(F.min("b").alias("a"))
-        pairs = pairs.unionByName(firsts.join(least, "band").select("a", "b").where("a <> b"))
+    firsts = met.where("before is null and crowded").select("band", "b")
+    least = firsts.groupBy("band").agg(F.min("b").alias("a"))
+    pairs = pairs.unionByName(firsts.join(least, "band").select("a", "b").where("a <> b"))
     return pairs.select("a", "b").distinct()
 
 
+def rest(met: DataFrame, merged: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All other pairs (a, b) that agree in a band and are in different components of ``merged``."""
+    named = maybe_broadcast(merged.select(F.col("node").alias("b"), "component"))
+    # the pair of a bucket of two has been compared
+    held = materialize(met.where("n > 2 or crowded").select("band", "b").join(named, "b", "left").select("band", "b", F.coalesce("component", "b").alias("component")), "held")
+    sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = materialize(sizes.where("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    placed = held.join(maybe_broadcast(mixed), "band").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    left = placed.select("band", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("b").alias("x"), F.col("component").alias("x_component"))
+    right = placed.select("band", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("b").alias("y"), F.col("component").alias("y_component"))
+    apart = left.join(right, ["band", "i", "j"]).where("x_component <> y_component and (i < j or x < y)")
+    found = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = materialize(found, "rest")
+    release(held, mixed)
+    return found
+
+
 def confirmed(each: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles reach the similarity."""
     used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.k1", "x.k2").distinct(), "used")
@@ -104,9 +131,15 @@ def dropped(docs: DataFrame) -> DataFrame:
     """doc_id and ``drop`` (array<int>), the positions of its lines that go."""
     each = lines(docs)
     signed = materialize(signatures(each), "bands")
-    pairs = materialize(candidates(signed), "pairs")
+    met = materialize(buckets(signed), "buckets")
+    pairs = materialize(candidates(met), "pairs")
     links = confirmed(each, pairs)
-    merged = connected_components(links).select("node.k1", "node.k2", "component")
+    merged = connected_components(links)
+    more = rest(met, merged, pairs)
+    new = confirmed(each, more)
+    if new.limit(1).count():
+        merged = connected_components(links.unionByName(new))
+    merged = merged.select("node.k1", "node.k2", "component")
     again = signed.where("copies > 1").select("k1", "k2").distinct().join(merged, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
     again = materialize(again, "again")
     place = F.struct("doc_id", "pos")
@@ -114,7 +147,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     first = copies.groupBy("component").agg(F.min(place).alias("first"))
     gone = copies.join(first, "component").where(place > F.col("first"))
     out = materialize(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop")), "drop")
-    release(signed, pairs, links, again, copies)
+    release(signed, met, pairs, links, more, new, again, copies)
     return out
 
 

@@ -272,6 +272,25 @@ def test_lines_across_signature_kinds(spark):
     assert sum(r["n_removed"] for r in found.values()) >= expected - 2  # found with high probability
 
 
+@pytest.mark.parametrize("crowded", [20_000, 0])
+def test_lines_of_templates(spark, monkeypatch, crowded):
+    """Lines alike below the similarity share buckets with their true partners; also with salts and small blocks."""
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    letters = lambda n: "".join(R.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, tail, rows = letters(60), letters(60), []
+    for _ in range(150):
+        middle = letters(12)
+        rows += [head + middle + tail, head + middle + tail + letters(8)]
+    found = by_id(line_dedup.keep_first_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    name = similar(rows)
+    first = {}
+    for i, x in enumerate(name):
+        first.setdefault(x, i)
+    assert len(first) < len(rows)
+    assert {i for i in found if found[i]["n_removed"]} == {i for i, x in enumerate(name) if first[x] != i}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
