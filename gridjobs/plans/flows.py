@@ -55,10 +55,8 @@ def src5(t):
 
 @query("SRC7_whole_text", "select count(distinct source) as files, sum(length(text))::bigint as chars from documents")
 def src7(t):
-    """A file for each source, read whole."""
-    path = files.workspace(t.spark, "text")
-    t.documents.select(F.coalesce("text", F.lit("")).alias("value"), "source").repartition("source").write.partitionBy("source").text(path, lineSep="\x01")
-    whole = t.spark.read.text(path, wholetext=True)
+    """Files of each source, read whole."""
+    whole = files.whole_texts(t.documents, files.workspace(t.spark, "text"))
     return whole.agg(F.countDistinct("source").alias("files"), F.sum(F.length(F.replace("value", F.lit("\x01"), F.lit("")))).alias("chars"))
 
 

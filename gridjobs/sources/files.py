@@ -67,6 +67,13 @@ def write_pyramid(cells: DataFrame, path: str, z: int, coarsest: int, value: str
         level.write.mode("append").partitionBy("res").parquet(path)
 
 
+def whole_texts(docs: DataFrame, path: str, records: int = 500) -> DataFrame:
+    """source and value of files of at most ``records`` texts of ``docs``, each read whole; tasks write their own files,
+    so no source has to fit in one task or value."""
+    docs.select(F.coalesce("text", F.lit("")).alias("value"), "source").write.option("maxRecordsPerFile", records).partitionBy("source").text(path, lineSep="\x01")
+    return docs.sparkSession.read.schema("value string, source string").text(path, wholetext=True)
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """A row count and an order-free hash of all rows."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("hash"))

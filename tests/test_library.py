@@ -87,3 +87,10 @@ def test_address_bits(spark):
     texts = ["::", "::1", "2001:db8::ff00:42:8329", "1:2:3:4:5:6:7:8", "fe80::"]
     found = spark.createDataFrame([(x,) for x in texts], "ip string").select("ip", shapes.address_bits("ip").alias("b")).collect()
     assert all(int(r["b"], 2) == int(ipaddress.ip_address(r["ip"])) and len(r["b"]) == 128 for r in found)
+
+
+def test_whole_texts_of_a_hot_source(spark, tmp_path):
+    docs = spark.range(2000).select(F.lit("x" * 50).alias("text"), F.when(F.col("id") % 100 == 0, "007").otherwise("hot").alias("source"))
+    found = files.whole_texts(docs, f"file://{tmp_path}/text", 100).select("source", F.replace("value", F.lit("\x01"), F.lit("")).alias("value")).collect()
+    assert max(len(r["value"]) for r in found) <= 100 * 50
+    assert sum(len(r["value"]) for r in found) == 2000 * 50 and {r["source"] for r in found} == {"007", "hot"}
