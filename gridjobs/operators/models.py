@@ -10,21 +10,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cosine_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """Exact top k by cosine of a few given queries: partial top k in each batch, then the best of these."""
-    ids = np.array([i for i, _ in queries])
-    q = np.array([v for _, v in queries], float)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x = np.array(f["v"].tolist(), float)
-            s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T
-            for j, i in enumerate(ids):
-                top = np.lexsort((f["vec_id"].to_numpy(), -s[:, j]))[:k]
-                yield pd.DataFrame({"query_id": i, "vec_id": f["vec_id"].to_numpy()[top], "score": s[top, j]})
-
-    found = vectors.mapInPandas(part, "query_id long, vec_id long, score double")
+VECTOR_BLOCK = 8192
+QUERY_BLOCK = 1024
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact top k by cosine for each row of ``queries``, both with vec_id and v: blocks of queries meet blocks of
+    vectors, each pair of blocks gives its best k, then the best of these."""
+    n_blocks, q_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    stored = vectors.withColumn("block", block(n_blocks)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    asked = queries.withColumn("q_block", block(q_blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    unit = lambda v: (x := np.array(v.tolist(), float)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        ids, s, out = left["vec_id"].to_numpy(), unit(left["v"]) @ unit(right["v"]).T, []
+        for j, i in enumerate(right["vec_id"]):
+            top = np.lexsort((ids, -s[:, j]))[:k]
+            out.append(pd.DataFrame({"query_id": i, "vec_id": ids[top], "score": s[top, j]}))
+        return pd.concat(out)
+
+    found = stored.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

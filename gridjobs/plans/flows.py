@@ -158,8 +158,7 @@ def st4(t):
 @query("M1_cosine_top_k", "with q as (select vec_id, embedding::double[] e from embeddings order by vec_id limit 5) select query_id, vec_id, rank from (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.e, v.embedding::double[]) desc, v.vec_id)::int as rank from q, embeddings v) where rank <= 10")
 def m1(t):
     v = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = [(r["vec_id"], r["v"]) for r in v.orderBy("vec_id").limit(5).collect()]
-    return models.cosine_top_k(v, asked, 10).select("query_id", "vec_id", "rank")
+    return models.cosine_top_k(v, v.orderBy("vec_id").limit(5), 10).select("query_id", "vec_id", "rank")
 
 
 @query("M3_clusters")

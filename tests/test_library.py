@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from gridjobs.functions import geo, shapes
-from gridjobs.operators import joins
+from gridjobs.operators import joins, models
 from gridjobs.sources import files
 
 
@@ -94,3 +94,18 @@ def test_whole_texts_of_a_hot_source(spark, tmp_path):
     found = files.whole_texts(docs, f"file://{tmp_path}/text", 100).select("source", F.replace("value", F.lit("\x01"), F.lit("")).alias("value")).collect()
     assert max(len(r["value"]) for r in found) <= 100 * 50
     assert sum(len(r["value"]) for r in found) == 2000 * 50 and {r["source"] for r in found} == {"007", "hot"}
+
+
+def test_cosine_top_k_of_many_queries(spark, monkeypatch):
+    """Every id divisible by 50 against brute force, over several blocks of either side."""
+    monkeypatch.setattr(models, "VECTOR_BLOCK", 100)
+    monkeypatch.setattr(models, "QUERY_BLOCK", 4)
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(500)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    found = {(x["query_id"], x["rank"]): x["vec_id"] for x in models.cosine_top_k(v, v.where("vec_id % 50 = 0"), 3).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    assert len(found) == 30
+    for q in range(0, 500, 50):
+        best = sorted(range(500), key=lambda i: (-cosine(rows[q][1], rows[i][1]), i))[:3]
+        assert [found[q, k] for k in (1, 2, 3)] == best
