@@ -67,6 +67,14 @@ def zonal(pixels: DataFrame, zone: str, value: str) -> DataFrame:
     return stats.withColumn("stats_mean", F.col("stats_sum") / F.col("stats_count"))
 
 
+def composite(pixels: DataFrame, value: str) -> DataFrame:
+    """Median (place count div 2 of the sorted values) and greatest value of each x, y, from counts of distinct values."""
+    at = Window.partitionBy("x", "y")
+    counts = pixels.groupBy("x", "y", value).agg(F.count(F.lit(1)).alias("n"))
+    run = counts.select("x", "y", value, F.sum("n").over(at.orderBy(value)).alias("upto"), F.sum("n").over(at).alias("all"))
+    return run.groupBy("x", "y").agg(F.min(F.when(F.expr("upto > `all` div 2"), F.col(value))).alias("median"), F.max(value).alias("greenest"))
+
+
 def compact(tiles: DataFrame, z: int) -> DataFrame:
     """Four sibling tiles become their parent, level by level."""
     out, level = None, tiles.select("cell").distinct()

@@ -289,8 +289,7 @@ def a24(t):
 
 @query("A25_composite", f"select x::int as x, y::int as y, list_sort(list(data))[count(*)//2 + 1] as median, max(data) as greenest from {PIXELS} group by 1, 2")
 def a25(t):
-    p = t.pixels.groupBy(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
-    return p.agg(F.expr("array_sort(collect_list(data))[int(count(*) div 2)]").alias("median"), F.max_by("data", "data").alias("greenest"))
+    return agg.composite(t.pixels.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "data"), "data")
 
 
 @query("A26_coarsen", f"select p_partkey, (x//2)::int as x, (y//2)::int as y, max(data) as top from {PIXELS} group by 1, 2, 3")

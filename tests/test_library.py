@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from gridjobs.functions import geo, shapes
-from gridjobs.operators import joins, models
+from gridjobs.operators import aggregates, joins, models
+from gridjobs.plans import registry
 from gridjobs.sources import files
 
 
@@ -109,3 +110,14 @@ def test_cosine_top_k_of_many_queries(spark, monkeypatch):
     for q in range(0, 500, 50):
         best = sorted(range(500), key=lambda i: (-cosine(rows[q][1], rows[i][1]), i))[:3]
         assert [found[q, k] for k in (1, 2, 3)] == best
+
+
+def test_composite_keeps_no_lists(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(3), r.randrange(2), r.randrange(10)) for _ in range(2000)] + [(9, 9, 4), (8, 8, 7), (8, 8, 2)]
+    found = {(x["x"], x["y"]): (x["median"], x["greenest"]) for x in aggregates.composite(spark.createDataFrame(rows, "x int, y int, data int"), "data").collect()}
+    for at in {row[:2] for row in rows}:
+        values = sorted(v for *xy, v in rows if tuple(xy) == at)
+        assert found[at] == (values[len(values) // 2], values[-1])
+    plan = registry.QUERIES["A25_composite"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
