@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 
+RANGES = 64  # of a column's distinct values, within which ranks are counted
+
+
 def roll_up(df: DataFrame, cell: Column, metrics: list[str]) -> DataFrame:
     """Coarser cells; the suffix of a metric names how it is combined (_sum, _avg, _min, _max, _cnt)."""
     how = {"sum": F.sum, "cnt": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
@@ -52,8 +55,13 @@ def correlations(df: DataFrame, columns: list[str], ranks: bool = False) -> Data
     if ranks:
         for c in columns:
             counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col(c).isNotNull())
-            below = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-            ranked = counts.select(c, (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"{c} rank"))
+            cuts = sorted(set(counts.agg(F.percentile_approx(c, [i / RANGES for i in range(1, RANGES)]).alias("c")).first()["c"] or []))
+            part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(c))) if cuts else F.lit(0)
+            placed = counts.select(c, "n", part.alias(f"{c} part"))
+            earlier = Window.orderBy(f"{c} part").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows at most
+            sizes = placed.groupBy(f"{c} part").agg(F.sum("n").alias("n")).select(f"{c} part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+            below = Window.partitionBy(f"{c} part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+            ranked = placed.join(F.broadcast(sizes), f"{c} part").select(c, (F.col("before") + F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"{c} rank"))
             df = df.join(ranked, c, "left").drop(c).withColumnRenamed(f"{c} rank", c)
     pairs = [(a, b) for a in columns for b in columns]
     wide = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))

@@ -121,3 +121,25 @@ def test_composite_keeps_no_lists(spark):
         assert found[at] == (values[len(values) // 2], values[-1])
     plan = registry.QUERIES["A25_composite"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_rank_correlation_in_key_ranges(spark):
+    """Equal to ranks by sorting, with ties; no window holds more than a range of a column."""
+    r = random.Random(6)
+    rows = [(float(r.randrange(300)), float(r.randrange(10**6))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+
+    def ranks(values):
+        at = {}
+        for i, v in enumerate(sorted(values), 1):
+            at.setdefault(v, []).append(i)
+        return [sum(at[v]) / len(at[v]) for v in values]
+
+    a, b = (ranks(x) for x in zip(*rows, strict=True))
+    mean = (len(rows) + 1) / 2
+    cov = lambda x, y: sum((i - mean) * (j - mean) for i, j in zip(x, y, strict=True))
+    found = aggregates.correlations(df, ["a", "b"], ranks=True)
+    assert abs(found.where("x = 'a' and y = 'b'").first()["r"] - cov(a, b) / math.sqrt(cov(a, a) * cov(b, b))) < 1e-9
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and all(" part#" in line for line in windows)
