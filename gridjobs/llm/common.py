@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side of at most so many rows of a few numbers may be broadcast (about 32 MB at 32 bytes a row).
-BROADCAST_ROWS = 1_000_000
+#: A join side of at most so many bytes, by its rows and the width that the caller states, may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. There is no other place for intermediates."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridjobs-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
     return found
 
 
@@ -43,10 +41,19 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows; else as it is, for a shuffled join."""
+def maybe_broadcast(df: DataFrame, rows: int | None = None, width: int = 64) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, of ``width`` bytes each at most, make BROADCAST_BYTES at most; else as it
+    is, for a shuffled join."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -1,80 +1,73 @@
 """Line dedup by fuzzy matching of lines, with DataFrame operations only.
 
-Lines that are equal once trimmed are one class. A class's signature is ROWS * BANDS minima over its character shingles
-(of long lines, over the quarter of the shingles whose hash is divisible by four: the same ones in every line), made by
-one map-side aggregation over exploded shingles. Lines of lengths that can be similar to both shorter and longer ones
-have both kinds of signature, so no pair is split by the length at which the kind changes. Classes that agree in a whole band are candidates; candidates are
-confirmed by exact Jaccard similarity of all their shingles; distributed union-find joins the confirmed links, and of
-every component only the line that comes first (doc_id, then position) stays.
+Lines that are equal once trimmed are one class. A class's signature comes from one map-side aggregation over its exploded
+character shingles: the hash deals the shingles into BANDS bins, and a bin's band is the least of its shingles in each of
+ROWS orders (one of ROWS minima over an eighth of the set). The same rule holds for lines of every length; a short line
+has fewer bands, and one differing shingle spoils one band at most. Classes that agree in a band are candidates. Bitmaps of the shingles give an exact upper bound of the similarity,
+which rejects most candidates; the rest are confirmed by exact Jaccard similarity of all their shingles. Distributed
+union-find joins the confirmed links, and of every component only the line that comes first (doc_id, then position) stays.
 
 Within a band's bucket each class is first paired with the bucket's first and with the one before it, which joins most
 groups at the cost of a bucket's size. Buckets of a crowded share of the bands are salted, and the salted parts' firsts
 paired. Then buckets that still hold several components are gone through again, in blocks of BLOCK against BLOCK: all
-their pairs of different components are compared, so every pair that agrees in a band is linked or was compared.
+their pairs of different components are tried, so every pair that agrees in a band is linked or was compared.
 
-Defined results: a null text has no lines and stays null; lines end at a line feed; blank lines are always kept. A line
-shorter than a shingle is one shingle. Repeated lines within a document count like those of other documents. Of rows
-that share a doc_id, equal positions stand and fall together. Other columns pass through.
+Defined results: a null text has no lines and stays null; lines end at a line feed; lines of white space alone are always
+kept. A line shorter than a shingle is one shingle; a line of any length counts whole. Repeated lines within a document
+count like those of other documents; which of equal places comes first cannot matter. Of rows that share a doc_id, equal
+positions stand and fall together; rows without a doc_id take no part and stay as they are. An empty table gives no rows.
+Other columns pass through, whatever their names, but for ``n_lines`` and ``n_removed``, which are replaced.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, maybe_broadcast, release, table
+from .common import free_name, materialize, maybe_broadcast, release, table
 from .components import connected_components
 
 SHINGLE = 8
 ROWS, BANDS = 3, 8
 PERCENT = 80
-WHOLE = 64  # distinct shingles up to which a line's signature uses all of them
-LEAST, MOST = -(-PERCENT * (WHOLE + 1) // 100), WHOLE * 100 // PERCENT  # what can be similar to a line on WHOLE's other side
-PREFIX = 128  # positions of a longer line that are enough to tell most lines of more than MOST distinct shingles
 CROWDED = 20_000  # rows of one of 65536 shares of the bands beyond which its buckets are salted
 BLOCK = 256  # classes of a bucket that meet as many others in one group
-_r = random.Random(4)
-#: One order of 64-bit hashes for each minimum: nearness to a constant, constants spread over the leading bits.
-CONSTANTS = [((j * 64 // (ROWS * BANDS)) << 58 | _r.getrandbits(58)) - (1 << 63) for j in range(ROWS * BANDS)]
+#: Bits of a shingle's hash from which each order reads; the lowest bits say the bin, as many as BANDS.
+ORDERS = (33, 21, 9)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line (trimmed, not blank) and its two hashes."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    each = each.withColumn("line", F.trim("line")).where("line <> ''")
+    each = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    each = each.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where("line <> ''")
     return each.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(9), "line"))
 
 
-def shingle(units: str, at: str) -> Column:
-    """Hash of the SHINGLE characters from the 0-based place ``at`` of UTF-16 ``units``."""
-    return F.expr(f"xxhash64(substring({units}, 2 * {at} + 1, {2 * SHINGLE}))")
+def shingled(each: DataFrame, *more: str) -> DataFrame:
+    """k1, k2, ``more`` columns, and a row for each place ``at`` with its shingle's hash h. ``units`` are UTF-16."""
+    units = each.select("k1", "k2", *more, F.encode("line", "UTF-16BE").alias("units")).withColumn("last", last_place("units"))
+    at = units.select("k1", "k2", *more, "units", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
+    return at.withColumn("h", F.expr(f"xxhash64(substring(units, 2 * at + 1, {2 * SHINGLE}))"))
 
 
-def kinds(units: str, last: str) -> Column:
-    """The kinds of signature of a line, by its number of distinct shingles: 0 over all of them, 1 over the sampled ones."""
-    distinct = lambda end: f"size(array_distinct(transform(sequence(0, {end}), p -> xxhash64(substring({units}, 2 * p + 1, {2 * SHINGLE})))))"
-    exact = f"transform(array({distinct(last)}), n -> CASE WHEN n < {LEAST} THEN array(0) WHEN n <= {MOST} THEN array(0, 1) ELSE array(1) END)[0]"
-    return F.expr(f"CASE WHEN {last} + 1 < {LEAST} THEN array(0) WHEN {last} >= {PREFIX} AND {distinct(PREFIX - 1)} > {MOST} THEN array(1) ELSE {exact} END")
+def last_place(units: str) -> Column:
+    """The last place of a shingle."""
+    return F.expr(f"greatest(0, int(octet_length({units}) div 2) - {SHINGLE})")
 
 
 def signatures(each: DataFrame) -> DataFrame:
-    """k1, k2, copies and the hash of each band of every class of lines; a row for each kind of its signatures."""
-    units = each.select("k1", "k2", F.encode("line", "UTF-16BE").alias("units")).withColumn("last", F.expr(f"greatest(0, int(octet_length(units) div 2) - {SHINGLE})"))
-    units = units.select("k1", "k2", "units", "last", F.explode(kinds("units", "last")).alias("kind"))
-    every = units.select("k1", "k2", "kind", "units", F.explode(F.sequence(F.lit(0), "last")).alias("at")).withColumn("h", shingle("units", "at"))
-    used = every.where((F.col("at") == 0) | (F.col("kind") == 0) | (F.col("h").bitwiseAND(3) == 0))
-    least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 33).cast("int")).alias(f"m{j}") for j, c in enumerate(CONSTANTS)]
-    found = used.groupBy("k1", "k2", "kind").agg(F.sum(F.expr("int(at = 0)")).alias("copies"), *least)
-    bands = [F.xxhash64(F.lit(b), "kind", *(F.col(f"m{b + r * BANDS}") for r in range(ROWS))) for b in range(BANDS)]
-    return found.select("k1", "k2", "copies", F.array(*bands).alias("bands"))
+    """k1, k2 and a band's hash for each full bin of every class of lines; in one row of a class ``copies`` is the number
+    of its lines, in its others 0."""
+    orders = [F.expr(f"int(shiftrightunsigned(h, {s}) & 2147483647)").alias(f"v{r}") for r, s in enumerate(ORDERS)]
+    at = shingled(each).select("k1", "k2", "at", F.expr(f"int(h & {BANDS - 1})").alias("bin"), *orders)
+    found = at.groupBy("k1", "k2", "bin").agg(F.sum(F.expr("int(at = 0)")).alias("copies"), *[F.min(f"v{r}").alias(f"v{r}") for r in range(ROWS)])
+    return found.select("k1", "k2", "copies", F.xxhash64("bin", *[f"v{r}" for r in range(ROWS)]).alias("band"))
 
 
 def buckets(signed: DataFrame) -> DataFrame:
     """Classes b (a struct of two hashes) by band, of buckets that hold several: n of them, the one before and the first,
     within salts of the buckets of crowded shares."""
-    each = signed.select(F.struct("k1", "k2").alias("b"), F.explode("bands").alias("band"))
+    each = signed.select(F.struct("k1", "k2").alias("b"), "band")
     share = F.pmod("band", F.lit(1 << 16))
     crowded = [r["share"] for r in each.groupBy(share.alias("share")).count().where(F.col("count") > CROWDED).collect()]  # 65536 at most
     each = each.withColumn("crowded", share.isin(crowded) if crowded else F.lit(False))
@@ -94,73 +87,95 @@ def candidates(met: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def rest(met: DataFrame, merged: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All other pairs (a, b) that agree in a band and are in different components of ``merged``."""
-    named = maybe_broadcast(merged.select(F.col("node").alias("b"), "component"))
+def bitmaps(each: DataFrame, met: DataFrame) -> DataFrame:
+    """x (k1, k2), units, places and the words of the bitmap of every class that is in a bucket."""
+    used = materialize(met.select("b.k1", "b.k2").distinct(), "used")
+    texts = each.select("k1", "k2", "line").join(maybe_broadcast(used, width=32), ["k1", "k2"], "left_semi")
+    texts = materialize(texts.groupBy("k1", "k2").agg(F.min("line").alias("line")), "lines")
+    at = shingled(texts).select("k1", "k2", F.expr(f"int(h & {BANDS - 1})").alias("bin"), F.expr("shiftleft(1L, int(shiftright(h, 3) & 63))").alias("bit"), F.expr("(h & 512) = 0").alias("low"))
+    words = at.groupBy("k1", "k2", "bin").agg(F.count(F.lit(1)).alias("places"), F.expr("bit_or(if(low, bit, 0L)) as w0"), F.expr("bit_or(if(low, 0L, bit)) as w1"))
+    each_word = [F.coalesce(F.max(F.when(F.col("bin") == b, F.col(w))), F.lit(0)) for b in range(BANDS) for w in ("w0", "w1")]
+    words = words.groupBy("k1", "k2").agg(F.sum("places").alias("places"), F.array(*each_word).alias("bits"))
+    out = texts.select("k1", "k2", F.encode("line", "UTF-16BE").alias("units")).join(words, ["k1", "k2"])
+    out = materialize(out.select(F.struct("k1", "k2").alias("x"), "units", F.struct("places", "bits").alias("map")), "bitmaps")
+    release(used, texts)
+    return out
+
+
+def possible(a: str, b: str) -> Column:
+    """False where the bitmaps rule the similarity out: each bit that only one of two sets has stands for a member that
+    only that set has, and a set has no more members than its line has places."""
+    both = f"aggregate(zip_with({a}.bits, {b}.bits, (x, y) -> shiftleft(bigint(bit_count(x & ~y)), 32) + bit_count(y & ~x)), 0L, (s, n) -> s + n)"
+    bound = f"{100 - PERCENT} * least({a}.places - shiftright(n, 32), {b}.places - (n & 4294967295)) >= {PERCENT} * (shiftright(n, 32) + (n & 4294967295))"
+    return F.expr(f"exists(array({both}), n -> {bound})")
+
+
+def rest(met: DataFrame, merged: DataFrame, pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """All other possible pairs (a, b) that agree in a band and are in different components of ``merged``."""
+    named = maybe_broadcast(merged.select(F.col("node").alias("b"), "component"), width=96)
     # the pair of a bucket of two has been compared
     held = materialize(met.where("n > 2 or crowded").select("band", "b").join(named, "b", "left").select("band", "b", F.coalesce("component", "b").alias("component")), "held")
     sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = materialize(sizes.where("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    placed = held.join(maybe_broadcast(mixed), "band").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    left = placed.select("band", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("b").alias("x"), F.col("component").alias("x_component"))
-    right = placed.select("band", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("b").alias("y"), F.col("component").alias("y_component"))
-    apart = left.join(right, ["band", "i", "j"]).where("x_component <> y_component and (i < j or x < y)")
-    found = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    placed = held.join(maybe_broadcast(mixed, width=24), "band").join(maps.select(F.col("x").alias("b"), "map"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    placed = materialize(placed, "placed")
+    left = placed.select("band", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("map").alias("x_map"))
+    right = placed.select("band", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("b").alias("y"), F.col("component").alias("y_component"), F.col("map").alias("y_map"))
+    apart = F.expr("x_component <> y_component and (l.i < l.j or x < y)")
+    found = left.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & apart & possible("x_map", "y_map"))
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     found = materialize(found, "rest")
-    release(held, mixed)
+    release(held, mixed, placed)
     return found
 
 
-def confirmed(each: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(maps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets of shingles reach the similarity."""
-    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.k1", "x.k2").distinct(), "used")
-    texts = each.select("k1", "k2", "line").join(maybe_broadcast(used), ["k1", "k2"], "left_semi")
-    texts = materialize(texts.groupBy("k1", "k2").agg(F.min("line").alias("line")).select(F.struct("k1", "k2").alias("x"), F.encode("line", "UTF-16BE").alias("units")), "lines")
     met = pairs
     for c in "ab":
-        met = met.join(texts.select(F.col("x").alias(c), F.col("units").alias(f"units_{c}")), c)
+        met = met.join(maps.select(F.col("x").alias(c), F.col("units").alias(f"units_{c}"), F.col("map").alias(f"map_{c}")), c)
+    met = met.where(possible("map_a", "map_b"))
     for c in "ab":
         met = met.withColumn(f"set_{c}", F.expr(f"array_distinct(transform(sequence(0, greatest(0, int(octet_length(units_{c}) div 2) - {SHINGLE})), p -> xxhash64(substring(units_{c}, 2 * p + 1, {2 * SHINGLE}))))"))
     met = met.select("a", "b", F.size("set_a").alias("n"), F.size("set_b").alias("m"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
-    links = materialize(met.where(f"100 * both >= {PERCENT} * (n + m - both)").select("a", "b"), "links")
-    release(used, texts)
-    return links
+    return materialize(met.where(f"100 * both >= {PERCENT} * (n + m - both)").select("a", "b"), "links")
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """doc_id and ``drop`` (array<int>), the positions of its lines that go."""
+    """doc_id and ``gone`` (array<int>), the positions of its lines that go."""
     each = lines(docs)
     signed = materialize(signatures(each), "bands")
     met = materialize(buckets(signed), "buckets")
+    maps = bitmaps(each, met)
     pairs = materialize(candidates(met), "pairs")
-    links = confirmed(each, pairs)
+    links = confirmed(maps, pairs)
     merged = connected_components(links)
-    more = rest(met, merged, pairs)
-    new = confirmed(each, more)
-    if new.limit(1).count():
-        merged = connected_components(links.unionByName(new))
-    merged = merged.select("node.k1", "node.k2", "component")
-    again = signed.where("copies > 1").select("k1", "k2").distinct().join(merged, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
+    more = rest(met, merged, pairs, maps)
+    new = confirmed(maps, more)
+    whole = connected_components(links.unionByName(new)) if new.limit(1).count() else merged
+    named = whole.select("node.k1", "node.k2", "component")
+    again = signed.where("copies > 1").select("k1", "k2").join(named, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
     again = materialize(again, "again")
     place = F.struct("doc_id", "pos")
     copies = materialize(each.select("doc_id", "pos", "k1", "k2").join(maybe_broadcast(again), ["k1", "k2"]).select("doc_id", "pos", "component"), "copies")
-    first = copies.groupBy("component").agg(F.min(place).alias("first"))
+    first = materialize(copies.groupBy("component").agg(F.min(place).alias("first")), "first")
     gone = copies.join(first, "component").where(place > F.col("first"))
-    out = materialize(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop")), "drop")
-    release(signed, met, pairs, links, more, new, again, copies)
+    out = materialize(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")), "gone")
+    release(signed, met, maps, pairs, links, more, new, again, copies, first, merged, *([whole] if whole is not merged else []))
     return out
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without lines that repeat, exactly or nearly, an earlier one; with ``n_lines`` and ``n_removed``."""
     gone = dropped(docs)
-    size = gone.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("drop")).alias("lines")).first()
-    rows = max(size["docs"], (size["lines"] or 0) // 4)
-    met = docs.drop("n_lines", "n_removed").join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, "doc_id", "left")
+    size = gone.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("gone")).alias("lines")).first()
+    name, own = free_name(docs, "gone"), free_name(docs, "of")
+    gone = gone.select(F.col("doc_id").alias(own), F.col("gone").alias(name))
+    met = docs.join(maybe_broadcast(gone, size["docs"] + (size["lines"] or 0) // 16), docs["doc_id"] == gone[own], "left")
     parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    columns = [F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return met.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_removed"))
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(name), i)), "\n")
+    columns = [F.when(F.col(name).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return met.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.coalesce(F.size(name), F.lit(0)).alias("n_removed"))
 
 
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
