@@ -10,7 +10,8 @@ union-find joins the confirmed links, and of every component only the line that
 Within a band's bucket each class is first paired with the bucket's first and with the one before it, which joins most
 groups at the cost of a bucket's size. Buckets of a crowded share of the bands are salted, and the salted parts' firsts
 paired. Then buckets that still hold several components are gone through again, in blocks of BLOCK against BLOCK: all
-their pairs of different components are tried, so every pair that agrees in a band is linked or was compared.
+their pairs of different components are compared within the join, which gives links only; so every pair that agrees in a
+band is linked or was compared.
 
 Defined results: a null text has no lines and stays null; lines end at a line feed; lines of white space alone are always
 kept. A line shorter than a shingle is one shingle; a line of any length counts whole. Repeated lines within a document
@@ -31,7 +32,7 @@ SHINGLE = 8
 ROWS, BANDS = 3, 8
 PERCENT = 80
 CROWDED = 20_000  # rows of one of 65536 shares of the bands beyond which its buckets are salted
-BLOCK = 256  # classes of a bucket that meet as many others in one group
+BLOCK = 1024  # classes of a bucket that meet as many others in one group
 #: Bits of a shingle's hash from which each order reads; the lowest bits say the bin, as many as BANDS.
 ORDERS = (33, 21, 9)
 
@@ -56,25 +57,25 @@ def last_place(units: str) -> Column:
 
 
 def signatures(each: DataFrame) -> DataFrame:
-    """k1, k2 and a band's hash for each full bin of every class of lines; in one row of a class ``copies`` is the number
+    """k1, k2, bin and a band's hash for each full bin of every class of lines; in one row of a class ``copies`` is the number
     of its lines, in its others 0."""
     orders = [F.expr(f"int(shiftrightunsigned(h, {s}) & 2147483647)").alias(f"v{r}") for r, s in enumerate(ORDERS)]
     at = shingled(each).select("k1", "k2", "at", F.expr(f"int(h & {BANDS - 1})").alias("bin"), *orders)
     found = at.groupBy("k1", "k2", "bin").agg(F.sum(F.expr("int(at = 0)")).alias("copies"), *[F.min(f"v{r}").alias(f"v{r}") for r in range(ROWS)])
-    return found.select("k1", "k2", "copies", F.xxhash64("bin", *[f"v{r}" for r in range(ROWS)]).alias("band"))
+    return found.select("k1", "k2", "copies", "bin", F.xxhash64("bin", *[f"v{r}" for r in range(ROWS)]).alias("band"))
 
 
 def buckets(signed: DataFrame) -> DataFrame:
     """Classes b (a struct of two hashes) by band, of buckets that hold several: n of them, the one before and the first,
     within salts of the buckets of crowded shares."""
-    each = signed.select(F.struct("k1", "k2").alias("b"), "band")
+    each = signed.select(F.struct("k1", "k2").alias("b"), "bin", "band")
     share = F.pmod("band", F.lit(1 << 16))
     crowded = [r["share"] for r in each.groupBy(share.alias("share")).count().where(F.col("count") > CROWDED).collect()]  # 65536 at most
     each = each.withColumn("crowded", share.isin(crowded) if crowded else F.lit(False))
     each = each.withColumn("salt", F.when(F.col("crowded"), F.pmod("b.k1", F.lit(64))).otherwise(0))
     whole = Window.partitionBy("band", "salt")
     by = whole.orderBy("b")
-    met = each.select("b", "band", "crowded", F.count(F.lit(1)).over(whole).alias("n"), F.lag("b").over(by).alias("before"), F.first("b").over(by).alias("first"))
+    met = each.select("b", "bin", "band", "crowded", F.count(F.lit(1)).over(whole).alias("n"), F.lag("b").over(by).alias("before"), F.first("b").over(by).alias("first"))
     return met.where("n > 1 or crowded")
 
 
@@ -110,22 +111,38 @@ def possible(a: str, b: str) -> Column:
     return F.expr(f"exists(array({both}), n -> {bound})")
 
 
-def rest(met: DataFrame, merged: DataFrame, pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    """All other possible pairs (a, b) that agree in a band and are in different components of ``merged``."""
+def shingle_set(units: str) -> str:
+    """The distinct shingles of UTF-16 ``units``, which are bound to a variable: a column would be copied for each one."""
+    each = f"transform(sequence(0, greatest(0, int(octet_length(u) div 2) - {SHINGLE})), p -> xxhash64(substring(u, 2 * p + 1, {2 * SHINGLE})))"
+    return f"array_distinct(transform(array({units}), u -> {each})[0])"
+
+
+def similar(a: str, b: str) -> Column:
+    """Whether two sets of shingles reach the similarity; each expression is evaluated once."""
+    enough = f"exists(array(size(array_intersect(s.a, s.b))), n -> 100 * n >= {PERCENT} * (size(s.a) + size(s.b) - n))"
+    return F.expr(f"exists(array(named_struct('a', {a}, 'b', {b})), s -> {enough})")
+
+
+def rest(met: DataFrame, merged: DataFrame, maps: DataFrame) -> DataFrame:
+    """All other similar pairs (a, b) that agree in a band and are in different components of ``merged``."""
     named = maybe_broadcast(merged.select(F.col("node").alias("b"), "component"), width=96)
     # the pair of a bucket of two has been compared
-    held = materialize(met.where("n > 2 or crowded").select("band", "b").join(named, "b", "left").select("band", "b", F.coalesce("component", "b").alias("component")), "held")
+    held = materialize(met.where("n > 2 or crowded").select("band", "bin", "b").join(named, "b", "left").select("band", "bin", "b", F.coalesce("component", "b").alias("component")), "held")
     sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = materialize(sizes.where("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    placed = held.join(maybe_broadcast(mixed, width=24), "band").join(maps.select(F.col("x").alias("b"), "map"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    placed = materialize(placed, "placed")
-    left = placed.select("band", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("map").alias("x_map"))
-    right = placed.select("band", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("b").alias("y"), F.col("component").alias("y_component"), F.col("map").alias("y_map"))
-    apart = F.expr("x_component <> y_component and (l.i < l.j or x < y)")
-    found = left.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & apart & possible("x_map", "y_map"))
-    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = materialize(found, "rest")
-    release(held, mixed, placed)
+    stored = placed = materialize(held.join(maybe_broadcast(mixed, width=24), "band").select("b", "component", "band", "bin", "blocks"), "placed")
+    sets = placed.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("bin", "band"))).alias("bands"))  # BANDS at most
+    sets = materialize(sets.join(maps.select(F.col("x").alias("b"), F.expr(shingle_set("units")).alias("set"), "map"), "b"), "sets")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(sets, "b")
+    side = lambda name, i, j: placed.select("band", i.alias("i"), j.alias("j"), F.struct(F.col("b").alias("id"), "component", "bin", "bands", "set", "map").alias(name))
+    left = side("l", F.col("block"), F.explode(F.expr("sequence(block, blocks - 1)")))
+    right = side("r", F.explode(F.expr("sequence(0, block)")), F.col("block"))
+    same = [left[c] == right[c] for c in ("band", "i", "j")]
+    apart = (left["i"] < left["j"]) | (F.col("l.id") < F.col("r.id"))
+    once = F.expr(f"not exists(sequence(0, {BANDS - 1}), k -> coalesce(k < l.bin and l.bands[k] = r.bands[k], false))")  # in their first common band
+    found = left.join(right, same[0] & same[1] & same[2] & (F.col("l.component") != F.col("r.component")) & apart & possible("l.map", "r.map") & once & similar("l.set", "r.set"))
+    found = materialize(found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "rest")
+    release(held, mixed, stored, sets)
     return found
 
 
@@ -134,11 +151,7 @@ def confirmed(maps: DataFrame, pairs: DataFrame) -> DataFrame:
     met = pairs
     for c in "ab":
         met = met.join(maps.select(F.col("x").alias(c), F.col("units").alias(f"units_{c}"), F.col("map").alias(f"map_{c}")), c)
-    met = met.where(possible("map_a", "map_b"))
-    for c in "ab":
-        met = met.withColumn(f"set_{c}", F.expr(f"array_distinct(transform(sequence(0, greatest(0, int(octet_length(units_{c}) div 2) - {SHINGLE})), p -> xxhash64(substring(units_{c}, 2 * p + 1, {2 * SHINGLE}))))"))
-    met = met.select("a", "b", F.size("set_a").alias("n"), F.size("set_b").alias("m"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
-    return materialize(met.where(f"100 * both >= {PERCENT} * (n + m - both)").select("a", "b"), "links")
+    return materialize(met.where(possible("map_a", "map_b") & similar(shingle_set("units_a"), shingle_set("units_b"))).select("a", "b"), "links")
 
 
 def dropped(docs: DataFrame) -> DataFrame:
@@ -150,8 +163,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     pairs = materialize(candidates(met), "pairs")
     links = confirmed(maps, pairs)
     merged = connected_components(links)
-    more = rest(met, merged, pairs, maps)
-    new = confirmed(maps, more)
+    new = rest(met, merged, maps)
     whole = connected_components(links.unionByName(new)) if new.limit(1).count() else merged
     named = whole.select("node.k1", "node.k2", "component")
     again = signed.where("copies > 1").select("k1", "k2").join(named, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
@@ -161,7 +173,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     first = materialize(copies.groupBy("component").agg(F.min(place).alias("first")), "first")
     gone = copies.join(first, "component").where(place > F.col("first"))
     out = materialize(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")), "gone")
-    release(signed, met, maps, pairs, links, more, new, again, copies, first, merged, *([whole] if whole is not merged else []))
+    release(signed, met, maps, pairs, links, new, again, copies, first, merged, *([whole] if whole is not merged else []))
     return out
 
 
