@@ -131,18 +131,18 @@ def rest(met: DataFrame, merged: DataFrame, maps: DataFrame) -> DataFrame:
     sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = materialize(sizes.where("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     stored = placed = materialize(held.join(maybe_broadcast(mixed, width=24), "band").select("b", "component", "band", "bin", "blocks"), "placed")
-    sets = placed.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("bin", "band"))).alias("bands"))  # BANDS at most
-    sets = materialize(sets.join(maps.select(F.col("x").alias("b"), F.expr(shingle_set("units")).alias("set"), "map"), "b"), "sets")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(sets, "b")
-    side = lambda name, i, j: placed.select("band", i.alias("i"), j.alias("j"), F.struct(F.col("b").alias("id"), "component", "bin", "bands", "set", "map").alias(name))
+    texts = placed.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("bin", "band"))).alias("bands"))  # BANDS at most
+    texts = materialize(texts.join(maps.select(F.col("x").alias("b"), "units", "map"), "b"), "texts")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(texts, "b")
+    side = lambda name, i, j: placed.select("band", i.alias("i"), j.alias("j"), F.struct(F.col("b").alias("id"), "component", "bin", "bands", "units", "map").alias(name))
     left = side("l", F.col("block"), F.explode(F.expr("sequence(block, blocks - 1)")))
     right = side("r", F.explode(F.expr("sequence(0, block)")), F.col("block"))
     same = [left[c] == right[c] for c in ("band", "i", "j")]
     apart = (left["i"] < left["j"]) | (F.col("l.id") < F.col("r.id"))
     once = F.expr(f"not exists(sequence(0, {BANDS - 1}), k -> coalesce(k < l.bin and l.bands[k] = r.bands[k], false))")  # in their first common band
-    found = left.join(right, same[0] & same[1] & same[2] & (F.col("l.component") != F.col("r.component")) & apart & possible("l.map", "r.map") & once & similar("l.set", "r.set"))
+    found = left.join(right, same[0] & same[1] & same[2] & (F.col("l.component") != F.col("r.component")) & apart & possible("l.map", "r.map") & once & similar(shingle_set("l.units"), shingle_set("r.units")))
     found = materialize(found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct(), "rest")
-    release(held, mixed, stored, sets)
+    release(held, mixed, stored, texts)
     return found
 
 
