@@ -2,19 +2,22 @@
 transforms.
 
 Every start of such a string ("window") belongs to the run of windows that share its minimizer: the least hash of the
-GRAM-byte strings within it. Equal windows have equal minimizers, so only runs of one minimizer need to be compared, and
-runs with equal bytes repeat each other whole. What remains are runs of one minimizer with different bytes, at the edges
-of repeated passages: their bytes are strings of a collection whose shards' transforms are built by prefix doubling and
-merged by iterative interleave refinement. Round h of it puts all suffixes in the order of their first h symbols by one
-stable counting sort of the interleaved transforms; where a boundary appears first, the common prefix is h - 1 long;
-what no boundary parts after LENGTH rounds is an interval of repeats. No suffixes are sorted anew.
-
-Skew: within a block of texts, a run met again is known to repeat and goes out as an interval, not to the shuffle. A
-minimizer with more than HOT runs is taken apart into its windows, which are compared by 128-bit hashes under a
-map-side aggregation, so no group is gathered.
+GRAM-byte strings within it. Equal windows have equal minimizers, so runs whose minimizer occurs once are done with. The
+others are strings of collections of about COLLECTION bytes, whole minimizers each; runs with equal bytes are one string
+with several places. The transforms of a collection's shards are built by prefix doubling and merged by iterative
+interleave refinement. Round h of it puts all suffixes in the order of their first h symbols, each by the place that the
+suffix a symbol shorter had in the round before; suffixes that stand alone have found their place and are passed over.
+Where a boundary appears first, the common prefix is h - 1 long; what no boundary parts after LENGTH rounds is an
+interval. Windows of an interval with several places are repeats. No suffixes are sorted anew.
+
+Skew: within a block of texts, a run met again is known to repeat and goes out as an interval, not to the comparison. A
+minimizer with more than HOT different strings is taken apart into its windows, which are compared by 128-bit hashes
+under a map-side aggregation, so no group is gathered.
 
 Defined results: a null text is empty; windows do not cross texts. Order is by doc_id, then start; equal positions (rows
-repeated with their doc_id) are one. Texts under LENGTH bytes are kept whole, an empty table gives no rows.
+repeated with their doc_id) are one; rows without a doc_id take no part and stay whole. Texts under LENGTH bytes are kept
+whole, a text of any length is one string of windows; an empty table gives no rows. Columns besides doc_id and text pass
+through whatever their names, and only where texts are given back.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix, spans, views
-from .common import materialize, maybe_broadcast, release, table
+from .common import BROADCAST_BYTES, free_name, materialize, maybe_broadcast, release, table
 
 LENGTH = 100
 GRAM = 32
@@ -76,8 +80,9 @@ def coalesce(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
 
 
 def found_runs(docs: DataFrame) -> DataFrame:
-    """Runs (kind 0: minimizer, hash, doc_id, start, n windows) and, kind 1, intervals known to repeat."""
-    names = ["kind", "minimizer", "content", "doc_id", "start", "stop"]
+    """minimizer, content, doc_id and place (128 * start + number of windows) of each run; and intervals known to repeat,
+    with place -1 - start, their stop as content and any minimizer."""
+    names = ["minimizer", "content", "doc_id", "place"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -93,16 +98,13 @@ def found_runs(docs: DataFrame) -> DataFrame:
                 first = np.concatenate([[True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])
                 lead = np.flatnonzero(first)[np.cumsum(first) - 1]
                 again = (d != d[lead]) | (s != s[lead])
-                e = s + size + LENGTH - 1
-                for kind, pick in ((0, first), (1, again)):
-                    cols = (d[pick], s[pick], e[pick])
-                    if kind:
-                        cols = coalesce(*cols)
-                    k = len(cols[0])
-                    key, other = (m[pick].view(np.int64), c[pick].view(np.int64)) if not kind else (np.zeros(k, np.int64),) * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), *map(pa.array, (key, other, *cols))], names)
+                cut = coalesce(d[again], s[again], (s + size + LENGTH - 1)[again])
+                any_key = mix(cut[0].astype(np.uint64) + mix(cut[1].astype(np.uint64)))
+                for cols in ((m[first], c[first], d[first], s[first] * 128 + size[first]), (any_key, cut[2], cut[0], -1 - cut[1])):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind byte, minimizer long, content long, doc_id long, start long, stop long")
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    return known.mapInArrow(run, "minimizer long, content long, doc_id long, place long")
 
 
 def suffixes(text: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -130,104 +132,127 @@ def suffixes(text: np.ndarray, end: np.ndarray) -> np.ndarray:
 def merge_transforms(shards: list[tuple[np.ndarray, int]], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges shards' transforms by ``rounds`` refinements of their interleave.
 
-    shards: (transform, number of strings) each. The interleave is kept as the place of each merged suffix within its
-    shard, so a round is a counting sort by symbol and a step from each suffix to the one that is a symbol longer.
-    Gives, for each suffix of all shards in turn, its merged place, and by merged place the block of suffixes alike in
-    ``rounds`` symbols, and the common prefix with the suffix before (``rounds`` if at least that).
+    shards: (transform, number of strings) each. Gives, for each suffix of all shards in turn, its merged place, and by
+    merged place the block of suffixes alike in ``rounds`` symbols, and the common prefix with the suffix before
+    (``rounds`` if at least that).
     """
-    symbols = np.concatenate([b for b, _ in shards])
-    longer = np.zeros(len(symbols), np.int32)  # by place: that of the suffix with the symbol before it
-    ends, rest, base = [], [], 0  # the ends of strings come first
-    for b, k in shards:
+    n = sum(len(b) for b, _ in shards)
+    shorter = np.zeros(n, np.int32)  # by suffix: the one without its first symbol
+    first = np.zeros(n, np.uint8)
+    base = 0
+    for b, k in shards:  # the ends of strings come first
         inner = np.flatnonzero(b).astype(np.int32)
-        longer[base + inner[np.argsort(b[inner], kind="stable")]] = base + k + np.arange(len(inner), dtype=np.int32)
-        ends.append(base + np.arange(k, dtype=np.int32))
-        rest.append(base + np.arange(k, len(b), dtype=np.int32))
+        order = np.argsort(b[inner], kind="stable")
+        shorter[base + k : base + len(b)] = base + inner[order]
+        first[base + k : base + len(b)] = b[inner][order]
         base += len(b)
-    fixed, top = np.concatenate(ends), sum(k for _, k in shards)
-    at = np.concatenate([fixed, *rest])
-    block = np.zeros(len(at), np.int32)
-    prefix = np.zeros(len(at), np.int16)  # rounds without a boundary
-    new = np.ones(len(at), bool)
-    for _ in range(rounds):
-        merged = symbols[at]
-        order = np.argsort(merged, kind="stable")[top:]  # behind the symbols that end strings, as many as strings
-        symbol, came = merged[order], block[order]
-        at = np.concatenate([fixed, longer[at[order]]])
-        new[top + 1 :] = (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
-        prefix += ~new
-        np.cumsum(new, out=block)
-        if new.all():
+    at = np.argsort(first, kind="stable").astype(np.int32)
+    place = np.empty(n, np.int32)
+    place[at] = np.arange(n, dtype=np.int32)
+    new = np.ones(n + 1, bool)
+    new[1:n] = (first[at][1:] != first[at][:-1]) | (first[at][1:] == 0)
+    prefix = (~new[:n]).astype(np.int16)  # rounds without a boundary
+    spots = np.arange(n, dtype=np.int32)
+    for _ in range(1, rounds):
+        active = np.flatnonzero(~(new[:n] & new[1:]))
+        if not len(active):
             break
-    place = np.empty(len(at), np.int64)
-    place[at] = np.arange(len(at))
-    return place, block - 1, prefix
-
-
-def repeated(strings: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of windows of the strings (bytes at doc, start) that also start earlier."""
+        block = np.maximum.accumulate(np.where(new[:n], spots, 0))
+        came = place[shorter[at[active]]]
+        order = np.argsort(block[active].astype(np.int64) * n + came)
+        moved, came = at[active][order], block[came[order]]
+        at[active], place[moved] = moved, active
+        parted = new[active]
+        parted[1:] |= came[1:] != came[:-1]
+        new[active] = parted
+        prefix += ~new[:n]
+    return place.astype(np.int64), np.cumsum(new[:n]) - 1, prefix
+
+
+def repeated(strings: list[np.ndarray], doc: np.ndarray, start: np.ndarray, several: np.ndarray) -> tuple[tuple, tuple]:
+    """Two lots of intervals of the different strings (bytes at doc, start, their first place): those (doc, start, stop) of
+    windows that also start earlier, and for strings with ``several`` places those (string, from, to) that repeat at each
+    later place, counted from the string's start."""
     length = np.fromiter(map(len, strings), np.int64, len(strings))
     owner = np.repeat(np.arange(len(strings)), length + 1)
     text = np.zeros(len(owner), np.uint8)
     stop = np.cumsum(length + 1)
+    begin = stop - length - 1
     text[np.arange(len(text)) != stop[owner] - 1] = np.concatenate(strings) + 1
     shards, arrays = [], []
-    for a, b in spans(stop - length - 1, stop, SHARD):
-        lo, hi = int(stop[a] - length[a] - 1), int(stop[b - 1])
+    for a, b in spans(begin, stop, SHARD):
+        lo, hi = int(begin[a]), int(stop[b - 1])
         order = suffixes(text[lo:hi], stop[owner[lo:hi]] - 1 - lo)
-        before = np.where(np.isin(order + lo, stop[a:b] - length[a:b] - 1), 0, text[lo:hi][order - 1])
+        before = np.where(np.isin(order + lo, begin[a:b]), 0, text[lo:hi][order - 1])
         shards.append((before.astype(np.uint8), b - a))
         arrays.append(order + lo)
     place, block, _ = merge_transforms(shards, LENGTH)
     where = np.empty(len(text), np.int64)
     where[place] = np.concatenate(arrays)
-    sizes = np.bincount(block)
-    many = np.flatnonzero(sizes[block] > 1)
-    at, of = where[many], block[many]
-    d, s = doc[owner[at]], start[owner[at]] + at - (stop - length - 1)[owner[at]]
+    own = owner[where]
+    places = np.bincount(block, weights=1 + several[own])  # of a block's windows; two stands for more
+    many = np.flatnonzero((places[block] > 1) & (stop[own] - 1 - where >= LENGTH))
+    own, of, at = own[many], block[many], where[many] - begin[own[many]]
+    d, s = doc[own], start[own] + at
     order = np.lexsort((s, d, of))
-    of, d, s = of[order], d[order], s[order]
-    first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(of) else np.zeros(0, np.int64)
+    own, of, at, d, s = own[order], of[order], at[order], d[order], s[order]
+    first = np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     again = (d != d[lead]) | (s != s[lead])
-    return coalesce(d[again], s[again], s[again] + LENGTH)
+    later = several[own]
+    return coalesce(d[again], s[again], s[again] + LENGTH), coalesce(own[later], at[later], at[later] + LENGTH)
 
 
-def with_bytes(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """(minimizer, doc_id, start, bytes) of the wanted (minimizer, doc_id, start, stop)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("minimizer", "start", "stop")).alias("wanted"))
-    met = docs.select("doc_id", "text").join(maybe_broadcast(lists, rows), "doc_id")
+def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(minimizer, content, doc_id, place, bytes) of the wanted (minimizer, content, doc_id, place)."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("minimizer", "content", "place")).alias("wanted"))
+    met = docs.select("doc_id", "text").join(lists, "doc_id")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             if not batch.num_rows:
                 continue
-            data, starts, _ = views(batch.column("text"))
+            data, starts, ends = views(batch.column("text"))
             lists = batch.column("wanted")
             flat = lists.flatten()
             row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
-            at, to = np.asarray(flat.field("start")), np.asarray(flat.field("stop"))
-            base = starts[row]
-            for k in range(0, len(row), 1 << 15):
-                part = slice(k, k + (1 << 15))
-                found = [data[x:y].tobytes() for x, y in zip((base + at)[part].tolist(), (base + to)[part].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([flat.field("minimizer")[part], pa.array(np.asarray(batch.column("doc_id"))[row[part]]), flat.field("start")[part], pa.array(found, pa.binary())], ["minimizer", "doc_id", "start", "bytes"])
-
-    return met.mapInArrow(run, "minimizer long, doc_id long, start long, bytes binary")
-
-
-def merged_repeats(snippets: DataFrame) -> DataFrame:
-    """Intervals that repeat among snippets of one minimizer, many minimizers a collection."""
+            place = np.asarray(flat.field("place"))
+            at = starts[row] + place // 128
+            to = at + place % 128 + LENGTH - 1
+            there = np.flatnonzero(to <= ends[row])  # else it is of another text with this doc_id
+            for k in range(0, len(there), 1 << 15):
+                part = there[k : k + (1 << 15)]
+                take = pa.array(part)
+                found = [data[x:y].tobytes() for x, y in zip(at[part].tolist(), to[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([flat.field("minimizer").take(take), flat.field("content").take(take), pa.array(np.asarray(batch.column("doc_id"))[row[part]]), flat.field("place").take(take), pa.array(found, pa.binary())], ["minimizer", "content", "doc_id", "place", "bytes"])
+
+    return met.mapInArrow(run, "minimizer long, content long, doc_id long, place long, bytes binary")
+
+
+def collection_repeats(rows: pa.Table) -> pa.RecordBatch:
+    """Intervals that repeat among the places of whole minimizers, sorted by minimizer, content, doc_id and place; of equal
+    contents only the first has bytes."""
+    m, c, d, p = (rows.column(x).to_numpy() for x in ("minimizer", "content", "doc_id", "place"))
+    first = np.concatenate([[True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])
+    lead, string = np.flatnonzero(first), np.cumsum(first) - 1
+    later = np.flatnonzero((d != d[lead][string]) | (p != p[lead][string]))
+    several = np.bincount(string[later], minlength=len(lead)) > 0
+    texts = [np.frombuffer(x or b"", np.uint8) for x in rows.column("bytes").take(pa.array(lead)).to_pylist()]
+    own, (of, a, b) = repeated(texts, d[lead], p[lead] // 128, several)
+    lo, hi = np.searchsorted(of, string[later]), np.searchsorted(of, string[later], side="right")
+    row = np.repeat(later, hi - lo)
+    k = np.repeat(lo, hi - lo) + np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+    base = p[row] // 128
+    found = coalesce(*(np.concatenate(x) for x in zip(own, (d[row], base + a[k], base + b[k]), strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["doc_id", "start", "stop"])
+
+
+def merged_repeats(places: DataFrame) -> DataFrame:
+    """Intervals that repeat among the places of minimizers, many minimizers a collection."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            strings = [np.frombuffer(x, np.uint8) for x in rows.column("bytes").to_pylist()]
-            found = repeated(strings, rows.column("doc_id").to_numpy(), rows.column("start").to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["doc_id", "start", "stop"])
-
         for batch in stream:
             if not batch.num_rows:
                 continue
@@ -241,25 +266,25 @@ def merged_repeats(snippets: DataFrame) -> DataFrame:
             last = int(other[-1]) + 1 if len(other) else 0
             if not last:
                 continue
-            sizes = np.cumsum([len(x) for x in rows.column("bytes").to_pylist()])
+            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(rows.column("bytes")), 0).to_numpy())
+            edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             a = 0
             while a < last:  # whole minimizers, about COLLECTION bytes together
-                b = min(last, max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + COLLECTION))))
-                while b < last and key[b] == key[b - 1]:
-                    b += 1
-                yield out(rows.slice(a, b - a))
+                b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + COLLECTION)) + 1
+                b = min(last, int(edges[np.searchsorted(edges, max(b, a + 1))]) if b < len(key) else last)
+                yield collection_repeats(rows.slice(a, b - a))
                 a = b
             held = rows.slice(last).combine_chunks().to_batches()
             size = sum(x.column("bytes").nbytes for x in held)
         if held:
-            rows = pa.Table.from_batches(held)
-            yield out(rows)
+            yield collection_repeats(pa.Table.from_batches(held))
 
-    return snippets.repartition("minimizer").sortWithinPartitions("minimizer").mapInArrow(run, INTERVALS)
+    order = ["minimizer", "content", "doc_id", "place", F.col("bytes").isNull()]
+    return places.repartition("minimizer").sortWithinPartitions(*order).mapInArrow(run, INTERVALS)
 
 
-def windows_apart(snippets: DataFrame) -> DataFrame:
-    """The same for minimizers with very many runs: windows one by one, by 128-bit hashes."""
+def windows_apart(places: DataFrame) -> DataFrame:
+    """The same for minimizers with very many strings: windows one by one, by 128-bit hashes."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -269,42 +294,42 @@ def windows_apart(snippets: DataFrame) -> DataFrame:
                 off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 at = block.starts[row] + off
                 left, right = block.hashes(at, at + LENGTH), mix(block.hashes(at, at + LENGTH // 2) * np.uint64(3) + block.hashes(at + LENGTH // 2, at + LENGTH))
-                yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.asarray(batch.column("doc_id"))[a:b][row]), pa.array(np.asarray(batch.column("start"))[a:b][row] + off)], ["h1", "h2", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.asarray(batch.column("doc_id"))[a:b][row]), pa.array(np.asarray(batch.column("place"))[a:b][row] // 128 + off)], ["h1", "h2", "doc_id", "start"])
 
-    each = snippets.mapInArrow(run, "h1 long, h2 long, doc_id long, start long")
+    each = places.where("bytes is not null").mapInArrow(run, "h1 long, h2 long, doc_id long, start long")
     first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     return each.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Intervals (doc_id, start, stop) of bytes to remove, each covered by windows that start earlier elsewhere."""
-    stored = materialize(found_runs(docs), "runs")
-    each = stored.where("kind = 0").drop("kind")
-    share = each.groupBy(F.pmod("minimizer", F.lit(1 << 16)).alias("share")).count().where(F.col("count") > hot)
-    shares = [r["share"] for r in share.collect()]  # 65536 at most
-    crowd = None
-    if shares:
-        crowd = each.where(F.pmod("minimizer", F.lit(1 << 16)).isin(shares)).groupBy("minimizer").count().where(F.col("count") > hot).select("minimizer")
-        crowd = materialize(crowd, "hot")
-        each, crowded = each.join(maybe_broadcast(crowd), "minimizer", "left_anti"), each.join(maybe_broadcast(crowd), "minimizer", "left_semi")
-    by_content, whole = Window.partitionBy("minimizer", "content").orderBy("doc_id", "start"), Window.partitionBy("minimizer")
-    judged = each.repartition("minimizer").withColumn("again", F.dense_rank().over(by_content) > 1).withColumn("mixed", F.min("content").over(whole) < F.max("content").over(whole))
-    judged = materialize(judged.where("again or mixed").select("again", "minimizer", "doc_id", "start", "stop"), "judged")
-    edges = judged.where("not again").drop("again")
-    found = stored.where("kind = 1").select("doc_id", "start", "stop").unionByName(judged.where("again").select("doc_id", "start", "stop"))
-    found = found.unionByName(merged_repeats(with_bytes(docs, edges, edges.count())))
-    if crowd is not None:
-        found = found.unionByName(windows_apart(with_bytes(docs, crowded, crowded.count())))
+    """``cuts`` (array of start, stop) by doc_id: the bytes to remove, each covered by windows that start earlier elsewhere."""
+    same = Window.partitionBy("minimizer", "content").orderBy("doc_id", "place")
+    met = found_runs(docs).repartition("minimizer").withColumn("lead", F.row_number().over(same) == 1)
+    met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("minimizer")))
+    judged = materialize(met.where("n > 1 or place < 0").drop("n"), "judged")
+    strings = with_bytes(docs, judged.where("lead and place >= 0").drop("lead"))
+    others = judged.where("not lead and place >= 0").drop("lead")
+    crowd = materialize(judged.where("lead and place >= 0").groupBy("minimizer").count().where(F.col("count") > hot).select("minimizer"), "hot")
+    found = judged.where("place < 0").selectExpr("doc_id", "-1 - place as start", "content as stop")
+    if crowd.limit(1).count():
+        few = maybe_broadcast(crowd, width=16)
+        crowded = strings.join(few, "minimizer", "left_semi")
+        found = found.unionByName(windows_apart(crowded)).unionByName(others.join(few, "minimizer", "left_semi").selectExpr("doc_id", "place div 128 as start", f"place div 128 + place % 128 + {LENGTH - 1} as stop"))
+        strings, others = strings.join(few, "minimizer", "left_anti"), others.join(few, "minimizer", "left_anti")
+    found = found.unionByName(merged_repeats(strings.unionByName(others.withColumn("bytes", F.lit(None).cast("binary")))))
     out = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "cuts")
-    release(stored, judged, *([crowd] if crowd is not None else []))
+    release(judged, crowd)
     return out
 
 
 def kept_bytes(docs: DataFrame, cuts: DataFrame, digest: bool) -> DataFrame:
-    """``docs`` (any columns, text last read) with what is left of each text: as digest columns or as new text."""
+    """``docs`` with what is left of each text: as digest columns or as new text."""
     fields = ["doc_id"] if digest else docs.columns
     met = docs.select("doc_id", "text") if digest else docs
-    met = met.join(cuts.withColumnRenamed("cuts", "cuts of bytes"), "doc_id", "left")
+    size = cuts.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("cuts")).alias("cuts")).first()
+    name, own = free_name(met, "cuts"), free_name(met, "of")
+    cuts = cuts.select(F.col("doc_id").alias(own), F.col("cuts").alias(name))
+    met = met.join(F.broadcast(cuts) if 64 * size["docs"] + 32 * (size["cuts"] or 0) <= BROADCAST_BYTES else cuts, met["doc_id"] == cuts[own], "left").drop(own)
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else ", ".join(f"`{c}` {types[c]}" for c in fields)
 
@@ -312,7 +337,7 @@ def kept_bytes(docs: DataFrame, cuts: DataFrame, digest: bool) -> DataFrame:
         for batch in stream:
             data, starts, ends = views(batch.column("text"))
             rows, texts = [], []
-            for s, e, cuts in zip(starts.tolist(), ends.tolist(), batch.column("cuts of bytes").to_pylist(), strict=True):
+            for s, e, cuts in zip(starts.tolist(), ends.tolist(), batch.column(name).to_pylist(), strict=True):
                 own, n, removed, parts, at, joined = data[s:e], e - s, 0, [], 0, 0
                 for a, b in sorted((c["start"], c["stop"]) for c in cuts or ()):
                     if a > at or (a == 0 and not joined):

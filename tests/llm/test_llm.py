@@ -176,6 +176,29 @@ def test_repeats_keep_columns_and_rows(docs, nothing):
     assert repeats.without_repeats(nothing).count() == 0
 
 
+def test_merged_transforms_alone_find_the_repeats(spark):
+    """All texts as strings of one collection, without minimizers, give the same bytes as the operator."""
+    texts = [t.encode() for t in TEXTS if t]
+    own, _ = repeats.repeated([np.frombuffer(t, np.uint8) for t in texts], np.arange(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool))
+    gone = [0] * len(texts)
+    for d, a, b in zip(*(x.tolist() for x in own), strict=True):
+        gone[d] += b - a
+    assert gone == [n for _, n, *_ in brute_repeats([t for t in TEXTS if t])]
+
+
+def test_repeats_of_odd_rows(spark):
+    """Rows repeated with their doc_id, rows without one, clashing columns, and many strings of one minimizer."""
+    long = prose(400)
+    rows = [(5, long, 1), (5, long, 1), (None, long, 2), (7, "x" + long, 3), (9, None, 4)] + [(20 + i, f"{i:03d}" + BASE[:150] + f"{i:03d}", i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cuts long")
+    out = repeats.without_repeats(docs)
+    found = sorted(((r["doc_id"] or -1, r["cuts"]), r["text"]) for r in out.collect())
+    assert out.columns == docs.columns and len(found) == len(rows)
+    by = dict(found)
+    assert by[5, 1] == long and by[-1, 2] == long and by[7, 3] == "x" and by[9, 4] is None
+    assert sum(len(by[20 + i, i]) < 156 for i in range(30)) == 29
+
+
 def test_merged_transforms_give_common_prefixes():
     strings = [bytes(R.choice(b"ab") for _ in range(R.randint(1, 30))) for _ in range(20)]
     shards, order, base = [], [], 0
