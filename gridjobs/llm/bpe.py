@@ -13,7 +13,6 @@ ranks and pattern, strings of special tokens being ordinary text. Rows are kept
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 import re
@@ -33,7 +32,6 @@ BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
 LONG_PIECE = BUCKETS[-1]
 #: Cells of a matrix at most, and pieces that a worker remembers at most.
 MATRIX_CELLS = 1 << 20
-REMEMBERED = 300_000
 WIDTH = [next(w for w in BUCKETS if w >= n) for n in range(LONG_PIECE + 1)]
 #: The pattern under which words and marks take the short way. Fixed value.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -99,13 +97,12 @@ class Bpe:
         halves = [(self.ids[t[:k]], self.ids[t[k:]], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
         self.pairs = PairTable(*np.array(halves, np.int64).T.astype(np.int32))
         self.lookup = {(a, b): i for a, b, i in halves}
-        self.memory = Memory(self.learn, REMEMBERED)
+        self.memory = Memory(self.learn)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
         """One per Python worker."""
         if (path, pattern) not in _loaded:
-            gc.disable()  # the memory is millions of tuples without cycles, which the collector would walk again and again
             _loaded[path, pattern] = cls(path, pattern)
         return _loaded[path, pattern]
 

@@ -7,7 +7,9 @@ For prediction, embedding and filters are folded into one table of byte response
 of every whole text is scored; a document's probabilities are the mean over its windows, weighted by their bytes.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if no language
-could be learnt. Ties go to the language first in alphabetical order. Rows are kept one to one.
+could be learnt. Ties go to the language first in alphabetical order. Rows are kept one to one, repeated ones too; a text
+of any length counts whole, a bounded number of its windows at a time; an empty table gives no rows and teaches nothing.
+Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import spans, views
-from .common import held_out, table
+from .common import free_name, held_out, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -114,16 +116,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of some texts, padded with zero bytes; their text's row and number of bytes."""
+def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, together: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All windows of some texts, ``together`` at a time, padded with zero bytes; their text's row and number of bytes."""
     counts = -(-(ends - starts) // WINDOW)
-    row = np.repeat(np.arange(len(starts)), counts)
-    at = starts[row] + (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW
-    size = np.minimum(ends[row] - at, WINDOW)
-    inside = np.arange(WINDOW) < size[:, None]
-    where = at[:, None] + np.arange(WINDOW)
-    x = np.where(inside, data[np.minimum(where, max(len(data) - 1, 0))], 0) if len(data) else np.zeros((0, WINDOW), np.uint8)
-    return x.astype(np.uint8), row, size
+    upto = np.cumsum(counts)
+    for k in range(0, int(upto[-1]) if len(upto) else 0, together):
+        n = np.arange(k, min(k + together, int(upto[-1])))
+        row = np.searchsorted(upto, n, side="right")
+        at = starts[row] + (n - upto[row] + counts[row]) * WINDOW
+        size = np.minimum(ends[row] - at, WINDOW)
+        where = at[:, None] + np.arange(WINDOW)
+        x = np.where(np.arange(WINDOW) < size[:, None], data[np.minimum(where, len(data) - 1)], 0)
+        yield x.astype(np.uint8), row, size
 
 
 def fit(docs: DataFrame, seed: int = 7) -> ByteNet | None:
@@ -156,14 +160,14 @@ def fit(docs: DataFrame, seed: int = 7) -> ByteNet | None:
     return ByteNet.fresh(languages, seed).train(np.stack(x), np.array(y)) if x else None
 
 
-def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    rest = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, net: ByteNet | None, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the language and its score under the names given; columns of these names are replaced."""
+    rest = docs.drop(lang_pred, score)
     if net is None:
-        return rest.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+        return rest.withColumn(lang_pred, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
     fields = [f.name for f in rest.schema]
-    letter = "has letter"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", lang_pred string, score double"
+    letter = free_name(rest, "letter")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + f", `{lang_pred}` string, `{score}` double"
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
@@ -171,16 +175,14 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
             data, starts, ends = views(batch.column("text"))
             mean = np.zeros((len(starts), len(net.languages)))
             for a, b in spans(starts, ends, WINDOW * 1024):
-                x, row, size = windows(data, starts[a:b], ends[a:b])
-                for k in range(0, len(x), 1024):
-                    p = net.probabilities(x[k : k + 1024], tables) * size[k : k + 1024, None]
-                    np.add.at(mean[a:b], row[k : k + 1024], p)
+                for x, row, size in windows(data, starts[a:b], ends[a:b]):
+                    np.add.at(mean[a:b], row, net.probabilities(x, tables) * size[:, None])
             mean /= np.maximum(ends - starts, 1)[:, None]
             best = mean.argmax(axis=1)
             known = np.asarray(batch.column(letter).fill_null(False))
             names = [net.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
             scores = np.where(known, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), pa.array(names, pa.string()), pa.array(scores)], [*fields, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), pa.array(names, pa.string()), pa.array(scores)], [*fields, lang_pred, score])
 
     return rest.withColumn(letter, F.col("text").rlike(r"\p{L}")).mapInArrow(run, schema)
 

@@ -16,7 +16,8 @@ its size. What is still large below the deepest level is compared in blocks of S
 Defined results: words are maximal runs of bytes other than ASCII white space, A-Z lower-cased. With fewer words than
 a shingle has, the whole sequence is the one shingle; null texts and those without words have the empty set, are
 linked with nothing and are kept. Repeated rows come out as often as they went in. Of rows that share a doc_id, one
-text stands for all. Ties cannot arise: a component's name is its least doc_id.
+text stands for all. Rows without a doc_id take no part and do not come out. Ties cannot arise: a component's name is its
+least doc_id. A text of any length counts whole; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix, views
-from .common import materialize, maybe_broadcast, release, table
+from .common import BROADCAST_BYTES, materialize, maybe_broadcast, release, table
 from .components import connected_components
 
 COORDINATES = 64
@@ -95,7 +96,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sketch = (t & np.uint32(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, tokens array<int>, sketch binary")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, tokens array<int>, sketch binary")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -200,10 +201,13 @@ def blockwise(members: DataFrame, mixed: DataFrame) -> DataFrame:
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "used")
-    texts = docs.select("doc_id", "text").join(maybe_broadcast(used), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(maybe_broadcast(used, width=16), "doc_id", "left_semi")
     sets = materialize(full_sets(texts, words).dropDuplicates(["doc_id"]), "sets")
     a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
+    held = sets.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("shingles")).alias("shingles")).first()
+    if 32 * held["docs"] + 8 * (held["shingles"] or 0) <= BROADCAST_BYTES:
+        a, b = F.broadcast(a), F.broadcast(b)
     met = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
     links = materialize(met.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b"), "links")
     release(used, sets)
@@ -211,7 +215,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text); see the module's text."""
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text) that has a doc_id; see the module's text."""
     signed = materialize(signatures(docs, words), "signed")
     classes = materialize(signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.min_by("tokens", "doc_id").alias("tokens"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
     chosen = roots()
@@ -227,12 +231,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # first round: merge what is plainly alike
     first = members(classes.withColumn("component", F.col("cid")), coordinates[:CONTRACTING])
     big = large(first)
-    hint = maybe_broadcast(big.select("node"))
+    hint = maybe_broadcast(big.select("node"), width=16)
     found = compare_children(first.join(hint, "node", "left_anti"), best_only=True)
     # here every component is one class, so a node's least component is its pivot
     named = maybe_broadcast(big.select("node", F.col("lo").alias("b")))
     pivots = classes.select(F.col("cid").alias("b"), F.col("sketch").alias("sketch_b")).join(named, "b")
-    met = first.select("node", F.col("cid").alias("a"), F.col("sketch").alias("sketch_a")).join(maybe_broadcast(pivots, big.count()), "node").where("a <> b")
+    met = first.select("node", F.col("cid").alias("a"), F.col("sketch").alias("sketch_a")).join(maybe_broadcast(pivots, big.count(), width=128), "node").where("a <> b")
     pairs = materialize(found.unionByName(compare_pairs(met)).distinct(), "pairs")
     links = confirm(docs, pairs, words, percent)
     release(pairs, big)
@@ -244,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for depth in range(1, DEPTH + 1):
         big = large(level)
         stored.append(big)
-        small = level.join(maybe_broadcast(big.select("node")), "node", "left_anti")
+        small = level.join(maybe_broadcast(big.select("node"), width=16), "node", "left_anti")
         found.append(materialize(compare_children(small, best_only=False), "pairs"))
         mixed = big.where("lo < hi")
         if not mixed.limit(1).count():

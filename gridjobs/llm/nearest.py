@@ -30,8 +30,8 @@ PARALLEL = 4.0
 ROUNDS = 3
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 4096
-#: Candidates of a block that are scored anew for each query, besides ties at the edge.
-RERANKED = 160
+#: Candidates of a block that are scored anew for each query, for each neighbour asked for, besides ties at the edge.
+RERANKED = 8
 
 
 @dataclass
@@ -129,7 +129,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], schema)
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     book = Codebook.fit(np.array([r["v"] for r in sample]))
-    n_blocks, q_blocks = max(8, -(-n // CANDIDATE_BLOCK)), -(-q // QUERY_BLOCK)
+    n_blocks, q_blocks, depth = -(-n // CANDIDATE_BLOCK), -(-q // QUERY_BLOCK), RERANKED * k
     block = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(m)).cast("int")
     stored = vectors.withColumn("block", block(1, n_blocks)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     asked = queries.withColumn("q_block", block(2, q_blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -147,10 +147,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 total += part[byte]
             total[ids == name] = -np.inf
             m = len(ids) - int((ids == name).sum())
-            if m > RERANKED:  # everything at the edge's score too
-                total = np.flatnonzero(total >= np.partition(total, len(ids) - RERANKED)[len(ids) - RERANKED])
-            else:
-                total = np.flatnonzero(ids != name)
+            edge = np.partition(total, len(ids) - min(m, depth))[len(ids) - min(m, depth)] if m else np.inf
+            total = np.flatnonzero((total >= edge) & (ids != name))  # everything at the edge's score too
             score = (x[total] * v).sum(axis=1)
             best = np.lexsort((ids[total], -score))[:k]
             out.append(pd.DataFrame({"query_id": name, "vec_id": ids[total][best], "score": score[best]}))

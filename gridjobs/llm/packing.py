@@ -17,6 +17,7 @@ not looked at.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,15 +45,44 @@ class Limits:
     loss_tokens: int = 2048
 
 
-def best_fit(demand: np.ndarray, left: np.ndarray, capacity: np.ndarray) -> int:
-    """The column of ``demand`` that fits into ``left`` and has the largest dot product with it, limits counting alike;
-    -1: none. Of equals, the first."""
+def best_fit(demand: np.ndarray, there: np.ndarray, left: np.ndarray, capacity: np.ndarray) -> int:
+    """The column of ``demand``, of those ``there``, that fits into ``left`` and has the largest dot product with it, limits
+    counting alike; -1: none. Of equals, the first."""
     score = (left / capacity**2) @ demand
-    score[(demand[0] > left[0]) | (demand[1] > left[1]) | (demand[2] > left[2])] = -1
+    score[~there | (demand[0] > left[0]) | (demand[1] > left[1]) | (demand[2] > left[2])] = -1
     at = int(score.argmax())
     return at if score[at] >= 0 else -1
 
 
+class Shapes:
+    """Items by what they demand of the limits: a column of ``demand`` for each shape, with ``counts`` of its items, so that
+    a search looks at shapes, however many items there are."""
+
+    def __init__(self, item: np.ndarray, demand: np.ndarray):
+        kinds, of = np.unique(demand, axis=1, return_inverse=True) if len(item) else (demand, np.zeros(0, np.int64))
+        order, sizes = np.argsort(of, kind="stable"), np.bincount(of, minlength=kinds.shape[1])
+        self.queues = [deque(x.tolist()) for x in np.split(item[order], np.cumsum(sizes)[:-1])] if len(item) else []
+        self.demand, self.counts, self.items = kinds.astype(float), sizes.copy(), len(item)
+        self.where = {tuple(x): k for k, x in enumerate(self.demand.T.tolist())}
+
+    def take(self, at: int) -> int:
+        """The first item of a shape, which leaves."""
+        self.counts[at] -= 1
+        self.items -= 1
+        return self.queues[at].popleft()
+
+    def add(self, item: int, demand: tuple[float, float, float]) -> None:
+        """An item with another demand."""
+        at = self.where.setdefault(demand, len(self.queues))
+        if at == len(self.queues):
+            self.queues.append(deque())
+            self.demand = np.concatenate([self.demand, np.array(demand)[:, None]], axis=1)
+            self.counts = np.append(self.counts, 0)
+        self.queues[at].append(item)
+        self.counts[at] += 1
+        self.items += 1
+
+
 def pack(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start, length).
 
@@ -70,32 +100,30 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -> lis
             start[i] = n * full
     item = np.flatnonzero(start < tokens)
     rest = tokens[item] - start[item]
-    demand = np.stack([rest, np.ones(len(item), np.int64), np.minimum(loss[item], rest)]).astype(float)
-    while len(item):
-        left, row, gone, live = capacity.copy(), [], np.zeros(len(item), bool), demand.copy()
-        while len(row) < len(item):
-            at = best_fit(live, left, capacity)
+    shapes = Shapes(item, np.stack([rest, np.ones(len(item), np.int64), np.minimum(loss[item], rest)]))
+    while shapes.items:
+        left, row = capacity.copy(), []
+        while shapes.items:
+            demand = shapes.demand
+            at = best_fit(demand, shapes.counts > 0, left, capacity)
             if at >= 0:
-                i, n = int(item[at]), int(live[0, at])
-                row.append((i, int(start[i]), n))
-                left -= live[:, at]
-                gone[at] = True
-                live[0, at] = capacity[0] + 1
+                i = shapes.take(at)
+                row.append((i, int(start[i]), int(demand[0, at])))
+                left -= demand[:, at]
                 continue
             if cut and left.min() > 0:
-                at = int(np.where(gone, -1, demand[0]).argmax())
-                i, n = int(item[at]), int(min(left[0], left[2], demand[0, at]))
+                at = int(np.where(shapes.counts > 0, demand[0], -1).argmax())
+                i, n, more = shapes.take(at), int(min(left[0], left[2], demand[0, at])), demand[:, at]
                 row.append((i, int(start[i]), n))
                 start[i] += n
-                demand[0, at] -= n
-                demand[2, at] = min(demand[2, at], demand[0, at])
-                gone[at] = demand[0, at] == 0
+                if more[0] > n:
+                    shapes.add(i, (more[0] - n, 1.0, min(more[2], more[0] - n)))
             elif not row:  # over a limit by itself
-                i, gone[0] = int(item[0]), True
-                row.append((i, int(start[i]), int(demand[0, 0])))
+                at = int(np.flatnonzero(shapes.counts)[0])
+                i = shapes.take(at)
+                row.append((i, int(start[i]), int(demand[0, at])))
             break
         out.append(row)
-        item, demand = item[~gone], demand[:, ~gone]
     if cut and out and sum(n for *_, n in out[-1]) < full:
         out += powers_of_two(out.pop())
     return out

@@ -27,6 +27,8 @@ BUCKETS = 1 << BUCKET_BITS
 SIZE = 16
 GRAMS = (3, 5)
 SAMPLE = 4000
+#: Labelled texts of more bytes teach nothing, so the sample is bounded in bytes; they are scored like all others.
+FIT_BYTES = 20_000
 EPOCHS = 5
 
 
@@ -91,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> tuple[np.ndarray,
     count = known.count()
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
     sample = known.where(place < F.lit(float(1 << 30) * min(1.0, SAMPLE / max(1, count)))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = sorted(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").collect(), key=lambda r: r["doc_id"])
+    rows = sorted(docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).join(F.broadcast(sample), "doc_id").collect(), key=lambda r: r["doc_id"])
     if len({r["quality"] for r in rows}) < 2:
         return None
     return train([bytes(r["text"] or b"") for r in rows], [r["quality"] for r in rows], seed)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from unicodedata import is_normalized
@@ -14,18 +13,22 @@ _loaded: dict[str, WordIds] = {}
 
 
 class Memory:
-    """Values of keys, learnt for many new keys at once; of two generations the older goes when the younger is full."""
+    """Values of keys, learnt for many new keys at once; of two generations the older goes when the younger holds more than
+    ``size`` bytes, about. Keys that one call needs are kept until the next."""
 
-    def __init__(self, learn: Callable[[list[str]], Iterable], size: int):
-        self.learn, self.size = learn, size
+    #: Bytes of an entry besides its characters and its value's items.
+    ENTRY = 200
+
+    def __init__(self, learn: Callable[[list[str]], Iterable], size: int = 24 << 20):
+        self.learn, self.size, self.held = learn, size, 0
         self.young: dict = {}
         self.old: dict = {}
 
     def prepare(self, keys: set[str]) -> Callable:
         """A function that gives the value of each of ``keys``."""
         new = keys - self.young.keys()
-        if len(self.young) + len(new) > self.size:
-            self.old, self.young = self.young, {}
+        if self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, 0
             new = keys
         again = new & self.old.keys()
         for k in again:
@@ -33,6 +36,7 @@ class Memory:
         todo = list(new - again if again else new)
         if todo:
             self.young.update(zip(todo, self.learn(todo), strict=True))
+        self.held += sum(self.ENTRY + len(k) + 8 * len(self.young[k]) for k in new)
         return self.young.__getitem__
 
 
@@ -45,16 +49,15 @@ class WordIds:
     #: Words that one text given to the library holds, joined by spaces.
     JOINED = 128
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        gc.disable()  # millions of small objects without cycles
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.memory = Memory(self.learn, remembered)
+        self.memory = Memory(self.learn)
 
     @classmethod
     def load(cls, path: str) -> WordIds:
