@@ -169,6 +169,64 @@ def ring_area(ring: str) -> Column:
     return F.expr(f"abs(aggregate(sequence(0, size({ring}) - 1), double(0), (s, i) -> s + {ring}[i].x * {ring}[(i + 1) % size({ring})].y - {ring}[(i + 1) % size({ring})].x * {ring}[i].y)) / 2")
 
 
+def ring_centroid(ring: str) -> tuple[Column, Column]:
+    """Centroid of the area of ``ring``; of a ring without area, the mean of its points."""
+    n = f"{ring}[(i + 1) % size({ring})]"
+    cross = f"({ring}[i].x * {n}.y - {n}.x * {ring}[i].y)"
+    total = lambda e: f"aggregate(sequence(0, size({ring}) - 1), double(0), (s, i) -> s + {e})"
+    return tuple(F.expr(f"coalesce({total(f'({ring}[i].{c} + {n}.{c}) * {cross}')} / nullif(3 * {total(cross)}, 0), {total(f'{ring}[i].{c}')} / size({ring}))") for c in "xy")
+
+
+def ring_bounds(ring: str) -> dict[str, Column]:
+    """minx, miny, maxx, maxy of ``ring``."""
+    return {f"{how}{c}": F.expr(f"array_{how}(transform({ring}, p -> p.{c}))") for how in ("min", "max") for c in "xy"}
+
+
+def split_at_antimeridian(minx: str, maxx: str) -> Column:
+    """Array of structs (minx, maxx): one, or two where the west edge is over the east edge."""
+    return F.expr(f"if({minx} <= {maxx}, array(named_struct('minx', {minx}, 'maxx', {maxx})), array(named_struct('minx', {minx}, 'maxx', 180e0), named_struct('minx', -180e0, 'maxx', {maxx})))")
+
+
+def raster_chunk(x: str, y: str, width: int, height: int, x_chunks: int, y_chunks: int) -> Column:
+    """Number of the chunk, row by row, of a raster's pixel; chunks are as even as can be, the last ones smaller."""
+    wide, high = -(-width // x_chunks), -(-height // y_chunks)
+    return F.expr(f"int({x} div {wide}) + {x_chunks} * int({y} div {high})")
+
+
+def h3_valid(h: str | Column) -> Column:
+    """Mode 1, a base cell under 122, digits under 7 down to the resolution and 7 below it."""
+    h, res = col(h), h3_resolution(h)
+    digits = [F.when(F.lit(r) <= res, h3_digit(h, r) < 7).otherwise(h3_digit(h, r) == 7) for r in range(1, 16)]
+    good = (F.shiftrightunsigned(h, 59) == 1) & (h3_base_cell(h) < 122)
+    for d in digits:
+        good = good & d
+    return F.coalesce(good, F.lit(False))
+
+
+def utm_code(lng: str | Column, lat: str | Column) -> Column:
+    """Number of the projection of a point's zone: 326 north, 327 south, then the zone."""
+    return (F.when(col(lat) >= 0, 32600).otherwise(32700) + utm_zone(lng)).cast("int")
+
+
+def to_utm(lng: str | Column, lat: str | Column) -> tuple[Column, Column]:
+    """Easting and northing in metres in the point's own zone, by the series of the transverse mercator on WGS 84."""
+    a, e2, k0 = 6378137.0, 0.006694379990141317, 0.9996
+    second = e2 / (1 - e2)
+    phi = F.radians(col(lat))
+    away = F.radians(col(lng) - (utm_zone(lng) * 6.0 - 183.0))
+    n = a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2.0))
+    t, c, w = F.pow(F.tan(phi), 2.0), second * F.pow(F.cos(phi), 2.0), F.cos(phi) * away
+    arc = a * (
+        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi
+        - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi)
+        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi)
+        - (35 * e2**3 / 3072) * F.sin(6 * phi)
+    )
+    x = 500_000.0 + k0 * n * (w + (1 - t + c) * F.pow(w, 3.0) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * second) * F.pow(w, 5.0) / 120)
+    y = k0 * (arc + n * F.tan(phi) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(w, 4.0) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * second) * F.pow(w, 6.0) / 720))
+    return x, F.when(col(lat) < 0, 10_000_000.0).otherwise(0.0) + y
+
+
 def to_mercator(lng: str | Column, lat: str | Column) -> tuple[Column, Column]:
     """Metres on the web mercator plane."""
     r = 6378137.0

@@ -25,6 +25,33 @@ def with_box_cells(boxes: DataFrame, z: int) -> DataFrame:
     return boxes.withColumn("bx", x).withColumn("by", y).withColumn("cell", geo.cell_of(z, F.col("bx"), F.col("by"))).drop("bx", "by")
 
 
+def clipped_tiles(boxes: DataFrame, z: int) -> DataFrame:
+    """with_box_cells(), and the part of each tile within its box: west, south, east, north."""
+    n = float(1 << z)
+    x, y = geo.cell_x("cell"), geo.cell_y("cell")
+    lat = lambda row: F.degrees(F.atan(F.sinh(F.pi() * (1.0 - 2.0 * row / n))))
+    edges = {"west": F.greatest(x / n * 360.0 - 180.0, F.col("minx")), "east": F.least((x + 1) / n * 360.0 - 180.0, F.col("maxx")), "south": F.greatest(lat(y + 1), F.col("miny")), "north": F.least(lat(y), F.col("maxy"))}
+    return with_box_cells(boxes, z).withColumns(edges)
+
+
+def target_zoom(tiles: int, finest: int) -> Column:
+    """For a box (minx, miny, maxx, maxy), the finest zoom, ``finest`` at most, whose tiles that meet it are ``tiles`` at most."""
+    met = lambda z: (geo.tile_x("maxx", z) - geo.tile_x("minx", z) + 1) * (geo.tile_y("miny", z) - geo.tile_y("maxy", z) + 1)
+    return F.coalesce(*(F.when(met(z) <= tiles, F.lit(z)) for z in range(finest, -1, -1)), F.lit(0))
+
+
+def cover(rings: DataFrame, key: str, z: int) -> DataFrame:
+    """key, cell, cell_count and ``fallback``: the cells whose centre is in each ring (ring, and its box); a ring with
+    none gets the cell of its centroid."""
+    lng, lat = geo.cell_center("cell", z)
+    inside = with_box_cells(rings, z).withColumn("lng", lng).withColumn("lat", lat).where(geo.in_ring("lng", "lat", "ring"))
+    sizes = inside.groupBy(key).agg(F.count(F.lit(1)).alias("cell_count"))
+    found = inside.select(key, "cell").join(sizes, key).withColumn("fallback", F.lit(False))
+    x, y = geo.ring_centroid("ring")
+    bare = rings.join(sizes, key, "left_anti").select(key, geo.tile_cell(x, y, z).alias("cell"), F.lit(1).cast("long").alias("cell_count"), F.lit(True).alias("fallback"))
+    return found.unionByName(bare)
+
+
 def box_join(points: DataFrame, boxes: DataFrame, z: int = 4) -> DataFrame:
     """Points (lng, lat) with the boxes that hold them, edges included. A point has one cell, so a pair meets once."""
     met = points.withColumn("cell", geo.tile_cell("lng", "lat", z)).join(with_box_cells(boxes, z), "cell")
@@ -37,12 +64,13 @@ def ring_join(points: DataFrame, rings: DataFrame, z: int = 4) -> DataFrame:
 
 
 def overlap_join(boxes: DataFrame, key: str, z: int = 4) -> DataFrame:
-    """Pairs of boxes that overlap, smaller key first; pairs that meet in several cells come once."""
+    """Pairs of boxes that overlap, smaller key first; a pair comes from the cell that holds the south-west corner of its overlap."""
     cells = with_box_cells(boxes, z)
     a = cells.select("cell", *(F.col(c).alias(f"{c}_a") for c in (key, "minx", "miny", "maxx", "maxy")))
     b = cells.select("cell", *(F.col(c).alias(f"{c}_b") for c in (key, "minx", "miny", "maxx", "maxy")))
+    corner = geo.tile_cell(F.greatest("minx_a", "minx_b"), F.greatest("miny_a", "miny_b"), z)
     met = a.join(b, "cell").where(f"{key}_a < {key}_b and minx_a <= maxx_b and minx_b <= maxx_a and miny_a <= maxy_b and miny_b <= maxy_a")
-    return met.select(f"{key}_a", f"{key}_b").distinct()
+    return met.where(F.col("cell") == corner).select(f"{key}_a", f"{key}_b")
 
 
 def distance_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
@@ -86,11 +114,12 @@ def prefix_join(addresses: DataFrame, blocks: DataFrame, lengths: list[int]) ->
 
     Only prefix lengths that occur are tried: an equi-join on length and prefix, then the longest hit.
     """
-    tried = addresses.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("prefix", F.expr("shiftright(ip, 32 - length)"))
+    distinct = addresses.select("ip").distinct()
+    tried = distinct.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).withColumn("prefix", F.expr("shiftright(ip, 32 - length)"))
     stored = blocks.withColumn("prefix", F.expr("shiftright(start, 32 - length)"))
-    best = Window.partitionBy("ip").orderBy(F.desc("length"))
-    distinct = tried.select("ip", "length", "prefix").distinct()
-    return distinct.join(stored, ["length", "prefix"]).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "prefix")
+    met = tried.join(stored, ["length", "prefix"]).drop("prefix")
+    rest = [c for c in met.columns if c not in ("ip", "length")]
+    return met.groupBy("ip").agg(F.max_by(F.struct(*rest), "length").alias("b"), F.max("length").alias("length")).select("ip", "length", "b.*")
 
 
 def long_prefix_join(addresses: DataFrame, blocks: DataFrame, lengths: list[int]) -> DataFrame:

@@ -55,6 +55,25 @@ def polynomial_trend(df: DataFrame, key: str, x: str, y: str, degree: int = 3) -
     return sums.mapInPandas(solve, f"{key} {kind}, " + ", ".join(f"c{i} double" for i in range(degree + 1)))
 
 
+def forecast(df: DataFrame, key: str, x: str, y: str, steps: int = 7, degree: int = 3, percent: float = 0.5) -> DataFrame:
+    """key, step, value of the next ``steps`` whole numbers after each series' last x, and ``signal``: BUY or SELL where the
+    last one is over ``percent`` percent above or below the last known value, else HOLD. x is scaled to [-1, 0] for the fit."""
+    ends = df.groupBy(key).agg(F.max(x).alias("last"), F.greatest(F.max(x) - F.min(x), F.lit(1)).alias("span"), F.max_by(y, x).alias("current"))
+    scaled = df.join(ends, key).select(key, ((F.col(x) - F.col("last")) / F.col("span")).alias("u"), y)
+    fit = polynomial_trend(scaled, key, "u", y, degree).join(ends, key)
+    at = lambda step: sum((F.col(f"c{i}") * F.pow(step / F.col("span"), float(i)) for i in range(1, degree + 1)), F.col("c0"))
+    change = 100.0 * (at(F.lit(steps)) - F.col("current")) / F.col("current")
+    signal = F.when(change > percent, "BUY").when(change < -percent, "SELL").otherwise("HOLD")
+    return fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).select(key, "step", at(F.col("step")).alias("value"), signal.alias("signal"))
+
+
+def top_categories(df: DataFrame, group: str, category: str, n: int) -> DataFrame:
+    """The n commonest categories of each group with their counts and ranks; of ties, the smaller category."""
+    counts = df.groupBy(group, category).agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy(group).orderBy(F.desc("n"), category)
+    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
 def map_parameters(parameters: DataFrame, call: Callable[[dict], pd.DataFrame], schema: str) -> DataFrame:
     """A function on each parameter row, in parallel, results together."""
 

@@ -39,8 +39,8 @@ class Tables:
 
     @property
     def city(self) -> DataFrame:
-        """A third of the events, close together."""
-        return self.events.where("event_id % 3 = 0").select("event_id", "ts", "event_type", "value", F.expr("-74e0 + ((event_id*31) % 97)/1000e0 + 0.0003e0").alias("lng"), F.expr("40.7e0 + ((event_id*17) % 89)/1000e0 + 0.0003e0").alias("lat"))
+        """Events close together."""
+        return self.events.select("event_id", "ts", "event_type", "value", F.expr("-74e0 + ((event_id*31) % 97)/1000e0 + 0.0003e0").alias("lng"), F.expr("40.7e0 + ((event_id*17) % 89)/1000e0 + 0.0003e0").alias("lat"))
 
     @property
     def boxes(self) -> DataFrame:
@@ -56,8 +56,8 @@ class Tables:
 
     @property
     def pixels(self) -> DataFrame:
-        """A 64-value raster block for each part under 50, as pixel rows without nodata."""
-        blocks = self.part.where("p_partkey < 50").select("p_partkey", F.expr("transform(sequence(0, 63), j -> (p_partkey * j) % 11)").alias("v"))
+        """A raster block of 64 values for each part, as pixel rows without nodata."""
+        blocks = self.part.select("p_partkey", F.expr("transform(sequence(0, 63), j -> (p_partkey * j) % 11)").alias("v"))
         return blocks.select("p_partkey", F.posexplode("v").alias("i", "data")).where("data <> 0").withColumn("x", F.expr("i % 8")).withColumn("y", F.expr("i div 8"))
 
 
@@ -66,10 +66,10 @@ _digits = " + ".join(f"((event_id // {7**r}) % 7) * {1 << 3 * (14 - r)}" for r i
 H3_DUCK = f"(cast(576460752303423488 as bigint) + cast({9 << 52} as bigint) + (event_id % 122) * cast({1 << 45} as bigint) + {_digits} + {(1 << 18) - 1})"
 H3_SQL = H3_DUCK.replace("//", "div")
 POINTS = "(select *, ((event_id*7919) % 36000)/100e0 - 180e0 + 0.003e0 as lng, ((event_id*104729) % 16000)/100e0 - 80e0 + 0.003e0 as lat from events)"
-CITY = "(select *, -74e0 + ((event_id*31) % 97)/1000e0 + 0.0003e0 as lng, 40.7e0 + ((event_id*17) % 89)/1000e0 + 0.0003e0 as lat from events where event_id % 3 = 0)"
+CITY = "(select *, -74e0 + ((event_id*31) % 97)/1000e0 + 0.0003e0 as lng, 40.7e0 + ((event_id*17) % 89)/1000e0 + 0.0003e0 as lat from events)"
 BOXES = "(select *, minx + 10e0 as maxx, miny + 8e0 as maxy from (select n_nationkey, n_name, -180e0 + (n_nationkey % 6)*60 as minx, -64e0 + (n_nationkey // 6)*26 as miny from nation))"
 IDS = f"(select event_id, value, {H3_DUCK} as h from events)"
-PIXELS = "(select p_partkey, i, (p_partkey * i) % 11 as data, i % 8 as x, i // 8 as y from part, range(64) r(i) where p_partkey < 50 and (p_partkey * i) % 11 <> 0)"
+PIXELS = "(select p_partkey, i, (p_partkey * i) % 11 as data, i % 8 as x, i // 8 as y from part, range(64) r(i) where (p_partkey * i) % 11 <> 0)"
 
 
 def tx(z: int, lng: str = "lng") -> str:

@@ -39,9 +39,11 @@ def g3(t):
     return tiles(t, 6).select("cell").distinct().withColumn("parent", geo.cell_parent("cell", 6, 3))
 
 
-@query("G4_id_resolution", f"select res, count(*) as n from (select cast((h >> 52) & 15 as int) as res from {IDS}) group by 1")
+@query("G4_id_resolution", "select cast(5 + event_id % 5 as int) as res, count(*) as n from events group by 1")
 def g4(t):
-    return t.ids.groupBy(geo.h3_resolution("h").alias("res")).agg(F.count(F.lit(1)).alias("n"))
+    """Ids of five resolutions."""
+    mixed = F.coalesce(*(F.when(F.expr("event_id % 5") == k, geo.h3_parent("h", 5 + k)) for k in range(5)))
+    return t.ids.select(mixed.alias("h")).groupBy(geo.h3_resolution("h").alias("res")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("G3_id_parent", f"select ((h & ~(cast(15 as bigint) << 52)) | (cast(5 as bigint) << 52)) | 1073741823 as parent, count(*) as n from {IDS} group by 1")
@@ -60,6 +62,13 @@ def g6(t):
     return t.ids.select("event_id", geo.h3_base_cell("h").alias("base"), geo.h3_text("h").alias("text"), geo.h3_number(geo.h3_text("h")).alias("back"), geo.h3_center_child("h", 9, 11).alias("center"))
 
 
+@query("G6_validity", "select event_id, event_id % 3 <> 1 as valid from events")
+def g6valid(t):
+    """Ids, some with a digit of 7 within their resolution or with another mode."""
+    broken = F.when(F.expr("event_id % 6 = 1"), F.col("h").bitwiseOR(F.lit(7 << 39))).when(F.expr("event_id % 6 = 4"), F.col("h").bitwiseXOR(F.lit(3 << 59))).otherwise(F.col("h"))
+    return t.ids.select("event_id", geo.h3_valid(broken).alias("valid"))
+
+
 DISK = f"(select c.*, (cast({4 << 56} as bigint) + ((({X} + dx.i + 16) % 16) << 28) + ({Y} + dy.i)) as near from ({{src}}) c, range(-1, 2) dx(i), range(-1, 2) dy(i) where {Y} + dy.i between 0 and 15)"
 
 
@@ -81,6 +90,26 @@ def g8(t):
     return cells.select("n_nationkey", "cell", F.count(F.lit(1)).over(Window.partitionBy("n_nationkey")).alias("cell_count"))
 
 
+@query("G8_cover_or_centre", f"select n_nationkey, {tc(2, 'minx + 5e0', 'miny + 4e0')} as cell, cast(1 as bigint) as cell_count from {BOXES} b where not exists (select 1 from range(4) x(i), range(4) y(i) where (x.i + 0.5e0)/4e0*360e0 - 180e0 > minx + 2.5e0*abs(degrees(atan(sinh(pi()*(1e0 - 2e0*(y.i + 0.5e0)/4e0)))) - miny - 4)/4 and (x.i + 0.5e0)/4e0*360e0 - 180e0 < maxx - 2.5e0*abs(degrees(atan(sinh(pi()*(1e0 - 2e0*(y.i + 0.5e0)/4e0)))) - miny - 4)/4 and degrees(atan(sinh(pi()*(1e0 - 2e0*(y.i + 0.5e0)/4e0)))) > miny and degrees(atan(sinh(pi()*(1e0 - 2e0*(y.i + 0.5e0)/4e0)))) < maxy)")
+def g8centre(t):
+    """At a coarse zoom rings without a cell get that of their centre; shown are those."""
+    covered = joins.cover(t.boxes, "n_nationkey", 2)
+    return covered.where("fallback").drop("fallback")
+
+
+@query("G10_tiles", " union all ".join(f"select n_nationkey, {z} as z, count(*) as tiles, round(min(greatest(x.i/{n}e0*360e0 - 180e0, minx)), 6) as west, round(max(least((x.i + 1)/{n}e0*360e0 - 180e0, maxx)), 6) as east from {BOXES} b, range({n}) x(i), range({n}) y(i) where x.i between {tx(z, 'minx')} and {tx(z, 'maxx')} and y.i between {ty(z, 'maxy')} and {ty(z, 'miny')} group by 1" for z, n in ((5, 32), (6, 64))))
+def g10(t):
+    """Tiles of two zooms that meet each box, clipped to it."""
+    found = [joins.clipped_tiles(t.boxes, z).groupBy("n_nationkey", F.lit(z).alias("z")).agg(F.count(F.lit(1)).alias("tiles"), F.round(F.min("west"), 6).alias("west"), F.round(F.max("east"), 6).alias("east")) for z in (5, 6)]
+    return found[0].unionByName(found[1])
+
+
+@query("G10_bounding_tile", f"select n_nationkey, max(z)::int as z from {BOXES} b, range(0, 15) r(z) where floor((minx + 180e0)/360e0*(1 << z)::double) = floor((maxx + 180e0)/360e0*(1 << z)::double) and floor((1e0 - ln(tan(radians(miny)) + 1e0/cos(radians(miny)))/pi())/2e0*(1 << z)::double) = floor((1e0 - ln(tan(radians(maxy)) + 1e0/cos(radians(maxy)))/pi())/2e0*(1 << z)::double) group by 1")
+def g10one(t):
+    """The zoom of the smallest tile that holds each box; a target count adds levels to it."""
+    return t.boxes.select("n_nationkey", joins.target_zoom(1, 14).alias("z"))
+
+
 @query("G9_bounds_cells", f"select n_nationkey, count(*) as cells from {BOXES} b, range(64) x(i), range(64) y(i) where x.i between {tx(6, 'minx')} and {tx(6, 'maxx')} and y.i between {ty(6, 'maxy')} and {ty(6, 'miny')} group by 1")
 def g9(t):
     return joins.with_box_cells(t.boxes, 6).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("cells"))
@@ -99,7 +128,7 @@ def g14(t):
     return tiles(t, 4).select("cell").distinct().select("cell", F.round(geo.cell_area_km2("cell", 4), 3).alias("km2"))
 
 
-@query("G16_cell_wkt")
+@query("G16_cell_wkt", "with c as (select distinct " + tc(4) + f" as cell from {POINTS}), k as (select cell, printf('%.6f', {X}/16e0*360e0 - 180e0) as x0, printf('%.6f', ({X} + 1)/16e0*360e0 - 180e0) as x1, printf('%.6f', degrees(atan(sinh(pi()*(1e0 - 2e0*{Y}/16e0))))) as y0, printf('%.6f', degrees(atan(sinh(pi()*(1e0 - 2e0*({Y} + 1)/16e0))))) as y1 from c) select cell, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' as wkt from k")
 def g16(t):
     return tiles(t, 4).select("cell").distinct().withColumn("wkt", geo.cell_wkt("cell", 4))
 
@@ -109,7 +138,7 @@ def g17(t):
     return tiles(t, 6).where("event_type = 'view'").select(geo.cell_parent("cell", 6, 4).alias("parent")).distinct()
 
 
-@query("G1_hexbin")
+@query("G1_hexbin", f"with p as (select (sqrt(3e0)/3e0*radians(lng) - sin(radians(lat))/3e0)/0.1e0 as a, (2e0/3e0*sin(radians(lat)))/0.1e0 as b from {POINTS}), c as (select a, b, -a - b as c, floor(a + 0.5e0) as ra, floor(b + 0.5e0) as rb, floor(-a - b + 0.5e0) as rc from p), d as (select *, abs(ra - a) as da, abs(rb - b) as db, abs(rc - c) as dc from c) select (case when da > db and da > dc then -rb - rc else ra end)::bigint as q, (case when not (da > db and da > dc) and db > dc then -ra - rc else rb end)::bigint as r, count(*) as cnt from d group by 1, 2")
 def g1hex(t):
     q, r = geo.hexbin("lng", "lat", 0.1)
     return t.points.groupBy(q.alias("q"), r.alias("r")).agg(F.count(F.lit(1)).alias("cnt"))
@@ -253,6 +282,32 @@ def f14(t):
     return t.points.select("event_id", F.round(geo.haversine_m("lng", "lat", F.lit(2.35), F.lit(48.85)), 1).alias("metres"), geo.utm_zone("lng").alias("zone"))
 
 
+@query("F15_ring_shape", f"select n_nationkey, minx + 5e0 as cx, miny + 4e0 as cy, minx, miny, maxx, maxy from {BOXES}")
+def f15shape(t):
+    """Centroid and bounds of each ring."""
+    cx, cy = geo.ring_centroid("ring")
+    return t.boxes.select("n_nationkey", F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"), *(v.alias(k) for k, v in geo.ring_bounds("ring").items()))
+
+
+@query("F15_area_by_region", f"select n_regionkey, round(sum(60e0 * (1 + b.n_nationkey % 3)), 6) as area from {BOXES} b join nation using (n_nationkey) group by 1")
+def f15total(t):
+    """Areas of rings of three widths, summed by region."""
+    wide = t.boxes.withColumn("ring", F.expr("transform(ring, p -> named_struct('x', minx + (p.x - minx) * (1 + n_nationkey % 3), 'y', p.y))"))
+    return wide.join(t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey").groupBy("n_regionkey").agg(F.round(F.sum(geo.ring_area("ring")), 6).alias("area"))
+
+
+@query("F14_projection_code", f"select event_id, (case when lat >= 0 then 32600 else 32700 end + cast(floor((lng + 180e0)/6e0) + 1 as int)) as code from {POINTS}")
+def f14code(t):
+    return t.points.select("event_id", geo.utm_code("lng", "lat").alias("code"))
+
+
+@query("F16_utm", f"with p as (select event_id, radians(lat) as phi, radians(lng - (6*floor((lng + 180e0)/6e0) - 177e0)) as l, lat from {POINTS}), k as (select *, 0.006694379990141317e0 as e2, 0.006739496742276435e0 as p2 from p), t as (select *, 6378137e0/sqrt(1 - e2*pow(sin(phi), 2)) as n, pow(tan(phi), 2) as t, p2*pow(cos(phi), 2) as c, cos(phi)*l as a, 6378137e0*((1 - e2/4 - 3*pow(e2,2)/64 - 5*pow(e2,3)/256)*phi - (3*e2/8 + 3*pow(e2,2)/32 + 45*pow(e2,3)/1024)*sin(2*phi) + (15*pow(e2,2)/256 + 45*pow(e2,3)/1024)*sin(4*phi) - (35*pow(e2,3)/3072)*sin(6*phi)) as m from k) select event_id, round(500000e0 + 0.9996e0*n*(a + (1 - t + c)*pow(a,3)/6 + (5 - 18*t + t*t + 72*c - 58*p2)*pow(a,5)/120), 1) as easting, round(case when lat < 0 then 10000000e0 else 0e0 end + 0.9996e0*(m + n*tan(phi)*(a*a/2 + (5 - t + 9*c + 4*c*c)*pow(a,4)/24 + (61 - 58*t + t*t + 600*c - 330*p2)*pow(a,6)/720)), 1) as northing from t")
+def f16utm(t):
+    """Metres in each point's own zone."""
+    x, y = geo.to_utm("lng", "lat")
+    return t.points.select("event_id", F.round(x, 1).alias("easting"), F.round(y, 1).alias("northing"))
+
+
 @query("F15_ring_area", f"select n_nationkey, 60e0 as area from {BOXES}")
 def f15(t):
     return t.boxes.select("n_nationkey", F.round(geo.ring_area("ring"), 6).alias("area"))
@@ -270,6 +325,21 @@ def f18(t):
     return parts.select("n_nationkey", "col", "row", F.expr("minx + col*2.5e0").alias("x0"), F.expr("miny + row*2e0").alias("y0"))
 
 
+@query("F18_axis_split", "with w as (select s_suppkey, (s_suppkey % 36)*10e0 - 180e0 as a, case when (s_suppkey % 36)*10e0 - 180e0 + 35e0 > 180 then (s_suppkey % 36)*10e0 - 505e0 else (s_suppkey % 36)*10e0 - 145e0 end as b from supplier) select s_suppkey, a as minx, b as maxx from w where a <= b union all select s_suppkey, a, 180e0 from w where a > b union all select s_suppkey, -180e0, b from w where a > b")
+def f18split(t):
+    """Boxes that cross the antimeridian (west edge over east edge) as two boxes."""
+    a = F.expr("(s_suppkey % 36)*10e0 - 180e0")
+    b = t.supplier.select("s_suppkey", a.alias("minx"), F.when(a + 35.0 > 180, a - 325.0).otherwise(a + 35.0).alias("maxx"))
+    return b.withColumn("part", F.explode(geo.split_at_antimeridian("minx", "maxx"))).select("s_suppkey", "part.minx", "part.maxx")
+
+
+@query("F20_pixel_chunks", f"select p_partkey, (x // 4 + 2*(y // 4))::int as chunk, count(*) as n, sum(data)::bigint as total from {PIXELS} group by 1, 2")
+def f20chunks(t):
+    """Two by two chunks of each raster."""
+    chunk = geo.raster_chunk("x", "y", 8, 8, 2, 2)
+    return t.pixels.groupBy("p_partkey", chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sum("data").alias("total"))
+
+
 @query("F20_pixels", f"select p_partkey, x::int as x, y::int as y, data from {PIXELS}")
 def f20(t):
     return t.pixels.select("p_partkey", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "data")
@@ -292,6 +362,13 @@ def a25(t):
     return agg.composite(t.pixels.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "data"), "data")
 
 
+@query("A25_greenest", f"select x::int as x, y::int as y, data, band, p_partkey from (select *, (p_partkey + i) % 7 as band, row_number() over (partition by x, y order by data desc, p_partkey) r from {PIXELS}) where r = 1")
+def a25best(t):
+    """The other bands of the pixel with the greatest index."""
+    p = t.pixels.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "data", F.expr("(p_partkey + i) % 7").alias("band"), "p_partkey")
+    return agg.best_pixel(p, "data", ["band"], "p_partkey")
+
+
 @query("A26_coarsen", f"select p_partkey, (x//2)::int as x, (y//2)::int as y, max(data) as top from {PIXELS} group by 1, 2, 3")
 def a26(t):
     return t.pixels.groupBy("p_partkey", F.expr("int(x div 2)").alias("x"), F.expr("int(y div 2)").alias("y")).agg(F.max("data").alias("top"))
@@ -305,4 +382,11 @@ def a33(t):
 
 @query("S9_spatial_chunks", f"select {tc(2)} as tile, count(*) as rows from {POINTS} group by 1")
 def s9(t):
-    return tiles(t, 2).repartitionByRange(F.col("cell")).groupBy(F.col("cell").alias("tile")).agg(F.count(F.lit(1)).alias("rows"))
+    return tiles(t, 2).groupBy(F.col("cell").alias("tile")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("S9_first_tile", f"select n_nationkey, min(cast({3 << 56} as bigint) + x.i * 268435456 + y.i) as tile, count(*) as parts, round(sum((least((x.i + 1)/8e0*360e0 - 180e0, maxx) - greatest(x.i/8e0*360e0 - 180e0, minx))), 6) as width from {BOXES} b, range(8) x(i), range(8) y(i) where x.i between {tx(3, 'minx')} and {tx(3, 'maxx')} and y.i between {ty(3, 'maxy')} and {ty(3, 'miny')} group by 1")
+def s9first(t):
+    """The first tile that each box meets, and the box clipped to all its tiles."""
+    parts = joins.clipped_tiles(t.boxes, 3)
+    return parts.groupBy("n_nationkey").agg(F.min("cell").alias("tile"), F.count(F.lit(1)).alias("parts"), F.round(F.sum(F.col("east") - F.col("west")), 6).alias("width"))

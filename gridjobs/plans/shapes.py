@@ -27,11 +27,12 @@ def f19(t):
     return parts.select("event_id", "part", F.posexplode("line").alias("i", "p")).select("event_id", "part", "i", "p.x", "p.y")
 
 
-@query("S4_random_points")
+@query("S4_random_points", "select s_suppkey, 10 as n, 10 as places, true as inside from supplier")
 def s4(t):
-    """Ten points in the box of each supplier's nation."""
+    """Ten points in the box of each supplier's nation: how many, how many different, and whether all are inside."""
     boxes = t.supplier.join(t.boxes.select(F.col("n_nationkey").alias("s_nationkey"), "minx", "miny", "maxx", "maxy"), "s_nationkey")
-    return shapes.random_points(boxes, 10, 7).select("s_suppkey", "i", "lng", "lat")
+    inside = F.expr("every(lng between minx and maxx and lat between miny and maxy)")
+    return shapes.random_points(boxes, 10, 7).groupBy("s_suppkey").agg(F.count(F.lit(1)).cast("int").alias("n"), F.countDistinct("lng", "lat").cast("int").alias("places"), inside.alias("inside"))
 
 
 @query("J15_long_prefix_join", "select distinct '2001:' || lower(to_hex(event_id % 16)) || '::' || lower(to_hex(event_id % 65536)) as ip, case when event_id % 2 = 0 then n_name else 'wide' end as place from events join nation on n_nationkey = event_id % 16")

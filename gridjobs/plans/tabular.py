@@ -360,14 +360,13 @@ def w10(t):
 
 @query("W11_chunks", "select o_orderkey, (row_number() over (order by o_orderkey) - 1)//1000 as chunk from orders")
 def w11(t):
-    """Dense positions without a single-partition window: ranges of the key, their sizes, and ranks within them."""
-    cuts = sorted(set(t.orders.agg(F.percentile_approx("o_orderkey", [i / 16 for i in range(1, 16)]).alias("c")).first()["c"] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("o_orderkey"))) if cuts else F.lit(0)
-    placed = t.orders.select("o_orderkey", part.alias("part"))
-    sizes = placed.groupBy("part").agg(one().alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rn = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1
-    return placed.join(F.broadcast(before), "part").select("o_orderkey", F.expr("1000").alias("s"), (F.col("before") + rn).alias("at")).select("o_orderkey", F.expr("at div s").alias("chunk"))
+    """Chunks of a thousand rows by dense positions."""
+    return agg.dense_ids(t.orders.select("o_orderkey"), "o_orderkey", "at").select("o_orderkey", F.expr("at div 1000L").alias("chunk"))
+
+
+@query("W12_dense_ids", "select event_id, row_number() over (order by event_id) - 1 as id from events")
+def w12(t):
+    return agg.dense_ids(t.events.select("event_id"), "event_id", "id")
 
 
 @query("S2_top_details", "select event_id, event_type from events where event_type in (select event_type from events group by 1 order by count(*) desc, 1 limit 2)")
@@ -389,9 +388,9 @@ def s5(t):
     return a.unionByName(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("source")), allowMissingColumns=True)
 
 
-@query("S6_difference", "select c_custkey as id from customer where c_custkey not in (select o_custkey from orders)")
+@query("S6_difference", "select p_partkey as id from part where p_partkey not in (select l_partkey from lineitem where l_quantity = 50)")
 def s6(t):
-    return t.customer.select(F.col("c_custkey").alias("id")).exceptAll(t.orders.select(F.col("o_custkey").alias("id")).distinct())
+    return t.part.select(F.col("p_partkey").alias("id")).exceptAll(t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").alias("id")).distinct())
 
 
 @query("S7_first_by_order", "select user_id, min(event_id) as event_id from events group by 1")
@@ -399,10 +398,10 @@ def s7(t):
     return t.events.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
 
 
-@query("S8_dense_axis", "select d.day::date as day, count(event_id) as n from (select unnest(generate_series((select min(cast(ts as date)) from events), (select max(cast(ts as date)) from events), interval 1 day)) as day) d left join (select * from events where event_id % 97 = 0) e on cast(e.ts as date) = d.day::date group by 1")
+@query("S8_dense_axis", "select d.day::date as day, count(event_id) as n from (select unnest(generate_series((select min(cast(ts as date)) from events), (select max(cast(ts as date)) from events), interval 1 day)) as day) d left join events e on cast(e.ts as date) = d.day::date group by 1")
 def s8(t):
     axis = t.events.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    n = t.events.where("event_id % 97 = 0").groupBy(F.to_date("ts").alias("day")).agg(one().alias("n"))
+    n = t.events.groupBy(F.to_date("ts").alias("day")).agg(one().alias("n"))
     return axis.join(n, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -471,6 +470,14 @@ def f11(t):
     return m.select("event_id", F.concat_ws(",", F.map_keys("m")).alias("keys"), F.array_max(F.map_values("m")).alias("top"), F.exists(F.map_values("m"), lambda x: x > 50).alias("fast"))
 
 
+@query("F11_key_filters", "select event_id, 'k' as wanted, list_has_any([cast(json_extract_string(props, '$.k') as int)], [1, 2, 3, 5, 8]) as hit from events where json_extract_string(props, '$.k') is not null")
+def f11keys(t):
+    """Entries of a JSON object whose key is listed, and whether its values meet a list."""
+    m = t.events.select("event_id", F.from_json("props", "map<string,int>").alias("m"))
+    m = m.select("event_id", F.map_filter("m", lambda k, v: k.isin("k", "none")).alias("m")).where(F.size("m") > 0)
+    return m.select("event_id", F.concat_ws(",", F.map_keys("m")).alias("wanted"), F.arrays_overlap(F.map_values("m"), F.array(*map(F.lit, (1, 2, 3, 5, 8)))).alias("hit"))
+
+
 @query("F12_cosine", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as sim from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def f12(t):
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
@@ -524,6 +531,28 @@ def m5(t):
     return fit.select("k", F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("r2", 9).alias("r2"))
 
 
+TRAINING = "(select l_partkey as p_partkey, sum(case when l_returnflag = 'A' then l_quantity else 0 end)::double as qty_a, sum(case when l_returnflag = 'N' then l_quantity else 0 end)::double as qty_n, sum(case when l_returnflag = 'R' then l_quantity else 0 end)::double as qty_r, any_value(p_retailprice)::double as target from lineitem join part on p_partkey = l_partkey group by 1)"
+
+
+def training(t):
+    """Quantities by return flag as features of each part, joined with its price as target."""
+    sums = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum(F.col("l_quantity").cast("double")))
+    wide = sums.select("p_partkey", *(F.coalesce(c, F.lit(0.0)).alias(f"qty_{c.lower()}") for c in "ANR"))
+    return wide.join(t.part.select("p_partkey", F.col("p_retailprice").cast("double").alias("target")), "p_partkey")
+
+
+@query("M5_training_table", f"select p_partkey, round(qty_a, 4) as qty_a, round(qty_n, 4) as qty_n, round(qty_r, 4) as qty_r, round(target, 4) as target from {TRAINING}")
+def m5table(t):
+    return training(t).select("p_partkey", *(F.round(c, 4).alias(c) for c in ("qty_a", "qty_n", "qty_r", "target")))
+
+
+@query("M5_feature_fits", " union all ".join(f"select 'qty_{c}' as feature, round(regr_slope(target, qty_{c}), 6) as slope, round(regr_intercept(target, qty_{c}), 4) as intercept from {TRAINING}" for c in "anr"))
+def m5fits(t):
+    """Each feature's own line to the target, from one pass over the training table."""
+    long = training(t).select("target", F.explode(F.create_map(*[x for c in "anr" for x in (F.lit(f"qty_{c}"), F.col(f"qty_{c}"))])).alias("feature", "x"))
+    return agg.least_squares(long, "x", "target", "feature").select("feature", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
 @query("U2_sql_text", "select o_custkey, count(*) as n from orders where o_orderkey > 100 group by 1")
 def u2(t):
     return t.spark.sql("select o_custkey, count(*) as n from {orders} where o_orderkey > :least group by 1", args={"least": 100}, orders=t.orders)

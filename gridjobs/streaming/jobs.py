@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.files import exists
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -33,7 +34,9 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 def run_latest(stream: DataFrame, key: str, at: str, path: str, checkpoint: str) -> DataFrame:
     """The latest row of each key: every batch is merged with the version of the table before it.
 
-    A batch writes version n + 1 from version n, so a batch that is run again gives the same table.
+    A batch writes version n from version n - 1, so a batch that is run again gives the same table. What is returned is the
+    newest version on storage, whichever run wrote it; a source without rows gives an empty table. Older versions are
+    deleted but for the one before it, from which the last batch could be run again.
     """
     spark = stream.sparkSession
 
@@ -41,8 +44,20 @@ def run_latest(stream: DataFrame, key: str, at: str, path: str, checkpoint: str)
         rows = batch if n == 0 else batch.unionByName(batch.sparkSession.read.parquet(f"{path}/v{n - 1}"))
         best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(at, *[c for c in rows.columns if c not in (key, at)])).alias("r")).select("r.*")
         best.write.mode("overwrite").parquet(f"{path}/v{n}")
-        last[0] = n
 
-    last = [0]
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/v{last[0]}")
+    done = versions(spark, path)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    for n in done[:-2]:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return spark.read.schema(stream.schema).parquet(f"{path}/v{done[-1]}")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions under ``path``, ascending."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit() and exists(spark, f"{path}/{x}"))
