@@ -52,19 +52,29 @@ def cover(rings: DataFrame, key: str, z: int) -> DataFrame:
     return found.unionByName(bare)
 
 
-def box_join(points: DataFrame, boxes: DataFrame, z: int = 4) -> DataFrame:
-    """Points (lng, lat) with the boxes that hold them, edges included. A point has one cell, so a pair meets once."""
+def box_zoom(boxes: DataFrame, finest: int = 14) -> int:
+    """The zoom whose tiles are about as wide as the boxes are on average, so that a box meets a few tiles and a tile few
+    boxes."""
+    width = boxes.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))).alias("w")).first()["w"]
+    return max(0, min(finest, round(math.log2(360 / width)))) if width and width > 0 else finest
+
+
+def box_join(points: DataFrame, boxes: DataFrame, z: int | None = None) -> DataFrame:
+    """Points (lng, lat) with the boxes that hold them, edges included. A point has one cell, so a pair meets once. Without
+    a zoom, the boxes' size decides."""
+    z = box_zoom(boxes) if z is None else z
     met = points.withColumn("cell", geo.tile_cell("lng", "lat", z)).join(with_box_cells(boxes, z), "cell")
     return met.where("lng between minx and maxx and lat between miny and maxy").drop("cell")
 
 
-def ring_join(points: DataFrame, rings: DataFrame, z: int = 4) -> DataFrame:
+def ring_join(points: DataFrame, rings: DataFrame, z: int | None = None) -> DataFrame:
     """Points with the rings (ring, and its box) that hold them."""
     return box_join(points, rings, z).where(geo.in_ring("lng", "lat", "ring"))
 
 
-def overlap_join(boxes: DataFrame, key: str, z: int = 4) -> DataFrame:
+def overlap_join(boxes: DataFrame, key: str, z: int | None = None) -> DataFrame:
     """Pairs of boxes that overlap, smaller key first; a pair comes from the cell that holds the south-west corner of its overlap."""
+    z = box_zoom(boxes) if z is None else z
     cells = with_box_cells(boxes, z)
     a = cells.select("cell", *(F.col(c).alias(f"{c}_a") for c in (key, "minx", "miny", "maxx", "maxy")))
     b = cells.select("cell", *(F.col(c).alias(f"{c}_b") for c in (key, "minx", "miny", "maxx", "maxy")))

@@ -185,6 +185,12 @@ def a5(t):
     return tiles(t, 4).groupBy("cell").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("user_id")), lambda x: x.cast("string"))).alias("vals"), F.sum("user_id").alias("total"))
 
 
+@query("A5_cell_means", f"select {tc(4)} as cell, round(avg(user_id), 6) as mean, sum(user_id)::bigint as total, count(distinct user_id) as different from {POINTS} group by 1")
+def a5means(t):
+    """Mean, sum and number of different values of each cell, without its list."""
+    return tiles(t, 4).groupBy("cell").agg(F.round(F.avg("user_id"), 6).alias("mean"), F.sum("user_id").alias("total"), F.countDistinct("user_id").alias("different"))
+
+
 @query("A6_share", f"select cell, data, total, round(100e0*total/sum(total) over (partition by cell), 6) as pct from (select {tc(3)} as cell, event_id % 7 as data, sum(user_id)::bigint as total from {POINTS} group by 1, 2)")
 def a6(t):
     return agg.share(tiles(t, 3).withColumn("data", F.expr("event_id % 7")), "cell", "data", "user_id").withColumn("pct", F.round("pct", 6))

@@ -182,6 +182,33 @@ def test_dense_ids_and_forecast(spark):
     assert all(abs(found["b", k][0] - 5) < 1e-9 and found["b", k][1] == "HOLD" for k in range(1, 8))
 
 
+def test_zoom_follows_the_boxes(spark):
+    boxes = lambda w: spark.createDataFrame([(i, float(i), 0.0, i + w, w / 2) for i in range(20)], "k long, minx double, miny double, maxx double, maxy double")
+    assert joins.box_zoom(boxes(45.0)) == 3 and joins.box_zoom(boxes(0.01)) == 14 and joins.box_zoom(boxes(1.0).limit(0)) == 14
+    b = boxes(1.0)
+    want = {(i, j) for i in range(20) for j in range(i + 1, 20) if j <= i + 1}
+    assert {tuple(r) for r in joins.overlap_join(b, "k").collect()} == want and joins.overlap_join(b, "k").count() == len(want)
+    assert joins.clipped_tiles(b, 6).where("west > east + 1e-9 or south > north + 1e-9").count() == 0
+
+
+def test_plans_keep_few_rows(spark):
+    """The k nearest are kept before the shuffle; a key's files are told apart by their statistics."""
+    sf = "/root/testdata/sf0.001"
+    plan = lambda name: registry.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan("J11_nearest_join") and "Partial" in plan("J11_nearest_join")
+    assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,46)]" in plan("SRC9_key_ranges")
+    assert "CartesianProduct" not in plan("J18_overlap_join") and "BroadcastNestedLoop" not in plan("J18_overlap_join")
+
+
+def test_projections(spark):
+    """A point on a central meridian, and codes of both hemispheres."""
+    df = spark.createDataFrame([(3.0, 0.0), (9.0, 45.0), (-75.5, -33.25)], "lng double, lat double")
+    x, y = geo.to_utm("lng", "lat")
+    rows = df.select(x.alias("x"), y.alias("y"), geo.utm_code("lng", "lat").alias("c")).collect()
+    assert abs(rows[0]["x"] - 500_000) < 1e-6 and abs(rows[0]["y"]) < 1e-6 and abs(rows[1]["y"] - 4_982_950.4) < 0.1
+    assert [r["c"] for r in rows] == [32631, 32632, 32718]
+
+
 def test_database_reader_pushes_the_limit(spark):
     url = "jdbc:derby:memory:shop;create=true"
     spark.range(50).withColumnRenamed("id", "n").write.format("jdbc").options(url=url, dbtable="ITEMS", driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
