@@ -2,9 +2,10 @@
 transforms.
 
 Every start of such a string ("window") belongs to the run of windows that share its minimizer: the least hash of the
-GRAM-byte strings within it. Equal windows have equal minimizers, so runs whose minimizer occurs once are done with. The
-others are strings of collections of about COLLECTION bytes, whole minimizers each; runs with equal bytes are one string
-with several places. The transforms of a collection's shards are built by prefix doubling and merged by iterative
+GRAM-byte strings within it. Equal windows have equal minimizers, so runs whose minimizer occurs once are done with. Runs
+with equal bytes are one string with several places; the only string of a minimizer repeats whole at each later place, as
+no two windows of a run are equal. The others are strings of collections of about COLLECTION bytes, whole minimizers each.
+The transforms of a collection's shards are built by prefix doubling and merged by iterative
 interleave refinement. Round h of it puts all suffixes in the order of their first h symbols, each by the place that the
 suffix a symbol shorter had in the round before; suffixes that stand alone have found their place and are passed over.
 Where a boundary appears first, the common prefix is h - 1 long; what no boundary parts after LENGTH rounds is an
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix, spans, views
-from .common import BROADCAST_BYTES, free_name, materialize, maybe_broadcast, release, table
+from .common import free_name, materialize, maybe_broadcast, release, table
 
 LENGTH = 100
 GRAM = 32
@@ -136,37 +137,52 @@ def merge_transforms(shards: list[tuple[np.ndarray, int]], rounds: int) -> tuple
     merged place the block of suffixes alike in ``rounds`` symbols, and the common prefix with the suffix before
     (``rounds`` if at least that).
     """
-    n = sum(len(b) for b, _ in shards)
-    shorter = np.zeros(n, np.int32)  # by suffix: the one without its first symbol
+    symbols = np.concatenate([b for b, _ in shards])
+    n, top = len(symbols), sum(k for _, k in shards)
+    longer, shorter = np.zeros(n, np.int64), np.zeros(n, np.int64)  # by suffix: with the symbol before it, without its first
     first = np.zeros(n, np.uint8)
     base = 0
     for b, k in shards:  # the ends of strings come first
-        inner = np.flatnonzero(b).astype(np.int32)
+        inner = np.flatnonzero(b)
         order = np.argsort(b[inner], kind="stable")
-        shorter[base + k : base + len(b)] = base + inner[order]
-        first[base + k : base + len(b)] = b[inner][order]
+        own = np.arange(base + k, base + len(b))
+        longer[base + inner[order]], shorter[own], first[own] = own, base + inner[order], b[inner][order]
         base += len(b)
-    at = np.argsort(first, kind="stable").astype(np.int32)
-    place = np.empty(n, np.int32)
-    place[at] = np.arange(n, dtype=np.int32)
+    at = np.argsort(first, kind="stable")
+    fixed, place, spots, slots = at[:top], np.empty(n, np.int64), np.arange(n), np.full(n, -1, np.int64)
     new = np.ones(n + 1, bool)
-    new[1:n] = (first[at][1:] != first[at][:-1]) | (first[at][1:] == 0)
+    new[top + 1 : n] = first[at][top + 1 :] != first[at][top:-1]
     prefix = (~new[:n]).astype(np.int16)  # rounds without a boundary
-    spots = np.arange(n, dtype=np.int32)
+    known = False  # whether ``place`` is that of ``at``
     for _ in range(1, rounds):
         active = np.flatnonzero(~(new[:n] & new[1:]))
         if not len(active):
             break
-        block = np.maximum.accumulate(np.where(new[:n], spots, 0))
-        came = place[shorter[at[active]]]
-        order = np.argsort(block[active].astype(np.int64) * n + came)
-        moved, came = at[active][order], block[came[order]]
-        at[active], place[moved] = moved, active
-        parted = new[active]
-        parted[1:] |= came[1:] != came[:-1]
-        new[active] = parted
+        begun = np.maximum.accumulate(np.where(new[:n], spots, 0))
+        if 2 * len(active) > n:  # all suffixes move: one counting sort by the symbol before
+            merged = symbols[at]
+            order = np.argsort(merged, kind="stable")[top:]
+            symbol, came = merged[order], begun.take(order)
+            at = np.concatenate([fixed, longer.take(at.take(order))])
+            new[top + 1 : n] |= (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
+            known = False
+        else:  # two counting sorts of those that move: by the place of the shorter suffix, then by block
+            if not known:
+                place[at], known = spots, True
+            moved, parted = at.take(active), new.take(active)
+            came = place.take(shorter.take(moved))
+            slots[came] = np.arange(len(active))
+            order = slots[slots >= 0]
+            slots[came] = -1
+            block = (np.cumsum(parted) - 1).take(order)
+            order = order.take(np.argsort(block.astype(np.uint16) if int(block.max()) < 1 << 16 else block, kind="stable"))
+            moved, came = moved.take(order), begun.take(came.take(order))
+            at[active], place[moved] = moved, active
+            parted[1:] |= came[1:] != came[:-1]
+            new[active] = parted
         prefix += ~new[:n]
-    return place.astype(np.int64), np.cumsum(new[:n]) - 1, prefix
+    place[at] = spots
+    return place, np.cumsum(new[:n]) - 1, prefix
 
 
 def repeated(strings: list[np.ndarray], doc: np.ndarray, start: np.ndarray, several: np.ndarray) -> tuple[tuple, tuple]:
@@ -304,17 +320,21 @@ def windows_apart(places: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``cuts`` (array of start, stop) by doc_id: the bytes to remove, each covered by windows that start earlier elsewhere."""
     same = Window.partitionBy("minimizer", "content").orderBy("doc_id", "place")
-    met = found_runs(docs).repartition("minimizer").withColumn("lead", F.row_number().over(same) == 1)
-    met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("minimizer")))
-    judged = materialize(met.where("n > 1 or place < 0").drop("n"), "judged")
-    strings = with_bytes(docs, judged.where("lead and place >= 0").drop("lead"))
-    others = judged.where("not lead and place >= 0").drop("lead")
-    crowd = materialize(judged.where("lead and place >= 0").groupBy("minimizer").count().where(F.col("count") > hot).select("minimizer"), "hot")
+    met = found_runs(docs).repartition("minimizer").withColumn("lead", F.dense_rank().over(same) == 1)
+    whole = Window.partitionBy("minimizer")
+    met = met.withColumn("mixed", F.min("content").over(whole) < F.max("content").over(whole))
+    # a minimizer with one string has nothing to merge: its windows differ, and repeat at each later place
+    judged = materialize(met.where("mixed or not lead or place < 0"), "judged")
+    strings = with_bytes(docs, judged.where("lead and mixed and place >= 0").drop("lead", "mixed"))
+    others = judged.where("not lead and mixed and place >= 0").drop("lead", "mixed")
+    crowd = materialize(judged.where("lead and mixed and place >= 0").groupBy("minimizer").count().where(F.col("count") > hot).select("minimizer"), "hot")
+    later = ["doc_id", "place div 128 as start", f"place div 128 + place % 128 + {LENGTH - 1} as stop"]
     found = judged.where("place < 0").selectExpr("doc_id", "-1 - place as start", "content as stop")
+    found = found.unionByName(judged.where("not mixed and not lead and place >= 0").selectExpr(*later))
     if crowd.limit(1).count():
         few = maybe_broadcast(crowd, width=16)
         crowded = strings.join(few, "minimizer", "left_semi")
-        found = found.unionByName(windows_apart(crowded)).unionByName(others.join(few, "minimizer", "left_semi").selectExpr("doc_id", "place div 128 as start", f"place div 128 + place % 128 + {LENGTH - 1} as stop"))
+        found = found.unionByName(windows_apart(crowded)).unionByName(others.join(few, "minimizer", "left_semi").selectExpr(*later))
         strings, others = strings.join(few, "minimizer", "left_anti"), others.join(few, "minimizer", "left_anti")
     found = found.unionByName(merged_repeats(strings.unionByName(others.withColumn("bytes", F.lit(None).cast("binary")))))
     out = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "cuts")
@@ -326,10 +346,9 @@ def kept_bytes(docs: DataFrame, cuts: DataFrame, digest: bool) -> DataFrame:
     """``docs`` with what is left of each text: as digest columns or as new text."""
     fields = ["doc_id"] if digest else docs.columns
     met = docs.select("doc_id", "text") if digest else docs
-    size = cuts.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("cuts")).alias("cuts")).first()
     name, own = free_name(met, "cuts"), free_name(met, "of")
     cuts = cuts.select(F.col("doc_id").alias(own), F.col("cuts").alias(name))
-    met = met.join(F.broadcast(cuts) if 64 * size["docs"] + 32 * (size["cuts"] or 0) <= BROADCAST_BYTES else cuts, met["doc_id"] == cuts[own], "left").drop(own)
+    met = met.join(cuts, met["doc_id"] == cuts[own], "left").drop(own)
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else ", ".join(f"`{c}` {types[c]}" for c in fields)
 

@@ -190,7 +190,8 @@ def test_repeats_of_odd_rows(spark):
     """Rows repeated with their doc_id, rows without one, clashing columns, and many strings of one minimizer."""
     long = prose(400)
     rows = [(5, long, 1), (5, long, 1), (None, long, 2), (7, "x" + long, 3), (9, None, 4)] + [(20 + i, f"{i:03d}" + BASE[:150] + f"{i:03d}", i) for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, cuts long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cuts long").repartition(len(rows), "cuts").unionByName(spark.createDataFrame(rows[:0], "doc_id long, text string, cuts long"))
+    docs = docs.where("doc_id = 5").limit(1).unionByName(docs.where("doc_id = 5").limit(1)).unionByName(docs.where("not doc_id <=> 5"))
     out = repeats.without_repeats(docs)
     found = sorted(((r["doc_id"] or -1, r["cuts"]), r["text"]) for r in out.collect())
     assert out.columns == docs.columns and len(found) == len(rows)
