@@ -5,9 +5,9 @@ Every start of such a string ("window") belongs to the run of windows that share
 GRAM-byte strings within it. Equal windows have equal minimizers, so runs whose minimizer occurs once are done with. Runs
 with equal bytes are one string with several places; the only string of a minimizer repeats whole at each later place, as
 no two windows of a run are equal. The others are strings of collections of about COLLECTION bytes, whole minimizers each.
-The transforms of a collection's shards are built by prefix doubling and merged by iterative
-interleave refinement. Round h of it puts all suffixes in the order of their first h symbols, each by the place that the
-suffix a symbol shorter had in the round before; suffixes that stand alone have found their place and are passed over.
+The transforms of a collection's shards are built by prefix doubling and merged by iterative interleave refinement. Round
+h of it puts all suffixes in the order of their first h symbols, each by the place that the suffix a symbol shorter had in
+the round before; where fewer than half still share a block, those that stand alone are passed over.
 Where a boundary appears first, the common prefix is h - 1 long; what no boundary parts after LENGTH rounds is an
 interval. Windows of an interval with several places are repeats. No suffixes are sorted anew.
 
