@@ -17,9 +17,9 @@ class Memory:
     ``size`` bytes, about. Keys that one call needs are kept until the next."""
 
     #: Bytes of an entry besides its characters and its value's items.
-    ENTRY = 200
+    ENTRY = 150
 
-    def __init__(self, learn: Callable[[list[str]], Iterable], size: int = 24 << 20):
+    def __init__(self, learn: Callable[[list[str]], Iterable], size: int = 48 << 20):
         self.learn, self.size, self.held = learn, size, 0
         self.young: dict = {}
         self.old: dict = {}
@@ -36,7 +36,8 @@ class Memory:
         todo = list(new - again if again else new)
         if todo:
             self.young.update(zip(todo, self.learn(todo), strict=True))
-        self.held += sum(self.ENTRY + len(k) + 8 * len(self.young[k]) for k in new)
+        item = 1 if todo and isinstance(self.young[todo[0]], bytes) else 8
+        self.held += sum(self.ENTRY + len(k) + item * len(self.young[k]) for k in new)
         return self.young.__getitem__
 
 
