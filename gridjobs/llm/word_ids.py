@@ -36,7 +36,7 @@ class Memory:
         todo = list(new - again if again else new)
         if todo:
             self.young.update(zip(todo, self.learn(todo), strict=True))
-        item = 1 if todo and isinstance(self.young[todo[0]], bytes) else 8
+        item = 1 if self.young and isinstance(next(iter(self.young.values())), bytes) else 8
         self.held += sum(self.ENTRY + len(k) + item * len(self.young[k]) for k in new)
         return self.young.__getitem__
 
