@@ -9,9 +9,10 @@ all trees together with about 0.9999. Small children are compared exhaustively b
 pairs that pass are confirmed on full sets.
 
 Skew: documents with one set are one class before anything else. A first round over CONTRACTING coordinates only links
-each class with the best partner of its child, or with a pivot in a large child, which merges big groups of near
-copies; later rounds leave out children within one component and pairs within one component, so a group costs about
-its size. What is still large below the deepest level is compared in blocks of SMALL against SMALL.
+each class with the best partner of its child, or with the best of a large child's PIVOTS, which merges big groups of
+near copies; later rounds leave out children within one component and pairs within one component, so a group costs about
+its size. What is still large below the deepest level is compared in blocks of BLOCK against BLOCK, but for pairs within
+the component that has most of the child: the others meet it and one another.
 
 Defined results: words are maximal runs of bytes other than ASCII white space, A-Z lower-cased. With fewer words than
 a shingle has, the whole sequence is the one shingle; null texts and those without words have the empty set, are
@@ -38,6 +39,9 @@ TREES = 32
 DEPTH = 4
 SMALL = 128
 CONTRACTING = 6
+PIVOTS = 8
+BLOCK = 512
+WITHIN = 2  # the side of members that meet all of their group
 PASSED = 36  # of COORDINATES equal sketch bytes: at a similarity of 0.8, fewer has a probability of 4e-6
 _r = np.random.default_rng(1)
 FACTORS = _r.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,31 +125,33 @@ def child(coordinate: int) -> Column:
     return F.xxhash64(F.lit(coordinate), F.col("tokens")[coordinate])
 
 
-def _whole_groups(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """node, cid, component and sketches of sorted rows, cut between nodes."""
+def _whole_groups(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """node, cid, component, side and sketches of sorted rows, cut between nodes."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in stream:
         if not batch.num_rows:
             continue
         data, starts, _ = views(batch.column("sketch"))
-        now = (np.asarray(batch.column("node")), np.asarray(batch.column("cid")), np.asarray(batch.column("component")), data[starts[0] : starts[0] + batch.num_rows * COORDINATES].reshape(-1, COORDINATES))
+        side = np.asarray(batch.column("side")) if "side" in batch.schema.names else np.full(batch.num_rows, WITHIN, np.int32)
+        now = (np.asarray(batch.column("node")), np.asarray(batch.column("cid")), np.asarray(batch.column("component")), side, data[starts[0] : starts[0] + batch.num_rows * COORDINATES].reshape(-1, COORDINATES))
         held.append(now)
         if now[0][-1] == held[0][0][0]:
             continue
-        node, cid, component, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = int(len(node) - np.argmax(node[::-1] != node[-1]))
-        yield node[:cut], cid[:cut], component[:cut], sketch[:cut]
-        held = [(node[cut:], cid[cut:], component[cut:], sketch[cut:])]
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(len(whole[0]) - np.argmax(whole[0][::-1] != whole[0][-1]))
+        yield tuple(x[:cut] for x in whole)
+        held = [tuple(x[cut:] for x in whole)]
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def compare_children(members: DataFrame, best_only: bool) -> DataFrame:
     """Pairs (a, b) within small children whose sketches pass, of different components; for the first round each
-    member's best partner only."""
+    member's best partner only. With a column ``side``, of different sides, or both WITHIN."""
+    sides = [c for c in members.columns if c == "side"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, cid, component, sketch in _whole_groups(stream):
+        for node, cid, component, side, sketch in _whole_groups(stream):
             left, right, seen = [], [], []
             first = np.arange(len(node))
             for d in range(1, len(node)):
@@ -153,7 +159,8 @@ def compare_children(members: DataFrame, best_only: bool) -> DataFrame:
                 first = first[node[first] == node[first + d]]
                 if not len(first):
                     break
-                i = first[component[first] != component[first + d]]
+                meet = (side[first] != side[first + d]) | (side[first] == WITHIN)
+                i = first[meet & (component[first] != component[first + d])]
                 same = np.concatenate([(sketch[x] == sketch[x + d]).sum(axis=1) for x in np.array_split(i, max(1, len(i) >> 16))])
                 ok = same >= PASSED
                 left.append(i[ok])
@@ -170,32 +177,62 @@ def compare_children(members: DataFrame, best_only: bool) -> DataFrame:
             a, b = cid[left], cid[right]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    placed = members.select("node", "cid", "component", "sketch").repartition("node").sortWithinPartitions("node")
+    placed = members.select("node", "cid", "component", "sketch", *sides).repartition("node").sortWithinPartitions("node")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def compare_pairs(pairs: DataFrame) -> DataFrame:
-    """Of rows (a, b, sketch_a, sketch_b), the pairs whose sketches pass."""
+def compare_pivots(members: DataFrame, big: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of the children ``big`` with the best of their child's pivots whose sketch passes; pivots meet
+    all pivots of their child. Pivots are the least members of PIVOTS parts by hash."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sketch_a", "sketch_b"))
-                ok = pa.array((x == y).sum(axis=1) >= PASSED)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
-
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long").distinct()
+            if not batch.num_rows:
+                continue
+            cid, lists = np.asarray(batch.column("cid")), batch.column("pivots")
+            pivot = np.asarray(lists.flatten().field("b"))
+            row = np.repeat(np.arange(len(cid)), np.asarray(lists.value_lengths()))
+            own, theirs = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in (batch.column("sketch"), lists.flatten().field("sketch")))
+            same = np.concatenate([(own[row[i : i + 65536]] == theirs[i : i + 65536]).sum(axis=1) for i in range(0, len(row), 65536)])
+            is_pivot = np.bincount(row, pivot == cid[row], len(cid)) > 0
+            same[pivot == cid[row]] = 0
+            order = np.lexsort((pivot, -same, row))
+            best = np.zeros(len(row), bool)
+            best[order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]] = True
+            ok = (same >= PASSED) & (best | is_pivot[row])
+            x, y = cid[row[ok]], pivot[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    n = big.count()
+    within = members.select("node", "cid", "sketch").join(maybe_broadcast(big.select("node"), n, width=16), "node")
+    chosen = within.groupBy("node", F.pmod(F.xxhash64("cid"), F.lit(PIVOTS))).agg(F.min("cid").alias("b")).select("node", "b")
+    chosen = classes.select(F.col("cid").alias("b"), "sketch").join(maybe_broadcast(chosen, n * PIVOTS), "b")
+    pivots = chosen.groupBy("node").agg(F.collect_list(F.struct("b", "sketch")).alias("pivots"))  # PIVOTS at most
+    met = within.join(maybe_broadcast(pivots, n, width=128 * PIVOTS), "node").select("cid", "sketch", "pivots")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def blockwise(members: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Passing pairs of different components within the children ``mixed`` (node, n), in blocks of about SMALL members
-    against SMALL."""
-    size = mixed.select("node", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks"))
-    placed = members.join(maybe_broadcast(size), "node").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    left = placed.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("node", F.col("block").alias("i"), F.col("other").alias("j"), "cid", "component", "sketch", F.lit(0).alias("side"))
-    right = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).where("other < block").select("node", F.col("other").alias("i"), F.col("block").alias("j"), "cid", "component", "sketch", F.lit(1).alias("side"))
-    met = left.unionByName(right).drop("side").withColumn("node", F.xxhash64("node", "i", "j"))
-    return compare_children(met, best_only=False)
+    """Passing pairs of different components within the children ``mixed``, in blocks of about BLOCK members against BLOCK;
+    the members of a child's main component, that with most of it, meet the others only, not one another."""
+    n = mixed.count()
+    within = members.select("node", "cid", "component", "sketch").join(maybe_broadcast(mixed.select("node"), n, width=16), "node")
+    counts = within.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    blocks = lambda of: F.ceil(of / BLOCK).cast("int")
+    shape = materialize(shape.select("node", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("rests")), "shape")
+    placed = within.join(maybe_broadcast(shape, n), "node").withColumn("is_main", F.col("component") == F.col("main"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    others = F.expr("sequence(0, rests - 1)")
+    # an other block meets each other block (kind 0, least block first) and each main block (kind 1)
+    rest = F.transform(others, lambda k: F.struct(F.lit(0).alias("kind"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), F.when(k == F.col("block"), WITHIN).otherwise((k < F.col("block")).cast("int")).alias("side")))
+    to_main = F.transform(F.expr("sequence(0, mains - 1)"), lambda k: F.struct(F.lit(1).alias("kind"), F.col("block").alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    of_main = F.transform(others, lambda k: F.struct(F.lit(1).alias("kind"), k.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
+    met = placed.select("node", "cid", "component", "sketch", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(rest, to_main))).alias("x"))
+    met = met.select(F.xxhash64("node", "x.kind", "x.i", "x.j").alias("node"), "cid", "component", "sketch", "x.side")
+    found = materialize(compare_children(met, best_only=False), "pairs")
+    release(shape)
+    return found
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -233,11 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     big = large(first)
     hint = maybe_broadcast(big.select("node"), width=16)
     found = compare_children(first.join(hint, "node", "left_anti"), best_only=True)
-    # here every component is one class, so a node's least component is its pivot
-    named = maybe_broadcast(big.select("node", F.col("lo").alias("b")))
-    pivots = classes.select(F.col("cid").alias("b"), F.col("sketch").alias("sketch_b")).join(named, "b")
-    met = first.select("node", F.col("cid").alias("a"), F.col("sketch").alias("sketch_a")).join(maybe_broadcast(pivots, big.count(), width=128), "node").where("a <> b")
-    pairs = materialize(found.unionByName(compare_pairs(met)).distinct(), "pairs")
+    pairs = materialize(found.unionByName(compare_pivots(first, big, classes)).distinct(), "pairs")
     links = confirm(docs, pairs, words, percent)
     release(pairs, big)
     merged = connected_components(links)
@@ -254,7 +287,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if not mixed.limit(1).count():
             break
         if depth == DEPTH:
-            found.append(materialize(blockwise(level, mixed), "pairs"))
+            found.append(blockwise(level, mixed))
             break
         picked = mixed.select("node", F.col("node").alias("own"), "coordinate")
         if depth == 1:  # from here on trees differ

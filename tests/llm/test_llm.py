@@ -132,6 +132,7 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     """Children over the small size, branching and the blockwise rest."""
     monkeypatch.setattr(near_dedup, "SMALL", 8)
     monkeypatch.setattr(near_dedup, "DEPTH", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
     texts = []
     for g in range(3):
         base = [R.choice(WORDS) for _ in range(60)]
