@@ -6,7 +6,7 @@ document to the child named by its token there; a child with more than SMALL doc
 and branches again. Two documents of exactly the threshold's similarity are expected to share one child at every
 branching, so each tree finds them with a probability of about 0.3 at the deepest level and far more near the root, and
 all trees together with about 0.9999. Small children are compared exhaustively by eight-bit sketches of the tokens;
-pairs that pass are confirmed on full sets.
+bitmaps of the sets rule out most pairs that pass but are less alike, and the rest are confirmed on full sets.
 
 Skew: documents with one set are one class before anything else. A first round over CONTRACTING coordinates only links
 each class with the best partner of its child, or with the best of a large child's PIVOTS, which merges big groups of
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix, views
-from .common import BROADCAST_BYTES, materialize, maybe_broadcast, release, table
+from .common import materialize, maybe_broadcast, release, table
 from .components import connected_components
 
 COORDINATES = 64
@@ -41,6 +41,7 @@ SMALL = 128
 CONTRACTING = 6
 PIVOTS = 8
 BLOCK = 512
+BITS = 2048  # of the bitmap of a set
 WITHIN = 2  # the side of members that meet all of their group
 PASSED = 36  # of COORDINATES equal sketch bytes: at a similarity of 0.8, fewer has a probability of 4e-6
 _r = np.random.default_rng(1)
@@ -104,14 +105,38 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its whole shingle set (array<long>)."""
+    """doc_id, its whole shingle set (array<long>), the size of that and its bitmap of BITS bits."""
+    names = ["doc_id", "shingles", "size", "bits"]
+
+    def bitmap(found: np.ndarray) -> bytes:
+        bits = np.zeros(BITS, bool)
+        bits[found & np.uint64(BITS - 1)] = True
+        return np.packbits(bits).tobytes()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for a, b, block in blocks(batch.column("text"), lower=True):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([s.view(np.int64) for s in shingles(block, words)], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                sets = shingles(block, words)
+                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, size long, bits binary")
+
+
+def possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, size_a, bits_a, size_b, bits_b) whose bitmaps do not rule the similarity out: each bit that
+    only one set has stands for a member that the other lacks."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+                m, n = (np.asarray(batch.column(c)) for c in ("size_a", "size_b"))
+                both = np.minimum(m - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                ok = pa.array(both * 100 >= (m + n - both) * percent)
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return pairs.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def roots(seed: int = 2) -> list[list[int]]:
@@ -240,13 +265,14 @@ def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "used")
     texts = docs.select("doc_id", "text").join(maybe_broadcast(used, width=16), "doc_id", "left_semi")
     sets = materialize(full_sets(texts, words).dropDuplicates(["doc_id"]), "sets")
-    a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    held = sets.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("shingles")).alias("shingles")).first()
-    if 32 * held["docs"] + 8 * (held["shingles"] or 0) <= BROADCAST_BYTES:
-        a, b = F.broadcast(a), F.broadcast(b)
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    left = stored = materialize(possible(pairs, percent), "possible")
+    for c in "ab":
+        left = left.join(sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")), c)
+    met = left.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
     links = materialize(met.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b"), "links")
+    release(stored)
     release(used, sets)
     return links
 
