@@ -146,6 +146,22 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     assert [found[i]["component_id"] for i in range(len(texts))] == name
 
 
+def test_bitmaps_rule_out_no_link(spark):
+    texts = [" ".join(R.choice(WORDS) for _ in range(120))]
+    for k in range(0, 60, 3):
+        t = texts[0].split()
+        for at in R.sample(range(120), k):
+            t[at] = f"other{at}"
+        texts.append(" ".join(t))
+    brute, _ = brute_components(texts, 2, 80)
+    sets = near_dedup.full_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).select("doc_id", "size", "bits")
+    a, b = (sets.toDF(c, f"size_{c}", f"bits_{c}") for c in "ab")
+    left = {(r["a"], r["b"]) for r in near_dedup.possible(a.join(b, a["a"] < b["b"]), 80).collect()}
+    like = {(i, j): len(brute[i] & brute[j]) / len(brute[i] | brute[j]) for j in range(len(texts)) for i in range(j)}
+    assert {p for p, x in like.items() if x >= 0.8} <= left
+    assert not {p for p, x in like.items() if x < 0.5} & left
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
