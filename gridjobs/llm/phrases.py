@@ -5,7 +5,7 @@ ends. Only these longest windows are counted. A shorter phrase occurs as often a
 Spark's ROLLUP over the counted windows gives the counts of all pairs, words and languages; no shorter phrase is ever
 exploded from the texts.
 
-1. Words are counted, and the commonest of up to 32 bytes, 2 ** 20 at most, get numbers. This dictionary only makes rows
+1. Words are counted, and the commonest of up to 32 bytes, 2 ** 18 at most, get numbers. This dictionary only makes rows
    short: windows hold any other word as text.
 2. Numpy makes the windows of a block of texts and adds up equal ones.
 3. Windows are shuffled once, by their first two words. A window that is too rare to be a phrase gives up its third word,
@@ -45,7 +45,7 @@ GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
 WORDS = ["w1", "w2", "w3"]
 #: Numbered words at most, their bytes at most, and the bits of a number; 0 stands for no word, OTHER for one without number.
-DICTIONARY, NUMBERED_BYTES, BITS = 1 << 20, 32, 21
+DICTIONARY, NUMBERED_BYTES, BITS = 1 << 18, 32, 21
 OTHER = (1 << BITS) - 1
 SENT_ROWS = 1 << 16
 
