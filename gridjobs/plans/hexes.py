@@ -13,6 +13,7 @@ _G = hexgrid.grid()
 _row = lambda *x: "(" + ", ".join(repr(v.item() if isinstance(v, np.generic) else v) for v in x) + ")"
 FACES = "(values " + ", ".join(_row(f, *map(float, (*_G.centre[f], *_G.towards[f], *_G.across[f]))) for f in range(20)) + ") f(face, cx, cy, cz, ex, ey, ez, nx, ny, nz)"
 BASES = "(values " + ", ".join(_row(f, a, b, _G.base[f, a, b], _G.to_home[f, a, b], bool(_G.pentagon[_G.base[f, a, b]]), _G.own_angle[f, a, b], _G.home_angle[f, a, b]) for f in range(20) for a in range(-2, 3) for b in range(-2, 3) if _G.base[f, a, b] >= 0) + ") k(face, a0, b0, base, turn, pent, own, home)"
+EDGES = "(values " + ", ".join(_row(f, e, _G.other[f, e], *map(float, (_G.turn[f, e].real, _G.turn[f, e].imag, _G.shift[f, e].real, _G.shift[f, e].imag))) for f in range(20) for e in range(3)) + ") g(face, edge, other, tr, ti, sr, si)"
 _div = lambda x: f"((2 * ({x}) + 7 + 14000000000) // 14 - 1000000000)"
 H = 3**0.5 / 2
 
@@ -43,7 +44,9 @@ def cell_sql(source: str, res: int, key: str) -> str:
  based as (select * from d0 join {BASES} on d0.face = k.face and d0.a = k.a0 and d0.b = k.b0), led as (select *, {lead} as lead, case when {lead} <> 4 then 0 when own = 3 then 1 else -1 end as off from based),
  turned as (select *, case when not pent then turn when lead = 6 then 0 else off + [3, 5, 0, 1, 2][({order('(lead + off + 6) % 6')} + {order('home')} - {order('own')} + 5) % 5 + 1] - (lead + off + 6) % 6 end as steps from led),
  placed as (select *, ((ca - cb/2e0)*({s.real!r}) + cb*{H!r}*({s.imag!r}))/{n!r} as x, (cb*{H!r}*({s.real!r}) - (ca - cb/2e0)*({s.imag!r}))/{n!r} as y from turned),
- spot as (select *, cx + {hexgrid.UNIT!r}*(x*ex + y*nx) as sx, cy + {hexgrid.UNIT!r}*(x*ey + y*ny) as sy, cz + {hexgrid.UNIT!r}*(x*ez + y*nz) as sz from placed)
+ past as (select * exclude (cx, cy, cz, ex, ey, ez, nx, ny, nz), list_position([x/2 + y*{H!r}, -x, x/2 - y*{H!r}], list_max([x/2 + y*{H!r}, -x, x/2 - y*{H!r}])) - 1 as far, list_max([x/2 + y*{H!r}, -x, x/2 - y*{H!r}]) > 1.000000001e0 as over from placed),
+ folded as (select past.* exclude (x, y, face), case when over then other else past.face end as face, case when over then x*tr - y*ti + sr else x end as x, case when over then x*ti + y*tr + si else y end as y from past join {EDGES} on g.face = past.face and g.edge = far),
+ spot as (select *, cx + {hexgrid.UNIT!r}*(x*ex + y*nx) as sx, cy + {hexgrid.UNIT!r}*(x*ey + y*ny) as sy, cz + {hexgrid.UNIT!r}*(x*ez + y*nz) as sz from folded join {FACES} using (face))
  select {key}, lng, lat, cast({(1 << 59) | (res << 52) | ((1 << 3 * (15 - res)) - 1)} as bigint) + (base::bigint << 45) + {digits} as h, degrees(atan2(sy, sx)) as clng, degrees(atan2(sz, sqrt(sx*sx + sy*sy))) as clat from spot)"""
     )
 
