@@ -101,20 +101,5 @@ def compact(tiles: DataFrame, z: int) -> DataFrame:
     return out.unionByName(level)
 
 
-def dense_ids(df: DataFrame, key: str, name: str, rows_per_range: int = 1_000_000) -> DataFrame:
-    """Numbers from 0 in the order of ``key`` without a window over all rows: ranges of the key, as many as the rows ask
-    for, their sizes, and ranks within them."""
-    n = max(16, -(-df.count() // rows_per_range))
-    cuts = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"] or []))
-    ends = df.sparkSession.createDataFrame([(cuts,)], f"cuts array<{dict(df.dtypes)[key]}>")  # one row
-    part = F.expr(f"size(cuts) - size(filter(cuts, c -> c > `{key}`))")
-    placed = df.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("cuts")
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over n rows
-    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return placed.join(F.broadcast(before), "part").withColumn(name, F.col("before") + own).drop("part", "before")
-
-
 def least_squares(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))

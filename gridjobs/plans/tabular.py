@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import joins
+from ..operators import joins, scans
 from .base import query
 
 
@@ -251,8 +251,9 @@ def a19(t):
 
 @query("A20_box_plot", "select event_type, min(user_id)::double as lo, quantile_cont(user_id, 0.25) as q25, quantile_cont(user_id, 0.5) as q50, quantile_cont(user_id, 0.75) as q75, max(user_id)::double as hi from events group by 1")
 def a20(t):
-    q = F.percentile("user_id", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    return t.events.groupBy("event_type").agg(F.min("user_id").cast("double").alias("lo"), q.alias("q"), F.max("user_id").cast("double").alias("hi")).select("event_type", "lo", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "hi")
+    """From counts of distinct values in ranges, so that no group's values meet in one row."""
+    q = scans.quantiles(t.events, ["event_type"], "user_id", [0.0, 0.25, 0.5, 0.75, 1.0])
+    return q.select("event_type", *(F.col("quantiles")[i].alias(c) for i, c in enumerate(("lo", "q25", "q50", "q75", "hi"))))
 
 
 @query("A21_density", "with v as (select user_id::double as x, count(*) as n from events group by 1), s as (select sum(n) as c, sqrt((sum(n*x*x) - sum(n*x)*sum(n*x)/sum(n))/(sum(n) - 1))*pow(sum(n), -0.2e0) as h, min(x) as lo, max(x) as hi from v) select g.i::int as i, round(sum(n*exp(-0.5e0*pow((lo + (hi - lo)*g.i/19e0 - x)/h, 2)))/(any_value(c)*any_value(h)*sqrt(2*pi())), 9) as density from v, s, range(20) g(i) group by 1")
@@ -347,8 +348,10 @@ def w7(t):
 
 @query("W8_trip_times", "select user_id, event_id, make_timestamp((1704067200 + sum(event_id % 90) over (partition by user_id order by ts, event_id))::bigint*1000000) as at from events")
 def w8(t):
-    run = F.sum(F.col("event_id") % 90).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return t.events.select("user_id", "event_id", F.timestamp_seconds(run + 1704067200).cast("timestamp_ntz").alias("at"))
+    """A user's rows may fall into many ranges, so a hot user is many tasks."""
+    steps = t.events.select("user_id", "event_id", "ts", (F.col("event_id") % 90).alias("took"))
+    run = scans.running_sum(steps, ["user_id"], ["ts", "event_id"], "took", "run")
+    return run.select("user_id", "event_id", F.timestamp_seconds(F.col("run") + 1704067200).cast("timestamp_ntz").alias("at"))
 
 
 @query("W9_group_size", "select o_orderkey, count(*) over (partition by o_custkey) as n from orders")
@@ -358,21 +361,21 @@ def w9(t):
 
 @query("W10_fill", "select user_id, event_id, coalesce(last_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), first_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between current row and unbounded following)) as filled from (select *, case when event_id % 4 = 0 then event_id end as v from events)")
 def w10(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    v = t.events.withColumn("v", F.when(F.col("event_id") % 4 == 0, F.col("event_id")))
-    back, ahead = F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return v.select("user_id", "event_id", F.coalesce(back, ahead).alias("filled"))
+    """Forward, then backward, carried over from range to range."""
+    v = t.events.select("user_id", "event_id", "ts", F.when(F.col("event_id") % 4 == 0, F.col("event_id")).alias("v"))
+    both = scans.next_value(scans.last_value(v, ["user_id"], ["ts", "event_id"], "v", "back"), ["user_id"], ["ts", "event_id"], "v", "ahead")
+    return both.select("user_id", "event_id", F.coalesce("back", "ahead").alias("filled"))
 
 
 @query("W11_chunks", "select o_orderkey, (row_number() over (order by o_orderkey) - 1)//1000 as chunk from orders")
 def w11(t):
     """Chunks of a thousand rows by dense positions."""
-    return agg.dense_ids(t.orders.select("o_orderkey"), "o_orderkey", "at").select("o_orderkey", F.expr("at div 1000L").alias("chunk"))
+    return scans.dense_ids(t.orders.select("o_orderkey"), "o_orderkey", "at").select("o_orderkey", F.expr("at div 1000L").alias("chunk"))
 
 
 @query("W12_dense_ids", "select event_id, row_number() over (order by event_id) - 1 as id from events")
 def w12(t):
-    return agg.dense_ids(t.events.select("event_id"), "event_id", "id")
+    return scans.dense_ids(t.events.select("event_id"), "event_id", "id")
 
 
 @query("S2_top_details", "select event_id, event_type from events where event_type in (select event_type from events group by 1 order by count(*) desc, 1 limit 2)")

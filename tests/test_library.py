@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from gridjobs.functions import geo, shapes
-from gridjobs.operators import aggregates, joins, models
+from gridjobs.operators import aggregates, joins, models, scans
 from gridjobs.plans import registry
 from gridjobs.sources import files
 from gridjobs.streaming import jobs
@@ -174,8 +174,8 @@ def test_latest_state_after_restart(spark):
 
 def test_dense_ids_and_forecast(spark):
     df = spark.range(0, 900, 3).withColumnRenamed("id", "k")
-    assert sorted(map(tuple, aggregates.dense_ids(df, "k", "n", 50).collect())) == [(3 * i, i) for i in range(300)]
-    assert aggregates.dense_ids(df.limit(0), "k", "n").count() == 0
+    assert sorted(map(tuple, scans.dense_ids(df, "k", "n").collect())) == [(3 * i, i) for i in range(300)]
+    assert scans.dense_ids(df.limit(0), "k", "n").count() == 0
     cube = spark.createDataFrame([("a", x, float(x**3 - 4 * x)) for x in range(1, 30)] + [("b", x, 5.0) for x in range(9)], "s string, x long, y double")
     found = {(r["s"], r["step"]): (r["value"], r["signal"]) for r in models.forecast(cube, "s", "x", "y").collect()}
     assert all(abs(found["a", k][0] - ((29 + k) ** 3 - 4 * (29 + k))) < 1e-3 and found["a", k][1] == "BUY" for k in range(1, 8))
