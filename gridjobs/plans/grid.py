@@ -267,14 +267,15 @@ def j11(t):
 
 @query("J12_ring_scores", f"select other, max(case when distance <= 100000 then 3 when distance <= 200000 then 2 else 1 end) as score from {PAIRS} where distance <= 300000 group by 1")
 def j12(t):
-    met = joins.distance_join(*sides(t), 300_000)
-    return met.groupBy("other").agg(F.max(F.when(F.col("distance") <= 100_000, 3).when(F.col("distance") <= 200_000, 2).otherwise(1)).alias("score"))
+    """The best ring only, without pairs."""
+    a, b = sides(t)
+    return joins.best_ring(b, a, "other", [(100_000, 3), (200_000, 2), (300_000, 1)])
 
 
 @query("J13_conflation", f"with hit as (select distinct other from {PAIRS} where distance <= 200000) select event_id as id, 'a' as source from {POINTS} where event_type = 'purchase' union all select event_id, 'b' from {POINTS} where event_type = 'signup' and event_id not in (select other from hit)")
 def j13(t):
     a, b = sides(t)
-    rest = b.join(joins.distance_join(a, b, 200_000).select("other").distinct(), "other", "left_anti")
+    rest = b.join(joins.within_reach(b, a, "other", 200_000), "other", "left_anti")
     return a.select(F.col("event_id").alias("id"), F.lit("a").alias("source")).unionByName(rest.select(F.col("other").alias("id"), F.lit("b").alias("source")))
 
 

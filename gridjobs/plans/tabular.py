@@ -180,9 +180,16 @@ def j16(t):
 
 @query("J17_key_range", "select s_suppkey, chunk from supplier join (select l_suppkey // 20 as chunk, min(l_suppkey) as lo, max(l_suppkey) as hi from lineitem group by 1) on s_suppkey between lo and hi")
 def j17(t):
-    """Chunks have disjoint ranges, so the bucket of a key is its chunk's."""
+    """Chunks of keys by their least and greatest key."""
     chunks = t.lineitem.groupBy(F.expr("l_suppkey div 20").alias("chunk")).agg(F.min("l_suppkey").alias("lo"), F.max("l_suppkey").alias("hi"))
-    return t.supplier.withColumn("chunk", F.expr("s_suppkey div 20")).join(chunks, "chunk").where("s_suppkey between lo and hi").select("s_suppkey", "chunk")
+    return joins.range_join(t.supplier, chunks, "s_suppkey", "lo", "hi").select("s_suppkey", "chunk")
+
+
+@query("J17_overlapping_ranges", "select o_orderkey, p_partkey from orders join (select p_partkey, p_retailprice*p_size as lo, p_retailprice*p_size*(1 + (p_partkey % 7)/10000e0) as hi from part) on o_totalprice between lo and hi")
+def j17any(t):
+    """Orders whose price lies in price ranges that overlap and differ in length."""
+    ranges = t.part.select("p_partkey", F.expr("p_retailprice*p_size").alias("lo"), F.expr("p_retailprice*p_size*(1 + (p_partkey % 7)/10000e0)").alias("hi"))
+    return joins.range_join(t.orders.select("o_orderkey", "o_totalprice"), ranges, "o_totalprice", "lo", "hi").select("o_orderkey", "p_partkey")
 
 
 MEET = "(select user_id, event_id, ts, ts + interval 30 minute as fin, lead(ts) over w as nxt, lead(event_id) over w as nid from events window w as (partition by user_id, cast(ts as date) order by ts, event_id))"
