@@ -9,7 +9,12 @@ through an inverted index of each document's rarest signatures.
 Defined results: a null text is empty. A text with words but no spot takes each of its words as an anchor; one with
 fewer words than a chain takes all its words as one signature; one without words has the empty fingerprint. Two empty
 fingerprints are alike (1), an empty and another are not (0). Equal texts have equal fingerprints. Among rows of one
-doc_id the text decides the order. The only document of a table is its own next.
+doc_id the text decides the order. The only document of a table is its own next. A row without doc_id is its own next and
+nobody else's. As many rows come out as go in; an empty table gives none. A text of any length is one value; columns but
+doc_id and text, whatever their names, are not looked at.
+
+The registered query compares given pairs of texts and needs their exact likeness, so it takes no threshold; near_pairs()
+is for looking for likeness among all documents.
 """
 
 from __future__ import annotations
@@ -134,24 +139,26 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def followed(docs: DataFrame) -> DataFrame:
     """Rows (range, last, doc_id, text) sorted within partitions such that each document is followed by the next in
-    ascending doc_id, the end of a range by the first document of the next range (``last`` is 1 there).
+    ascending doc_id, the end of a range by the first document of the next range (``last`` is 1 there). Rows without doc_id
+    are dealt out over the ranges, after all others (``last`` is 2).
 
     Ranges of doc_id come from approximate quantiles, so they are even; there are a few for each shuffle partition, and
     only their first ids go through the driver.
     """
     spark = docs.sparkSession
     n = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("cuts")).first()["cuts"] or []
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cuts = named.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
     place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("range"))
+    ranged = named.withColumn("range", place)
     firsts = sorted((r["range"], r["first"]) for r in ranged.groupBy("range").agg(F.min("doc_id").alias("first")).collect())
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    if not before:
-        return ranged.withColumn("last", F.lit(0))
     ends = spark.createDataFrame([(k, v) for k, v in before.items()], "doc_id long, range int")
     more = ranged.drop("range").join(F.broadcast(ends), "doc_id").withColumn("last", F.lit(1))
-    both = ranged.withColumn("last", F.lit(0)).unionByName(more)
+    bare = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bare = bare.withColumn("range", F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).withColumn("last", F.lit(2))
+    both = ranged.withColumn("last", F.lit(0)).unionByName(more).unionByName(bare)
     return both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "last", "doc_id", "text")
 
 
@@ -160,14 +167,15 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     next document, ascending doc_id) and that of the next document."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def out(rows: list[tuple[int, str]], then: list[str]) -> pa.RecordBatch:
+    def out(rows: list[tuple[int | None, str]], then: list[str]) -> pa.RecordBatch:
+        """then: the next text of each row, which is that of the following row but for the last one and for rows without id."""
         edited = [t[: len(t) - len(t) // 2] + x[: len(t) // 2] for (_, t), x in zip(rows, then, strict=True)]
         sets: list[np.ndarray] = []
         for _, _, block in blocks(pa.array([t for _, t in rows] + edited + then[-1:], pa.large_string()), lower=True):
             sets += spots(block)
         n = len(rows)
         own, new, last = sets[:n], sets[n : 2 * n], sets[2 * n]
-        following = [*own[1:], last] if n else []
+        following = own if rows[0][0] is None else [*own[1:], last]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([i for i, _ in rows], pa.int64()),
@@ -183,10 +191,20 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str]] = []  # consecutive documents of one range; the last waits for its next
-        size, current, closed = 0, None, False
+        bare: list[tuple[None, str]] = []  # rows without doc_id
+        size, more, current, closed = 0, 0, None, False
         for batch in stream:
             for of, last, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("range", "last", "doc_id", "text")), strict=True):
+                if last == 2:
+                    bare.append((None, text))
+                    more += len(text)
+                    if more >= 1 << 20:
+                        yield out(bare, [t for _, t in bare])
+                        bare, more = [], 0
+                    continue
                 if of != current:
+                    if held and not closed:
+                        raise ValueError(f"range {current} of documents has no next one")
                     held, size, current, closed = [], 0, of, False
                 if last:  # the first document of the next range (its copies of the same id come after it)
                     if held and not closed:
@@ -199,6 +217,10 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                     if len(held) > 1:
                         yield out(held[:-1], [t for _, t in held[1:]])
                     held, size = held[-1:], len(text) if len(text) < 1 << 20 else 0
+        if held and not closed:
+            raise ValueError(f"range {current} of documents has no next one")
+        if bare:
+            yield out(bare, [t for _, t in bare])
 
     return followed(docs).select("range", "last", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -30,6 +30,7 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, drop string, ids long").repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(len(TEXTS))] + [(None, 1, None), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     r = np.random.default_rng(0)
+    spark.createDataFrame([(i // 3, i % 3, "user", "Hi.", "x") for i in range(9)], "conv_id long, turn long, role string, text string, tree string").write.parquet(f"{d}/conversations.parquet")
     spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(60)] + [(60, None), (61, [0.0] * 8), (None, [1.0] * 8)], "vec_id long, embedding array<double>").write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
@@ -91,6 +92,7 @@ def plain_spots(text):
 
 def test_fingerprint_query_equals_plain_chains(found):
     df = next(v for k, v in found.items() if k.startswith("op5_"))
+    assert df.count() == len(TEXTS) + 3
     rows = df.where("doc_id is not null").orderBy("doc_id").collect()
     by = of(df)
     texts = [TEXTS[r["doc_id"]] or "" for r in rows]
@@ -106,6 +108,40 @@ def test_fingerprint_query_equals_plain_chains(found):
     assert by[5]["fingerprint"] == by[6]["fingerprint"]
 
 
+@pytest.mark.parametrize("ids", [[1, None, 2], [None, None], [3], [None], [5, 5, 5], list(range(40)) + [None] * 3])
+def test_no_document_is_lost_beside_missing_ids(spark, ids):
+    rows = [(i, f"text {i} of the {k} and more words") for k, i in enumerate(ids)]
+    out = fingerprints.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"]) for r in out) == sorted((i is None, i or 0, len(t)) for i, t in rows)
+    assert all(r["near_next"] == 1.0 for r in out if r["doc_id"] is None)
+
+
+@pytest.mark.parametrize("name", [k for k in QUERIES if not k.startswith(("op3_", "op6_", "op7_", "op11_", "op12_", "op13_"))])
+def test_as_many_rows_out_as_in(spark, sf, found, name):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert found[name].count() == (docs.where("doc_id is not null") if name.startswith("op1_") else docs).count()
+
+
+def test_token_count_query(spark, sf, found):
+    """The registered histogram against sorted lengths of the same ids."""
+    df = next(v for k, v in found.items() if k.startswith("op3_"))
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    import public_tokenizers
+
+    from gridjobs.llm.token_counts import encoding
+
+    encode = encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    lengths = sorted(len(encode(t)) for t in texts)
+    rows = sorted(df.collect(), key=lambda r: r["n_tokens"])
+    assert [r["n_tokens"] for r in rows] == sorted(set(lengths))
+    for r in rows:
+        n = r["n_tokens"]
+        above = [x for x in lengths if x > n]
+        assert (r["n_docs"], r["docs_above"], r["tokens_above"]) == (lengths.count(n), len(above), sum(above))
+        assert (r["total_docs"], r["total_tokens"], r["truncated_total"]) == (len(lengths), sum(lengths), sum(min(x, n) for x in lengths))
+        assert abs(r["quantile"] - (len(lengths) - len(above)) / len(lengths)) < 1e-12
+
+
 def test_search_query_reranks_few(spark, found):
     df = next(v for k, v in found.items() if k.startswith("op6_"))
     assert sorted({r["query_id"] for r in df.collect()}) == [0, 20, 40] and df.count() == 60
@@ -170,15 +206,22 @@ def test_quality_query_is_a_mean_of_vectors(spark, sf, found):
 
 def test_encoding_query(found):
     df = next(v for k, v in found.items() if k.startswith("op10_"))
+    import public_tokenizers
+
+    from gridjobs.llm.token_counts import encoding
+
+    encode = encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
     for i, r in of(df).items():
+        ids = encode(TEXTS[i] or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256((TEXTS[i] or "").encode()).hexdigest()
 
 
 def test_every_query_of_an_empty_table(spark, sf, tmp_path):
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, f in QUERIES.items():
-        assert f(spark, str(tmp_path)).count() == 0, name
+        assert f(spark, str(tmp_path)).count() == name.startswith("op11_"), name  # its own conversation
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
