@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -227,6 +229,47 @@ def to_utm(lng: str | Column, lat: str | Column) -> tuple[Column, Column]:
     return x, F.when(col(lat) < 0, 10_000_000.0).otherwise(0.0) + y
 
 
+def from_utm(x: str | Column, y: str | Column, code: str | Column) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing in the zone of a projection's number, as utm_code() gives it."""
+    a, e2, k0 = 6378137.0, 0.006694379990141317, 0.9996
+    second, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    zone, north = col(code) % 100, col(code) < 32700
+    arc = (col(y) - F.when(north, 0.0).otherwise(10_000_000.0)) / k0
+    mu = arc / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    w = 1 - e2 * F.pow(F.sin(foot), 2.0)
+    n, r = a / F.sqrt(w), a * (1 - e2) / F.pow(w, 1.5)
+    t, c, d = F.pow(F.tan(foot), 2.0), second * F.pow(F.cos(foot), 2.0), (col(x) - 500_000.0) / (n * k0)
+    lat = foot - n * F.tan(foot) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * second) * F.pow(d, 4.0) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * second - 3 * c * c) * F.pow(d, 6.0) / 720)
+    away = (d - (1 + 2 * t + c) * F.pow(d, 3.0) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * second + 24 * t * t) * F.pow(d, 5.0) / 120) / F.cos(foot)
+    return zone * 6.0 - 183.0 + F.degrees(away), F.degrees(lat)
+
+
+def from_mercator(x: str | Column, y: str | Column) -> tuple[Column, Column]:
+    """Longitude and latitude of metres on the web mercator plane."""
+    r = 6378137.0
+    return F.degrees(col(x) / r), F.degrees(2.0 * F.atan(F.exp(col(y) / r)) - F.pi() / 2.0)
+
+
+#: WGS 84: first eccentricity, and the value of authalic() at a pole before it is divided by that.
+_E = 0.006694379990141317**0.5
+_POLE = 1 + (1 - _E**2) / (2 * _E) * math.log((1 + _E) / (1 - _E))
+#: Radius of the sphere that has the ellipsoid's area.
+AUTHALIC_M = 6378137.0 * (_POLE / 2) ** 0.5
+
+
+def authalic(lat: str) -> str:
+    """SQL of the sine of the authalic latitude: on a sphere with the ellipsoid's area, zones have the areas that they have there."""
+    s = f"sin(radians({lat}))"
+    return f"({1 - _E**2!r}D * ({s} / (1 - {_E**2!r}D * {s} * {s}) - ln((1 - {_E!r}D * {s}) / (1 + {_E!r}D * {s})) / {2 * _E!r}D) / {_POLE!r}D)"
+
+
+def equal_area_ring(ring: str) -> Column:
+    """``ring`` on a plane in metres where areas are those on the ellipsoid; ring_area() of it is in square metres. Its edges are
+    straight there: parallels and meridians stay what they are, other edges differ from geodesics by their length squared."""
+    return F.expr(f"transform({ring}, p -> named_struct('x', radians(p.x) * {AUTHALIC_M!r}D, 'y', {authalic('p.y')} * {AUTHALIC_M!r}D))")
+
+
 def to_mercator(lng: str | Column, lat: str | Column) -> tuple[Column, Column]:
     """Metres on the web mercator plane."""
     r = 6378137.0

@@ -174,6 +174,18 @@ def st2(t):
     return last.groupBy(F.window("ts", "1 minute")["start"].cast("timestamp_ntz").alias("start")).agg(one().alias("n"))
 
 
+@query("ST2_minute_stream", "with e as (select * from events where event_type = 'view' and not (event_id % 50 = 0 and dayofmonth(ts) <= 10)) select date_trunc('minute', ts)::timestamp as start, count(*) as n from e where date_trunc('minute', ts) + interval 121 minute <= (select max(ts) from e) group by 1")
+def st2stream(t):
+    """Minutes that the watermark has passed; entries that come after all others are too late for their minutes."""
+    path = files.workspace(t.spark, "minutes")
+    e = t.events.where("event_type = 'view'").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    held = F.expr("event_id % 50 = 0 and dayofmonth(ts) <= 10")
+    for part in (e.where(~held & (F.dayofmonth("ts") <= 15)), e.where(~held & (F.dayofmonth("ts") > 15)), e.where(held)):
+        part.coalesce(1).write.mode("append").parquet(path)  # a file each, read in this order
+    stream = jobs.read_stream(t.spark, path, "event_id long, ts timestamp")
+    return jobs.run_to_parquet(jobs.minute_counts(stream, "2 hours"), path + "-out", path + "-ck").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 @query("ST2_recent_entries", "select event_id, ts, user_id from events where event_type = 'view' and ts >= (select max(ts) from events) - interval 60 minute order by ts desc, event_id limit 100")
 def st2entries(t):
     """The hundred newest entries of one name in the last hour of the log."""

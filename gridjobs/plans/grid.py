@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import aggregates as agg
 from ..operators import joins
-from .base import BOXES, CITY, IDS, PIXELS, POINTS, query, tc, tx, ty, up
+from .base import BOXES, CITY, IDS, PIXELS, POINTS, RING, query, tc, tx, ty, up
 
 X, Y = "((cell >> 28) & 268435455)", "(cell & 268435455)"
 HAVERSINE = "2e0*6371008.8e0*asin(sqrt(least(1e0, pow(sin((radians({b}) - radians({d}))/2e0), 2) + cos(radians({d}))*cos(radians({b}))*pow(sin((radians({a}) - radians({c}))/2e0), 2))))"
@@ -315,6 +315,26 @@ def f16utm(t):
     return t.points.select("event_id", F.round(x, 1).alias("easting"), F.round(y, 1).alias("northing"))
 
 
+_S = "sin(radians(y))"
+_AUTHALIC = f"({1 - geo._E**2!r} * ({_S}/(1 - {geo._E**2!r}*{_S}*{_S}) - ln((1 - {geo._E!r}*{_S})/(1 + {geo._E!r}*{_S}))/{2 * geo._E!r})/{geo._POLE!r})"
+_CORNERS = "(values " + ", ".join(f"({i}, {x}e0, {y}e0)" for i, (x, y) in enumerate(RING)) + ") r(i, dx, dy)"
+
+
+@query("F15_equal_area", f"with c as (select n_nationkey, i, minx + dx as x, miny + dy as y from {BOXES}, {_CORNERS}), p as (select n_nationkey, i, radians(x)*{geo.AUTHALIC_M!r} as u, {_AUTHALIC}*{geo.AUTHALIC_M!r} as v from c) select a.n_nationkey, round(abs(sum(a.u*b.v - b.u*a.v))/2e6, 3) as km2 from p a join p b on a.n_nationkey = b.n_nationkey and b.i = (a.i + 1) % 6 group by 1")
+def f15equal(t):
+    """Square kilometres of each ring on the ellipsoid."""
+    return t.boxes.withColumn("plane", geo.equal_area_ring("ring")).select("n_nationkey", F.round(geo.ring_area("plane") / 1e6, 3).alias("km2"))
+
+
+@query("F16_back", f"select event_id, round(lng, 7) as utm_lng, round(lat, 7) as utm_lat, round(lng, 9) as web_lng, round(lat, 9) as web_lat from {POINTS}")
+def f16back(t):
+    """Each point from its zone's metres, and from those of the web map."""
+    (e, n), (x, y) = geo.to_utm("lng", "lat"), geo.to_mercator("lng", "lat")
+    met = t.points.select("event_id", e.alias("e"), n.alias("n"), geo.utm_code("lng", "lat").alias("code"), x.alias("x"), y.alias("y"))
+    (a, b), (c, d) = geo.from_utm("e", "n", "code"), geo.from_mercator("x", "y")
+    return met.select("event_id", F.round(a, 7).alias("utm_lng"), F.round(b, 7).alias("utm_lat"), F.round(c, 9).alias("web_lng"), F.round(d, 9).alias("web_lat"))
+
+
 @query("F15_ring_area", f"select n_nationkey, 60e0 as area from {BOXES}")
 def f15(t):
     return t.boxes.select("n_nationkey", F.round(geo.ring_area("ring"), 6).alias("area"))

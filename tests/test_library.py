@@ -1,6 +1,7 @@
 """Round trips, invariants and plans."""
 
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -172,6 +173,42 @@ def test_latest_state_after_restart(spark):
         assert run() == want  # with no new file
 
 
+def test_latest_state_rewrites_touched_buckets_only(spark):
+    base = files.workspace(spark, "many")
+    names = lambda p: sorted(x for _, d, _ in os.walk(p.removeprefix("file://")) for x in d if x.startswith("bucket="))
+
+    def run(rows):
+        spark.createDataFrame(rows, "k long, at long, v string").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = jobs.read_stream(spark, f"{base}/in", "k long, at long, v string")
+        return {r["k"]: (r["at"], r["v"]) for r in jobs.run_latest(stream, "k", "at", f"{base}/state", f"{base}/ck", buckets=64).collect()}
+
+    want = {k: (1, "a") for k in range(500)}
+    assert run([(k, 1, "a") for k in range(500)]) == want
+    assert len(names(f"{base}/state/v0")) == 64
+    want |= {3: (2, "b"), 700: (0, "n"), None: (5, "z")}
+    assert run([(3, 2, "b"), (4, 0, "old"), (700, 0, "n"), (None, 5, "z"), (None, 4, None)]) == want
+    assert len(names(f"{base}/state/v1")) <= 4
+    want[3] = (3, None)
+    assert run([(3, 3, None)]) == want
+    assert len(names(f"{base}/state/v2")) == 1
+    left = len(names(f"{base}/state"))
+    assert left <= 64 + 4 + 1  # the last two lists and no more
+
+
+def test_equal_area_and_inverse_projections(spark):
+    octant = "array(named_struct('x', 0d, 'y', 0d), named_struct('x', 90d, 'y', 0d), named_struct('x', 90d, 'y', 90d), named_struct('x', 0d, 'y', 90d))"
+    world = "array(named_struct('x', -180d, 'y', -90d), named_struct('x', 180d, 'y', -90d), named_struct('x', 180d, 'y', 90d), named_struct('x', -180d, 'y', 90d))"
+    df = spark.sql(f"select {octant} as ring union all select {world}").withColumn("plane", geo.equal_area_ring("ring"))
+    a, b = sorted(r[0] for r in df.select(geo.ring_area("plane") / 1e12).collect())
+    assert abs(b - 510.0656217) < 1e-5 and abs(a * 8 - b) < 1e-9  # the ellipsoid's area in million square kilometres
+    p = points(spark, 800, 9).where("abs(lat) < 80")
+    (e, n), (x, y) = geo.to_utm("lng", "lat"), geo.to_mercator("lng", "lat")
+    q = p.select("lng", "lat", e.alias("e"), n.alias("n"), geo.utm_code("lng", "lat").alias("c"), x.alias("x"), y.alias("y"))
+    for back, most in ((geo.from_utm("e", "n", "c"), 1e-8), (geo.from_mercator("x", "y"), 1e-10)):
+        off = q.select(F.max(F.abs(back[0] - F.col("lng")) * F.cos(F.radians("lat"))), F.max(F.abs(back[1] - F.col("lat")))).first()
+        assert max(off) < most  # a millimetre and less
+
+
 def test_dense_ids_and_forecast(spark):
     df = spark.range(0, 900, 3).withColumnRenamed("id", "k")
     assert sorted(map(tuple, scans.dense_ids(df, "k", "n").collect())) == [(3 * i, i) for i in range(300)]
