@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -184,6 +185,33 @@ def ring_bounds(ring: str) -> dict[str, Column]:
     return {f"{how}{c}": F.expr(f"array_{how}(transform({ring}, p -> p.{c}))") for how in ("min", "max") for c in "xy"}
 
 
+def clip_ring(ring: str | Column, bounds: tuple[float, float, float, float]) -> Column:
+    """The part of a ring within [minx, miny, maxx, maxy]: edges are cut at one side after the other, so a convex ring stays
+    one, and a ring that falls apart has its parts joined along the side. Without points if the ring is outside."""
+
+    def clipped(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        for axis, bound, sign in ((0, bounds[0], 1), (0, bounds[2], -1), (1, bounds[1], 1), (1, bounds[3], -1)):
+            out = []
+            for k, here in enumerate(points):
+                before = points[k - 1]
+                inside, was = (here[axis] - bound) * sign >= 0, (before[axis] - bound) * sign >= 0
+                if inside != was:
+                    part = (bound - before[axis]) / (here[axis] - before[axis])
+                    cut = [b + (h - b) * part for h, b in zip(here, before, strict=True)]
+                    cut[axis] = bound
+                    out.append(tuple(cut))
+                if inside:
+                    out.append(here)
+            points = out
+        return points
+
+    @F.pandas_udf("array<struct<x: double, y: double>>")
+    def run(rings: pd.Series) -> pd.Series:
+        return rings.map(lambda r: None if r is None else [{"x": x, "y": y} for x, y in clipped([(p["x"], p["y"]) for p in r])])
+
+    return run(col(ring))
+
+
 def split_at_antimeridian(minx: str, maxx: str) -> Column:
     """Array of structs (minx, maxx): one, or two where the west edge is over the east edge."""
     return F.expr(f"if({minx} <= {maxx}, array(named_struct('minx', {minx}, 'maxx', {maxx})), array(named_struct('minx', {minx}, 'maxx', 180e0), named_struct('minx', -180e0, 'maxx', {maxx})))")

@@ -19,6 +19,17 @@ def line_parts(wkt: str) -> Column:
     return F.when(F.upper(F.col(wkt)).rlike("^ *(MULTI)?LINESTRING"), F.expr(f"transform({parts}, part -> {points})")).otherwise(F.expr("cast(array() as array<array<struct<x: double, y: double>>>)"))
 
 
+def polygon_parts(wkt: str) -> Column:
+    """array<array<array<struct<x, y>>>>: the points of each ring of each part of POLYGON or MULTIPOLYGON text, which the SQL
+    ``wkt`` gives, without the closing point. A third coordinate is ignored; null, empty and other text has no parts."""
+    ring = r"[(][^()]+[)]"
+    points = f"transform(regexp_extract_all(ring, '{POINT}', 0), p -> named_struct('x', double(regexp_extract(p, '{POINT}', 1)), 'y', double(regexp_extract(p, '{POINT}', 2))))"
+    opened = f"transform(array({points}), p -> if(size(p) > 1 and p[0] = p[size(p) - 1], slice(p, 1, size(p) - 1), p))[0]"
+    rings = f"transform(regexp_extract_all(part, '{ring}', 0), ring -> {opened})"
+    parts = f"transform(regexp_extract_all({wkt}, '[(] *{ring}(?: *, *{ring})* *[)]', 0), part -> {rings})"
+    return F.when(F.expr(f"upper({wkt}) rlike '^ *(MULTI)?POLYGON'"), F.expr(parts)).otherwise(F.expr("cast(array() as array<array<array<struct<x: double, y: double>>>>)"))
+
+
 def line_wkt(line: str, digits: int = 6) -> Column:
     """LINESTRING text of ``line``: array of structs (x, y)."""
     return F.concat(F.lit("LINESTRING ("), F.expr(f"array_join(transform({line}, p -> format_string('%.{digits}f %.{digits}f', p.x, p.y)), ', ')"), F.lit(")"))

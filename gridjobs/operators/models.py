@@ -55,6 +55,35 @@ def polynomial_trend(df: DataFrame, key: str, x: str, y: str, degree: int = 3) -
     return sums.mapInPandas(solve, f"{key} {kind}, " + ", ".join(f"c{i} double" for i in range(degree + 1)))
 
 
+def linear_fit(df: DataFrame, features: list[str], target: str, key: str) -> DataFrame:
+    """key, n, intercept and a coefficient named as each feature, of the least-squares fit of all features at once: means and
+    central moments by aggregation, one small solve a key. Rows with a null are left out; where features depend on each
+    other, the smallest coefficients are taken."""
+    every = [*features, target]
+    known = df.dropna(subset=every).select(key, *(F.col(c).cast("double").alias(c) for c in every))
+    pairs = [(a, b) for i, a in enumerate(features) for b in [*features[i:], target]]
+    sums = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{i}") for i, c in enumerate(every)), *(F.covar_pop(a, b).alias(f"c_{j}") for j, (a, b) in enumerate(pairs)))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(features)
+        for f in frames:
+            rows = []
+            for r in f.to_dict("records"):
+                s, t = np.zeros((p, p)), np.zeros(p)
+                for j, (a, b) in enumerate(pairs):
+                    x, y = features.index(a), None if b == target else features.index(b)
+                    if y is None:
+                        t[x] = r[f"c_{j}"]
+                    else:
+                        s[x, y] = s[y, x] = r[f"c_{j}"]
+                scale = np.sqrt(np.where(np.diag(s) > 0, np.diag(s), 1))
+                beta = np.linalg.lstsq(s / np.outer(scale, scale), t / scale, rcond=1e-12)[0] / scale
+                rows.append([r[key], r["n"], r[f"m_{p}"] - sum(b * r[f"m_{i}"] for i, b in enumerate(beta)), *beta])
+            yield pd.DataFrame(rows, columns=[key, "n", "intercept", *features])
+
+    return sums.mapInPandas(solve, f"`{key}` {dict(df.dtypes)[key]}, n long, intercept double, " + ", ".join(f"`{c}` double" for c in features))
+
+
 def forecast(df: DataFrame, key: str, x: str, y: str, steps: int = 7, degree: int = 3, percent: float = 0.5) -> DataFrame:
     """key, step, value of the next ``steps`` whole numbers after each series' last x, and ``signal``: BUY or SELL where the
     last one is over ``percent`` percent above or below the last known value, else HOLD. x is scaled to [-1, 0] for the fit."""

@@ -10,7 +10,7 @@ from ..functions import geo
 from ..operators import models
 from ..sources import files
 from ..streaming import jobs
-from .base import POINTS, query, tc, up
+from .base import BOXES, POINTS, query, tc, up
 
 
 
@@ -72,7 +72,7 @@ def src8(t):
 @query("SRC9_key_ranges", "select o_orderkey, o_custkey from orders where o_custkey = 46")
 def src9(t):
     path = files.workspace(t.spark, "sorted")
-    t.orders.repartitionByRange(8, "o_custkey").sortWithinPartitions("o_custkey").write.parquet(path)
+    t.orders.repartitionByRange("o_custkey").sortWithinPartitions("o_custkey").write.option("maxRecordsPerFile", 5_000_000).parquet(path)
     return t.spark.read.parquet(path).where("o_custkey = 46").select("o_orderkey", "o_custkey")
 
 
@@ -83,6 +83,30 @@ def src10(t):
     return files.read_geo(t.spark, path, (-30.0, -10.0, 40.0, 50.0), ["event_id", "lng", "lat"])
 
 
+_MET = f"(select n_nationkey, minx, miny, maxx, maxy from {BOXES} where minx <= 65 and maxx >= -55 and miny <= 35 and maxy >= -11)"
+
+
+@query("SRC10_shapes_clipped", f"select n_nationkey, round((least(maxx, 65e0) - greatest(minx, -55e0))*(least(maxy, 35e0) - greatest(miny, -11e0)), 6) as area from {_MET} where minx < 65 and maxx > -55 and miny < 35 and maxy > -11")
+def src10clip(t):
+    """Boxes as rings, cut to the bounds that they were read by."""
+    path = files.workspace(t.spark, "shapes")
+    files.write_shapes(rectangles(t), path)
+    return files.read_shapes(t.spark, path, (-55.0, -11.0, 65.0, 35.0), clip=True).select("n_nationkey", F.round(geo.ring_area("ring"), 6).alias("area"))
+
+
+@query("SRC10_shapes_centres", f"select n_nationkey, (minx + maxx)/2 as lng, (miny + maxy)/2 as lat from {_MET}")
+def src10centre(t):
+    """The same boxes as points."""
+    path = files.workspace(t.spark, "shapes")
+    files.write_shapes(rectangles(t), path)
+    return files.read_shapes(t.spark, path, (-55.0, -11.0, 65.0, 35.0), centroid=True).select("n_nationkey", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
+
+
+def rectangles(t):
+    corners = ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy")))
+    return t.boxes.select("n_nationkey", F.expr(f"array({corners})").alias("ring"))
+
+
 CENTRE = f"select cell, cnt from (select {tc(6)} as cell, count(*) as cnt from {POINTS} group by 1) where (((cell >> 28) & 268435455) + 0.5e0)/64e0*360e0 - 180e0 between -30 and 40 and degrees(atan(sinh(pi()*(1e0 - 2e0*((cell & 268435455) + 0.5e0)/64e0)))) between -10 and 50"
 
 
@@ -145,6 +169,15 @@ def snk1(t):
     return both.select("rows", F.expr("own = hash").alias("same"), F.expr("own <> twice").alias("other"), F.lit(first and not second and again == path).alias("skipped"))
 
 
+@query("SNK1_written_rows", "select o_orderkey, o_custkey from orders")
+def snk1rows(t):
+    """The rows of a table that was written once and asked to be written again, as they are on storage."""
+    base = files.workspace(t.spark, "once")
+    files.write_once(t.orders, base, "o_custkey")
+    path, again = files.write_once(t.orders.repartition("o_custkey"), base, "o_custkey")
+    return t.spark.read.parquet(path).where(F.lit(not again)).select("o_orderkey", "o_custkey")
+
+
 @query("SNK4_feature_text", f"""select event_id, '{{"type":"Feature","properties":{{"event_id":' || event_id || '}},"geometry":{{"type":"Point","coordinates":[' || event_id % 180 || '.5,' || event_id % 80 || '.25]}}}}' as value from events""")
 def snk4(t):
     p = t.events.select("event_id", F.expr("event_id % 180 + 0.5e0").alias("lng"), F.expr("event_id % 80 + 0.25e0").alias("lat"))

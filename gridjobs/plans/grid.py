@@ -225,8 +225,10 @@ def a14(t):
 
 @query("A31_levels", " union all ".join(f"select {z} as res, {tc(z)} as cell, count(*) as cnt from {POINTS} group by 1, 2" for z in (2, 3, 4)))
 def a31(t):
-    levels = F.explode(F.array(*[F.struct(F.lit(z).alias("res"), geo.tile_cell("lng", "lat", z).alias("cell")) for z in (2, 3, 4)])).alias("l")
-    return t.points.select(levels).groupBy("l.res", "l.cell").agg(F.count(F.lit(1)).alias("cnt"))
+    """Counted at the finest zoom; the others add those counts up."""
+    finest = tiles(t, 4).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    levels = F.explode(F.array(*[F.struct(F.lit(z).alias("res"), geo.cell_parent("cell", 4, z).alias("cell")) for z in (2, 3, 4)])).alias("l")
+    return finest.select(levels, "n").groupBy("l.res", "l.cell").agg(F.sum("n").alias("cnt"))
 
 
 @query("J7_neighbourhood_top_class", f"""with crops as (select {tc(4)} as cell, event_id % 7 as crop, sum(user_id)::bigint as area from {POINTS} group by 1, 2), centers as (select distinct cell from crops),

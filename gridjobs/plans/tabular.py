@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import joins, scans
+from ..operators import joins, models, scans
 from .base import query
 
 
@@ -569,6 +569,32 @@ def m5fits(t):
     return agg.least_squares(long, "x", "target", "feature").select("feature", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
+_TWO = f"(select p_partkey % 3 as k, count(*) as n, avg(qty_a) as ma, avg(qty_n) as mn, avg(target) as mt, covar_pop(qty_a, qty_a) as aa, covar_pop(qty_n, qty_n) as nn, covar_pop(qty_a, qty_n) as an, covar_pop(qty_a, target) as ay, covar_pop(qty_n, target) as ny from {TRAINING} group by 1)"
+
+
+@query("M5_joint_fit", f"select k, n, round(mt - ma*(ay*nn - ny*an)/(aa*nn - an*an) - mn*(ny*aa - ay*an)/(aa*nn - an*an), 4) as intercept, round((ay*nn - ny*an)/(aa*nn - an*an), 6) as qty_a, round((ny*aa - ay*an)/(aa*nn - an*an), 6) as qty_n from {_TWO}")
+def m5joint(t):
+    """Two features at once, for each of three groups of parts."""
+    fit = models.linear_fit(training(t).withColumn("k", F.expr("p_partkey % 3")), ["qty_a", "qty_n"], "target", "k")
+    return fit.select("k", "n", F.round("intercept", 4).alias("intercept"), F.round("qty_a", 6).alias("qty_a"), F.round("qty_n", 6).alias("qty_n"))
+
+
+_ALL = "(select 'SUPP-' || (l_suppkey + 3) as supplier_id, count(*) as num_reviews from lineitem group by l_suppkey)"
+
+
+@query("J2_all_feedback", f"select s_suppkey, coalesce(num_reviews, 0) as num_reviews from supplier left join {_ALL} f on cast(regexp_extract(f.supplier_id, '[0-9]+') as bigint) = s_suppkey")
+def j2all(t):
+    """Whole feedback under messy ids, which begin at 3, so that some suppliers have none and some feedback no supplier."""
+    feedback = t.lineitem.groupBy(F.concat(F.lit("SUPP-"), F.col("l_suppkey") + 3).alias("supplier_id")).agg(one().alias("num_reviews"))
+    clean = feedback.select(F.regexp_extract("supplier_id", r"\d+", 0).try_cast("long").alias("s_suppkey"), "num_reviews")
+    return t.supplier.select("s_suppkey").join(clean, "s_suppkey", "left").select("s_suppkey", F.coalesce("num_reviews", F.lit(0)).alias("num_reviews"))
+
+
+@query("FIL5_semi_join_whole", "select c_custkey from customer where c_custkey in (select o_custkey from orders)")
+def fil5whole(t):
+    return t.customer.select("c_custkey").join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
 @query("U2_sql_text", "select o_custkey, count(*) as n from orders where o_orderkey > 100 group by 1")
 def u2(t):
     return t.spark.sql("select o_custkey, count(*) as n from {orders} where o_orderkey > :least group by 1", args={"least": 100}, orders=t.orders)

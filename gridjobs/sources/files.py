@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 
@@ -45,10 +46,18 @@ def feature_lines(df: DataFrame, lng: str = "lng", lat: str = "lat") -> DataFram
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
-def write_geo(points: DataFrame, path: str, z: int = 2, chunk_z: int = 6) -> DataFrame:
-    """Writes points (lng, lat, ...) by coarse tile, sorted by fine tile, and a table of chunk bounds beside them."""
+def file_zoom(rows: int, rows_per_file: int) -> int:
+    """The zoom of the tiles that make files: 2, and one more for each four times as many rows as its tiles hold."""
+    return min(10, max(2, math.ceil(math.log(max(rows, 1) / rows_per_file, 4))))
+
+
+def write_geo(points: DataFrame, path: str, z: int | None = None, chunk_z: int | None = None, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Writes points (lng, lat, ...) by coarse tile, sorted by fine tile, and a table of chunk bounds beside them. Without a
+    zoom, the rows decide how fine the files' tiles are; a crowded tile makes several files."""
+    z = file_zoom(points.count(), rows_per_file) if z is None else z
+    chunk_z = z + 4 if chunk_z is None else chunk_z
     placed = points.withColumn("file_cell", geo.tile_cell("lng", "lat", z)).withColumn("chunk", geo.tile_cell("lng", "lat", chunk_z))
-    placed.repartitionByRange("file_cell", "chunk").sortWithinPartitions("file_cell", "chunk").write.partitionBy("file_cell").option("compression", "zstd").parquet(f"{path}/data")
+    placed.repartitionByRange("file_cell", "chunk").sortWithinPartitions("file_cell", "chunk").write.partitionBy("file_cell").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/data")
     bounds = placed.groupBy("file_cell", "chunk").agg(F.min("lng").alias("minx"), F.min("lat").alias("miny"), F.max("lng").alias("maxx"), F.max("lat").alias("maxy"), F.count(F.lit(1)).alias("num_rows"))
     bounds.write.parquet(f"{path}/_bounds")
     return bounds
@@ -60,6 +69,27 @@ def read_geo(spark: SparkSession, path: str, bounds: tuple[float, float, float,
     return df.select(*(columns or df.columns))
 
 
+def write_shapes(rings: DataFrame, path: str, z: int = 2, rows_per_file: int = 1_000_000) -> None:
+    """Writes rings (ring, ...) by the coarse tile of their centre, and for each tile the bounds of all its rings."""
+    x, y = geo.ring_centroid("ring")
+    placed = rings.where("size(ring) > 0").withColumns({"lng": x, "lat": y} | geo.ring_bounds("ring"))
+    placed = placed.withColumn("file_cell", geo.tile_cell("lng", "lat", z))
+    placed.repartitionByRange("file_cell", "lat", "lng").sortWithinPartitions("file_cell", "lat").write.partitionBy("file_cell").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/data")
+    placed.groupBy("file_cell").agg(*(how(c).alias(c) for how, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy")))).write.parquet(f"{path}/_bounds")
+
+
+def read_shapes(spark: SparkSession, path: str, bounds: tuple[float, float, float, float], centroid: bool = False, clip: bool = False) -> DataFrame:
+    """Rings whose box meets the bounds, from the parts that can hold such; with ``centroid`` their centres lng and lat in place
+    of the ring, with ``clip`` the part of each ring within the bounds, without those that have none."""
+    x0, y0, x1, y1 = bounds
+    met = spark.read.parquet(f"{path}/data").where(F.col("file_cell").isin(parts_met(spark, path, bounds))).where(f"minx <= {x1} and maxx >= {x0} and miny <= {y1} and maxy >= {y0}")
+    held = met.drop("minx", "miny", "maxx", "maxy", "file_cell")
+    if centroid:
+        return held.drop("ring")
+    held = held.drop("lng", "lat")
+    return held.withColumn("ring", geo.clip_ring("ring", bounds)).where("size(ring) > 2") if clip else held
+
+
 def write_cells(cells: DataFrame, path: str, z: int) -> DataFrame:
     """write_geo() for cells of zoom z (cell, ...), placed by their centres."""
     lng, lat = geo.cell_center("cell", z)

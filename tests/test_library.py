@@ -251,3 +251,59 @@ def test_database_reader_pushes_the_limit(spark):
     spark.range(50).withColumnRenamed("id", "n").write.format("jdbc").options(url=url, dbtable="ITEMS", driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
     df = files.read_database(spark, url, "ITEMS", 7, driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert df.count() == 7 and "FETCH FIRST 7 ROWS" in df._jdf.queryExecution().toString()
+
+
+def test_clusters_of_plain_groups(spark):
+    """Groups far apart come out as they are, and each row is in the cluster of the nearest mean."""
+    r = random.Random(4)
+    rows = [(i, [(0, 0), (50, 0), (0, 80)][i % 3][0] + r.gauss(0, 1), [(0, 0), (50, 0), (0, 80)][i % 3][1] + r.gauss(0, 1)) for i in range(240)]
+    got = models.clusters(spark.createDataFrame(rows, "i long, x double, y double"), ["x", "y"], 3).collect()
+    of = {}
+    for g in got:
+        of.setdefault(g["cluster"], set()).add(g["i"] % 3)
+    assert len(of) == 3 and all(len(v) == 1 for v in of.values())
+
+
+def test_cluster_queries(spark):
+    """Users of all clusters are all users; the categories are those that a plain count of each cluster has."""
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    sizes = registry.QUERIES["M3_clusters"](spark, sf).collect()
+    assert sum(x["users"] for x in sizes) == events.select("user_id").distinct().count() and sum(x["views"] for x in sizes) == events.where("event_type = 'view'").count()
+    wide = events.groupBy("user_id").pivot("event_type", ["click", "purchase", "signup", "view"]).agg(F.count(F.lit(1))).fillna(0)
+    of = {x["user_id"]: (x["cluster"], [x[c] for c in ("click", "purchase", "signup", "view")]) for x in models.clusters(wide, ["click", "purchase", "signup", "view"], 4).collect()}
+    means = {c: [sum(col) / len(col) for col in zip(*[v for k, v in of.values() if k == c], strict=True)] for c in {k for k, _ in of.values()}}
+    near = sum(min(means, key=lambda m: sum((a - b) ** 2 for a, b in zip(v, means[m], strict=True))) == c for c, v in of.values())
+    assert near >= 0.95 * len(of)  # all, but for the last step's moves
+    count = {}
+    for e in events.select("user_id", F.hour("ts").alias("hour")).collect():
+        key = of[e["user_id"]][0], e["hour"]
+        count[key] = count.get(key, 0) + 1
+    want = {(c, h): (n, k) for c in means for k, (h, n) in enumerate(sorted(((h, n) for (x, h), n in count.items() if x == c), key=lambda y: (-y[1], y[0]))[:5], 1)}
+    assert {(x["cluster"], x["hour"]): (x["n"], x["rank"]) for x in registry.QUERIES["M3_cluster_categories"](spark, sf).collect()} == want
+
+
+def test_joint_fit_of_several_features(spark):
+    r = random.Random(6)
+    rows = [(k, a, b, c, 3.0 + 2 * a - b + (k == "q") * c) for k in "pq" for a, b, c in [(r.random(), r.random() * 1e6, r.random()) for _ in range(60)]] + [("p", None, 1.0, 1.0, 1.0), ("flat", 1.0, 1.0, 1.0, 5.0)]
+    got = {x["k"]: x for x in models.linear_fit(spark.createDataFrame(rows, "k string, a double, b double, c double, y double"), ["a", "b", "c"], "y", "k").collect()}
+    for k in "pq":
+        assert all(abs(got[k][c] - w) < 1e-6 for c, w in (("intercept", 3.0), ("a", 2.0), ("b", -1.0), ("c", float(k == "q")))) and got[k]["n"] == 60
+    assert abs(got["flat"]["intercept"] - 5) < 1e-9
+
+
+def test_clipped_rings_and_polygon_text(spark):
+    rings = {"in": [(1, 1), (2, 1), (2, 2)], "out": [(20, 20), (30, 20), (30, 30)], "round": [(-5, -5), (15, -5), (15, 15), (-5, 15)], "corner": [(8, 8), (14, 8), (8, 14)], "touch": [(10, 0), (12, 0), (12, 5)], "none": []}
+    df = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in v]) for k, v in rings.items()] + [("null", None)], "k string, ring array<struct<x: double, y: double>>")
+    path = files.workspace(spark, "rings")
+    files.write_shapes(df, path)
+    got = {x["k"]: x["a"] for x in files.read_shapes(spark, path, (0.0, 0.0, 10.0, 10.0), clip=True).select("k", geo.ring_area("ring").alias("a")).collect()}
+    assert {k: round(v, 9) for k, v in got.items() if v > 0} == {"in": 0.5, "round": 100.0, "corner": 4.0}
+    assert {x["k"] for x in files.read_shapes(spark, path, (0.0, 0.0, 10.0, 10.0)).collect()} == {"in", "round", "corner", "touch"}
+    assert {x["k"]: (x["lng"], x["lat"]) for x in files.read_shapes(spark, path, (0.0, 0.0, 10.0, 10.0), centroid=True).collect()}["round"] == (5.0, 5.0)
+    text = spark.createDataFrame([("POLYGON ((0 0, 1 0, 1 1, 0 0))",), ("MULTIPOLYGON (((0 0,1 0,1 1)),((2 2 9, 3 2 9, 3 3 9), (2.5 2.1, 2.6 2.1, 2.6 2.2, 2.5 2.1)))",), ("LINESTRING (0 0, 1 1)",), ("POLYGON EMPTY",), (None,)], "w string")
+    assert [[[len(r) for r in p] for p in x[0]] for x in text.select(shapes.polygon_parts("w")).collect()] == [[[3]], [[3], [3, 3]], [], [], []]
+
+
+def test_file_tiles_follow_the_rows():
+    assert [files.file_zoom(n, 1_000_000) for n in (0, 10**6, 16 * 10**6, 17 * 10**6, 10**9, 10**13)] == [2, 2, 2, 3, 5, 10]

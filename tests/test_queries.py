@@ -32,4 +32,4 @@ def test_query(spark, con, name):
         cur = con.execute(registry.ORACLES[name])
         assert found == rows([c[0] for c in cur.description], cur.fetchall())
     else:
-        assert found
+        assert found  # what they hold is in test_library.py
