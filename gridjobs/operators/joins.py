@@ -119,7 +119,8 @@ def range_join(values: DataFrame, ranges: DataFrame, value: str, low: str, high:
     one cell of each length that occurs. Nulls and ranges with the low end over the high one hold nothing."""
     length = F.col(high).cast("double") - F.col(low).cast("double")
     power = F.when(length > 0, F.greatest(F.lit(-60), F.ceil(F.log2(length)).cast("int"))).otherwise(-60)
-    cell = lambda c, p: F.floor(F.col(c).cast("double") / F.pow(F.lit(2.0), p))
+    # the multiple of the power below a value, as a double: exact for any size, and the value itself where a power is smaller than that can tell
+    cell = lambda c, p: F.col(c).cast("double") - F.pmod(F.col(c).cast("double"), F.pow(F.lit(2.0), p))
     held = ranges.where(F.col(low) <= F.col(high)).withColumn("power", power)
     powers = sorted(r["power"] for r in held.select("power").distinct().collect())  # a few hundred at most
     stored = held.withColumn("cell", F.explode(F.array_distinct(F.array(cell(low, F.col("power")), cell(high, F.col("power"))))))
