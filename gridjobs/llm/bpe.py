@@ -7,7 +7,9 @@ looked up anew. Pieces over LONG_PIECE bytes, for which a row of a matrix would
 same merges in the same order from a heap.
 
 Defined results: a null or empty text has no ids; ids are those of ``tiktoken``'s ``encode_ordinary`` over the same
-ranks and pattern, strings of special tokens being ordinary text. Rows are kept one to one, repeated ids included.
+ranks and pattern, strings of special tokens being ordinary text. Rows are kept one to one, repeated ids included; an empty
+table gives none. Texts of any length are encoded whole. Own columns named ids or decoded are replaced by the result's. Ties
+of rank go to the leftmost pair.
 """
 
 from __future__ import annotations

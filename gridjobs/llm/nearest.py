@@ -10,7 +10,8 @@ Queries and candidates meet in blocks of bounded size; each pair of blocks gives
 
 Defined results: vectors that are null or zero, hold null or non-finite components, or have another number of
 components than the most common one, take no part. Ties go to the smaller vec_id. A query with fewer candidates than k
-gets all of them. Repeated vectors are candidates each. An empty table gives no rows.
+gets all of them. Repeated vectors are candidates each. Rows without vec_id take no part. Columns but vec_id and the vector,
+whatever their names, are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations

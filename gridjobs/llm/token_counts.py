@@ -4,7 +4,9 @@ Documents are aggregated by encoded length; suffix sums over the histogram answe
 totals for every context limit. Suffix sums are taken within ranges of WIDTH lengths, and over the few range totals,
 so no task gets the whole histogram.
 
-Defined results: null and empty texts have length 0; repeated rows count each; an empty table gives no rows.
+Defined results: null and empty texts have length 0; repeated rows count each, rows without doc_id too; an empty table gives
+no rows. Texts of any length are encoded whole. Documents of equal length share a row, so nothing can tie. Columns but doc_id
+and text, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
