@@ -8,8 +8,7 @@ which rejects most candidates; the rest are confirmed by exact Jaccard similarit
 union-find joins the confirmed links, and of every component only the line that comes first (doc_id, then position) stays.
 
 Within a band's bucket each class is first paired with the bucket's first and with the one before it, which joins most
-groups at the cost of a bucket's size. Buckets of a crowded share of the bands are salted, and the salted parts' firsts
-paired. Then buckets that still hold several components are gone through again, in blocks of BLOCK against BLOCK: all
+groups at the cost of a bucket's size. Crowded buckets are salted, and the salted parts' firsts paired. Then buckets that still hold several components are gone through again, in blocks of BLOCK against BLOCK: all
 their pairs of different components are compared within the join, which gives links only; so every pair that agrees in a
 band is linked or was compared.
 
@@ -31,7 +30,7 @@ from .components import connected_components
 SHINGLE = 8
 ROWS, BANDS = 3, 8
 PERCENT = 80
-CROWDED = 20_000  # rows of one of 65536 shares of the bands beyond which its buckets are salted
+CROWDED = 20_000  # classes of a bucket beyond which it is salted
 BLOCK = 1024  # classes of a bucket that meet as many others in one group
 #: Bits of a shingle's hash from which each order reads; the lowest bits say the bin, as many as BANDS.
 ORDERS = (33, 21, 9)
@@ -65,18 +64,21 @@ def signatures(each: DataFrame) -> DataFrame:
     return found.select("k1", "k2", "copies", "bin", F.xxhash64("bin", *[f"v{r}" for r in range(ROWS)]).alias("band"))
 
 
-def buckets(signed: DataFrame) -> DataFrame:
-    """Classes b (a struct of two hashes) by band, of buckets that hold several: n of them, the one before and the first,
-    within salts of the buckets of crowded shares."""
+def crowds(signed: DataFrame) -> DataFrame:
+    """band and size of the buckets of more than CROWDED classes."""
+    return materialize(signed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWDED), "large")
+
+
+def buckets(signed: DataFrame, large: DataFrame) -> DataFrame:
+    """Classes b (a struct of two hashes) by band, of buckets that hold several: n of them, the one before and the first. The
+    ``large`` ones are cut by salts, as many as their size asks for; before and first are then within a salt."""
     each = signed.select(F.struct("k1", "k2").alias("b"), "bin", "band")
-    share = F.pmod("band", F.lit(1 << 16))
-    crowded = [r["share"] for r in each.groupBy(share.alias("share")).count().where(F.col("count") > CROWDED).collect()]  # 65536 at most
-    each = each.withColumn("crowded", share.isin(crowded) if crowded else F.lit(False))
-    each = each.withColumn("salt", F.when(F.col("crowded"), F.pmod("b.k1", F.lit(64))).otherwise(0))
+    each = each.join(maybe_broadcast(large, width=16), "band", "left").withColumn("crowded", F.col("size").isNotNull())
+    each = each.withColumn("salt", F.when(F.col("crowded"), F.pmod(F.col("b.k1"), F.ceil(F.col("size") / max(1, CROWDED)))).otherwise(F.lit(0).cast("long")))
     whole = Window.partitionBy("band", "salt")
     by = whole.orderBy("b")
-    met = each.select("b", "bin", "band", "crowded", F.count(F.lit(1)).over(whole).alias("n"), F.lag("b").over(by).alias("before"), F.first("b").over(by).alias("first"))
-    return met.where("n > 1 or crowded")
+    met = each.select("b", "bin", "band", "crowded", F.coalesce("size", F.count(F.lit(1)).over(whole)).alias("n"), F.lag("b").over(by).alias("before"), F.first("b").over(by).alias("first"))
+    return met.where("n > 1")
 
 
 def candidates(met: DataFrame) -> DataFrame:
@@ -158,7 +160,9 @@ def dropped(docs: DataFrame) -> DataFrame:
     """doc_id and ``gone`` (array<int>), the positions of its lines that go."""
     each = lines(docs)
     signed = materialize(signatures(each), "bands")
-    met = materialize(buckets(signed), "buckets")
+    large = crowds(signed)
+    met = materialize(buckets(signed, large), "buckets")
+    release(large)
     maps = bitmaps(each, met)
     pairs = materialize(candidates(met), "pairs")
     links = confirmed(maps, pairs)
