@@ -3,17 +3,18 @@ transforms.
 
 Every start of such a string ("window") belongs to the run of windows that share its minimizer: the least hash of the
 GRAM-byte strings within it. Equal windows have equal minimizers, so runs whose minimizer occurs once are done with. Runs
-with equal bytes are one string with several places; the only string of a minimizer repeats whole at each later place, as
-no two windows of a run are equal. The others are strings of collections of about COLLECTION bytes, whole minimizers each.
+with equal bytes, by two hashes of 64 bits, are one string with several places. All strings of the other minimizers, each
+with its bytes once, go to collections of about COLLECTION bytes, whole minimizers each.
 The transforms of a collection's shards are built by prefix doubling and merged by iterative interleave refinement. Round
 h of it puts all suffixes in the order of their first h symbols, each by the place that the suffix a symbol shorter had in
 the round before; where fewer than half still share a block, those that stand alone are passed over.
 Where a boundary appears first, the common prefix is h - 1 long; what no boundary parts after LENGTH rounds is an
-interval. Windows of an interval with several places are repeats. No suffixes are sorted anew.
+interval. Windows of an interval with several places are repeats; those of a string with several places go to its later
+places by a join. No suffixes are sorted anew.
 
-Skew: within a block of texts, a run met again is known to repeat and goes out as an interval, not to the comparison. A
-minimizer with more than HOT different strings is taken apart into its windows, which are compared by 128-bit hashes
-under a map-side aggregation, so no group is gathered.
+Skew: within a block of texts, a run whose bytes were met before repeats and is combined with the first before anything is
+shuffled. Later places never meet in a task's memory. A minimizer with more than HOT different strings is taken apart into
+its windows, which are compared by 128-bit hashes under a map-side aggregation, so no group is gathered.
 
 Defined results: a null text is empty; windows do not cross texts. Order is by doc_id, then start; equal positions (rows
 repeated with their doc_id) are one; rows without a doc_id take no part and stay whole. Texts under LENGTH bytes are kept
@@ -40,7 +41,10 @@ GRAM = 32
 HOT = 50_000
 #: Bytes of one merged collection and of one shard, about.
 COLLECTION, SHARD = 1 << 18, 1 << 16
-INTERVALS = "doc_id long, start long, stop long"
+#: A run's string, by its hashes.
+STRING = ["minimizer", "content", "more"]
+#: Bytes of runs that are compared at a time.
+COMPARED = 1 << 22
 
 
 def runs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,10 +84,28 @@ def coalesce(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return doc[first], start[first], np.maximum.reduceat(stop, first)
 
 
+def halves(block: Block, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Second hashes of the bytes from start to stop."""
+    middle = (start + stop) // 2
+    return mix(block.hashes(start, middle) * np.uint64(3) + block.hashes(middle, stop))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b are the same, over each length."""
+    out = np.ones(len(a), bool)
+    stop = np.cumsum(length)
+    for x, y in spans(stop - length, stop, COMPARED):
+        n = length[x:y]
+        row = np.repeat(np.arange(y - x), n)
+        off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        out[x + row[data[a[x:y][row] + off] != data[b[x:y][row] + off]]] = False
+    return out
+
+
 def found_runs(docs: DataFrame) -> DataFrame:
-    """minimizer, content, doc_id and place (128 * start + number of windows) of each run; and intervals known to repeat,
-    with place -1 - start, their stop as content and any minimizer."""
-    names = ["minimizer", "content", "doc_id", "place"]
+    """minimizer, content, more, doc_id and place (128 * start + number of windows) of each run; and intervals known to
+    repeat, with place -1 - start, their stop as content and any minimizer."""
+    names = [*STRING, "doc_id", "place"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -92,20 +114,25 @@ def found_runs(docs: DataFrame) -> DataFrame:
                 start, n, minimizer, row = runs(block)
                 if not len(start):
                     continue
-                content = block.hashes(start, start + n + LENGTH - 1)
+                stop = start + n + LENGTH - 1
+                content, more = block.hashes(start, stop), halves(block, start, stop)
                 doc, at = ids[a + row], start - block.starts[row]
                 order = np.lexsort((at, doc, content, minimizer))
-                m, c, d, s, size = minimizer[order], content[order], doc[order], at[order], n[order]
+                m, c, e, d, s, size, spot = (x[order] for x in (minimizer, content, more, doc, at, n, start))
                 first = np.concatenate([[True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])
                 lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-                again = (d != d[lead]) | (s != s[lead])
+                later = np.flatnonzero(((d != d[lead]) | (s != s[lead])) & (size == size[lead]))
+                again = later[same_bytes(block.data, spot[later], spot[lead[later]], size[later] + LENGTH - 1)]
+                alone = np.ones(len(order), bool)
+                alone[again] = False
+                alone &= first | (d != d[lead]) | (s != s[lead])
                 cut = coalesce(d[again], s[again], (s + size + LENGTH - 1)[again])
                 any_key = mix(cut[0].astype(np.uint64) + mix(cut[1].astype(np.uint64)))
-                for cols in ((m[first], c[first], d[first], s[first] * 128 + size[first]), (any_key, cut[2], cut[0], -1 - cut[1])):
+                for cols in ((m[alone], c[alone], e[alone], d[alone], s[alone] * 128 + size[alone]), (any_key, cut[2], np.zeros_like(cut[2]), cut[0], -1 - cut[1])):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], names)
 
     known = docs.where("doc_id is not null").select("doc_id", "text")
-    return known.mapInArrow(run, "minimizer long, content long, doc_id long, place long")
+    return known.mapInArrow(run, "minimizer long, content long, more long, doc_id long, place long")
 
 
 def suffixes(text: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -220,8 +247,9 @@ def repeated(strings: list[np.ndarray], doc: np.ndarray, start: np.ndarray, seve
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(minimizer, content, doc_id, place, bytes) of the wanted (minimizer, content, doc_id, place)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("minimizer", "content", "place")).alias("wanted"))
+    """``wanted`` (STRING, several, doc_id, place) with bytes."""
+    fields = [*STRING, "several", "place"]
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     met = docs.select("doc_id", "text").join(lists, "doc_id")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,31 +268,28 @@ def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = there[k : k + (1 << 15)]
                 take = pa.array(part)
                 found = [data[x:y].tobytes() for x, y in zip(at[part].tolist(), to[part].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([flat.field("minimizer").take(take), flat.field("content").take(take), pa.array(np.asarray(batch.column("doc_id"))[row[part]]), flat.field("place").take(take), pa.array(found, pa.binary())], ["minimizer", "content", "doc_id", "place", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(flat.field(x).take(take) for x in fields), pa.array(np.asarray(batch.column("doc_id"))[row[part]]), pa.array(found, pa.binary())], [*fields, "doc_id", "bytes"])
 
-    return met.mapInArrow(run, "minimizer long, content long, doc_id long, place long, bytes binary")
+    return met.mapInArrow(run, "minimizer long, content long, more long, several boolean, place long, doc_id long, bytes binary")
 
 
 def collection_repeats(rows: pa.Table) -> pa.RecordBatch:
-    """Intervals that repeat among the places of whole minimizers, sorted by minimizer, content, doc_id and place; of equal
-    contents only the first has bytes."""
-    m, c, d, p = (rows.column(x).to_numpy() for x in ("minimizer", "content", "doc_id", "place"))
-    first = np.concatenate([[True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])
-    lead, string = np.flatnonzero(first), np.cumsum(first) - 1
-    later = np.flatnonzero((d != d[lead][string]) | (p != p[lead][string]))
-    several = np.bincount(string[later], minlength=len(lead)) > 0
-    texts = [np.frombuffer(x or b"", np.uint8) for x in rows.column("bytes").take(pa.array(lead)).to_pylist()]
-    own, (of, a, b) = repeated(texts, d[lead], p[lead] // 128, several)
-    lo, hi = np.searchsorted(of, string[later]), np.searchsorted(of, string[later], side="right")
-    row = np.repeat(later, hi - lo)
-    k = np.repeat(lo, hi - lo) + np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-    base = p[row] // 128
-    found = coalesce(*(np.concatenate(x) for x in zip(own, (d[row], base + a[k], base + b[k]), strict=True)))
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["doc_id", "start", "stop"])
-
-
-def merged_repeats(places: DataFrame) -> DataFrame:
-    """Intervals that repeat among the places of minimizers, many minimizers a collection."""
+    """Intervals that repeat among the strings of whole minimizers, sorted by STRING: of the first places by doc_id, and,
+    counted from its start, those of each string with ``several`` places, without doc_id."""
+    keys = [rows.column(x).to_numpy() for x in STRING]
+    lead = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    rows = rows.take(pa.array(lead))
+    texts = [np.frombuffer(x, np.uint8) for x in rows.column("bytes").to_pylist()]
+    own, (of, a, b) = repeated(texts, rows.column("doc_id").to_numpy(), rows.column("place").to_numpy() // 128, rows.column("several").to_numpy())
+    none = pa.nulls(len(own[0]), pa.int64())
+    found = [pa.concat_arrays([none, pa.array(k[lead][of])]) for k in keys]
+    found.append(pa.concat_arrays([pa.array(own[0].astype(np.int64)), pa.nulls(len(of), pa.int64())]))
+    found += [pa.array(np.concatenate(x).astype(np.int64)) for x in ((own[1], a), (own[2], b))]
+    return pa.RecordBatch.from_arrays(found, [*STRING, "doc_id", "start", "stop"])
+
+
+def merged_repeats(strings: DataFrame) -> DataFrame:
+    """The same for all strings, many minimizers a collection."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -282,7 +307,7 @@ def merged_repeats(places: DataFrame) -> DataFrame:
             last = int(other[-1]) + 1 if len(other) else 0
             if not last:
                 continue
-            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(rows.column("bytes")), 0).to_numpy())
+            sizes = np.cumsum(pa.compute.binary_length(rows.column("bytes")).to_numpy())
             edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             a = 0
             while a < last:  # whole minimizers, about COLLECTION bytes together
@@ -295,12 +320,13 @@ def merged_repeats(places: DataFrame) -> DataFrame:
         if held:
             yield collection_repeats(pa.Table.from_batches(held))
 
-    order = ["minimizer", "content", "doc_id", "place", F.col("bytes").isNull()]
-    return places.repartition("minimizer").sortWithinPartitions(*order).mapInArrow(run, INTERVALS)
+    schema = "minimizer long, content long, more long, doc_id long, start long, stop long"
+    return strings.repartition("minimizer").sortWithinPartitions(*STRING).mapInArrow(run, schema)
 
 
-def windows_apart(places: DataFrame) -> DataFrame:
-    """The same for minimizers with very many strings: windows one by one, by 128-bit hashes."""
+def windows_apart(strings: DataFrame) -> DataFrame:
+    """Intervals that repeat at the first places of strings of minimizers with very many: windows one by one, by 128-bit
+    hashes."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -309,36 +335,36 @@ def windows_apart(places: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(b - a), count)
                 off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 at = block.starts[row] + off
-                left, right = block.hashes(at, at + LENGTH), mix(block.hashes(at, at + LENGTH // 2) * np.uint64(3) + block.hashes(at + LENGTH // 2, at + LENGTH))
+                left, right = block.hashes(at, at + LENGTH), halves(block, at, at + LENGTH)
                 yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.asarray(batch.column("doc_id"))[a:b][row]), pa.array(np.asarray(batch.column("place"))[a:b][row] // 128 + off)], ["h1", "h2", "doc_id", "start"])
 
-    each = places.where("bytes is not null").mapInArrow(run, "h1 long, h2 long, doc_id long, start long")
+    each = strings.mapInArrow(run, "h1 long, h2 long, doc_id long, start long")
     first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     return each.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``cuts`` (array of start, stop) by doc_id: the bytes to remove, each covered by windows that start earlier elsewhere."""
-    same = Window.partitionBy("minimizer", "content").orderBy("doc_id", "place")
-    met = found_runs(docs).repartition("minimizer").withColumn("lead", F.dense_rank().over(same) == 1)
-    whole = Window.partitionBy("minimizer")
-    met = met.withColumn("mixed", F.min("content").over(whole) < F.max("content").over(whole))
-    # a minimizer with one string has nothing to merge: its windows differ, and repeat at each later place
-    judged = materialize(met.where("mixed or not lead or place < 0"), "judged")
-    strings = with_bytes(docs, judged.where("lead and mixed and place >= 0").drop("lead", "mixed"))
-    others = judged.where("not lead and mixed and place >= 0").drop("lead", "mixed")
-    crowd = materialize(judged.where("lead and mixed and place >= 0").groupBy("minimizer").count().where(F.col("count") > hot).select("minimizer"), "hot")
-    later = ["doc_id", "place div 128 as start", f"place div 128 + place % 128 + {LENGTH - 1} as stop"]
+    same = Window.partitionBy(*STRING)
+    met = found_runs(docs).repartition("minimizer").withColumn("lead", F.dense_rank().over(same.orderBy("doc_id", "place")) == 1)
+    met = met.withColumn("several", ~F.min("lead").over(same)).withColumn("n", F.count("*").over(Window.partitionBy("minimizer")))
+    judged = materialize(met.where("n > 1 or place < 0").drop("n"), "judged")
+    leads = judged.where("lead and place >= 0").drop("lead")
+    strings, others = with_bytes(docs, leads), judged.where("not lead and place >= 0").select(*STRING, "doc_id", "place")
+    crowd = materialize(leads.groupBy("minimizer").count().where(F.col("count") > hot).select("minimizer"), "hot")
     found = judged.where("place < 0").selectExpr("doc_id", "-1 - place as start", "content as stop")
-    found = found.unionByName(judged.where("not mixed and not lead and place >= 0").selectExpr(*later))
     if crowd.limit(1).count():
         few = maybe_broadcast(crowd, width=16)
-        crowded = strings.join(few, "minimizer", "left_semi")
-        found = found.unionByName(windows_apart(crowded)).unionByName(others.join(few, "minimizer", "left_semi").selectExpr(*later))
+        later = ["doc_id", "place div 128 as start", f"place div 128 + place % 128 + {LENGTH - 1} as stop"]
+        found = found.unionByName(windows_apart(strings.join(few, "minimizer", "left_semi")))
+        found = found.unionByName(others.join(few, "minimizer", "left_semi").selectExpr(*later))
         strings, others = strings.join(few, "minimizer", "left_anti"), others.join(few, "minimizer", "left_anti")
-    found = found.unionByName(merged_repeats(strings.unionByName(others.withColumn("bytes", F.lit(None).cast("binary")))))
+    merged = materialize(merged_repeats(strings), "merged")
+    found = found.unionByName(merged.where("doc_id is not null").drop(*STRING))
+    later = others.join(merged.where("doc_id is null").drop("doc_id"), STRING)
+    found = found.unionByName(later.selectExpr("doc_id", "place div 128 + start as start", "place div 128 + stop as stop"))
     out = materialize(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "cuts")
-    release(judged, crowd)
+    release(judged, crowd, merged)
     return out
 
 

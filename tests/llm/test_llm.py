@@ -203,6 +203,26 @@ def test_merged_transforms_alone_find_the_repeats(spark):
     assert gone == [n for _, n, *_ in brute_repeats([t for t in TEXTS if t])]
 
 
+def test_equal_texts_of_several_tasks_repeat_through_the_merge(spark, monkeypatch):
+    text = prose(600)
+    docs = spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string").repartition(4, "doc_id").repartitionByRange(4, "doc_id")
+    removed = lambda: {r["doc_id"]: r["n_removed"] for r in repeats.kept_bytes(docs, repeats.repeats(docs), digest=True).collect()}
+    size = len(text.encode())
+    assert removed() == {0: 0, 1: size, 2: size, 3: size}
+    merge = repeats.merged_repeats
+    monkeypatch.setattr(repeats, "merged_repeats", lambda strings: merge(strings.limit(0)))
+    assert removed() == dict.fromkeys(range(4), 0)
+
+
+def test_same_bytes(monkeypatch):
+    monkeypatch.setattr(repeats, "COMPARED", 7)
+    data = np.frombuffer(b"abcdefghabcdefgxabc", np.uint8)
+    a, b, n = np.array([0, 0, 8, 3]), np.array([8, 8, 16, 11]), np.array([7, 8, 3, 5])
+    assert repeats.same_bytes(data, a, b, n).tolist() == [True, False, True, False]
+    none = np.zeros(0, np.int64)
+    assert not len(repeats.same_bytes(data, none, none, none))
+
+
 def test_repeats_of_odd_rows(spark):
     """Rows repeated with their doc_id, rows without one, clashing columns, and many strings of one minimizer."""
     long = prose(400)
