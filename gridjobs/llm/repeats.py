@@ -6,9 +6,9 @@ GRAM-byte strings within it. Equal windows have equal minimizers, so runs whose
 with equal bytes, by two hashes of 64 bits, are one string with several places. All strings of the other minimizers, each
 with its bytes once, go to collections of about COLLECTION bytes, whole minimizers each.
 The transforms of a collection's shards are built by prefix doubling and merged by iterative interleave refinement. Round
-h of it puts all suffixes in the order of their first h symbols, each by the place that the suffix a symbol shorter had in
-the round before; where fewer than half still share a block, those that stand alone are passed over.
-Where a boundary appears first, the common prefix is h - 1 long; what no boundary parts after LENGTH rounds is an
+h of it puts all suffixes in the order of their first STEP * h symbols: those of a block by the places that the suffixes
+STEP symbols shorter had in the round before. Suffixes that stand alone are passed over. Where a boundary appears first,
+the common prefix is less than STEP * h long; what no boundary parts after LENGTH symbols is an
 interval. Windows of an interval with several places are repeats; those of a string with several places go to its later
 places by a join. No suffixes are sorted anew.
 
@@ -41,6 +41,8 @@ GRAM = 32
 HOT = 50_000
 #: Bytes of one merged collection and of one shard, about.
 COLLECTION, SHARD = 1 << 18, 1 << 16
+#: Symbols that a round of the merge looks at; LENGTH is a multiple.
+STEP = 5
 #: A run's string, by its hashes.
 STRING = ["minimizer", "content", "more"]
 #: Bytes of runs that are compared at a time.
@@ -145,71 +147,60 @@ def suffixes(text: np.ndarray, end: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(8)) | np.where(at + j <= end, padded[j : j + n], 0).astype(np.uint64)
     width, longest = 8, int((end - at).max()) + 1
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
+        order = np.argsort(key)
+        found = key.take(order)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) + 1
+        rank[order] = np.cumsum(np.concatenate([[True], found[1:] != found[:-1]]))
         if width >= longest or rank.max() == n:
-            return order
+            return np.argsort(rank * n + at)
         inside = at + width <= end
         key = rank * (n + 1)
         key[inside] += rank[at[inside] + width]
         width *= 2
 
 
-def merge_transforms(shards: list[tuple[np.ndarray, int]], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges shards' transforms by ``rounds`` refinements of their interleave.
+def merge_transforms(shards: list[tuple[np.ndarray, int]], length: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges shards' transforms by refining their interleave, ``step`` symbols a round, to the first ``length`` symbols (a
+    multiple of ``step``).
 
     shards: (transform, number of strings) each. Gives, for each suffix of all shards in turn, its merged place, and by
-    merged place the block of suffixes alike in ``rounds`` symbols, and the common prefix with the suffix before
-    (``rounds`` if at least that).
+    merged place the block of suffixes alike in ``length`` symbols, and the common prefix with the suffix before
+    (``length`` if at least that; cut down to a multiple of ``step``).
     """
-    symbols = np.concatenate([b for b, _ in shards])
-    n, top = len(symbols), sum(k for _, k in shards)
-    longer, shorter = np.zeros(n, np.int64), np.zeros(n, np.int64)  # by suffix: with the symbol before it, without its first
-    first = np.zeros(n, np.uint8)
+    n, top = sum(len(b) for b, _ in shards), sum(k for _, k in shards)
+    shorter, first = np.arange(n), np.zeros(n, np.uint8)  # by suffix: that without its first symbol, and that symbol
     base = 0
-    for b, k in shards:  # the ends of strings come first
+    for b, k in shards:  # the ends of strings come first, and stay where they are
         inner = np.flatnonzero(b)
         order = np.argsort(b[inner], kind="stable")
         own = np.arange(base + k, base + len(b))
-        longer[base + inner[order]], shorter[own], first[own] = own, base + inner[order], b[inner][order]
+        shorter[own], first[own] = base + inner[order], b[inner][order]
         base += len(b)
-    at = np.argsort(first, kind="stable")
-    fixed, place, spots, slots = at[:top], np.empty(n, np.int64), np.arange(n), np.full(n, -1, np.int64)
+    gram, rest = first.astype(np.uint64), shorter  # the first ``step`` symbols, and the suffix without them
+    for _ in range(step - 1):
+        gram, rest = (gram << np.uint64(8)) | first.take(rest), shorter.take(rest)
+    at = np.argsort(gram, kind="stable")
+    place, spots = np.empty(n, np.int64), np.arange(n)
+    place[at] = spots
     new = np.ones(n + 1, bool)
-    new[top + 1 : n] = first[at][top + 1 :] != first[at][top:-1]
+    new[top + 1 : n] = gram[at][top + 1 :] != gram[at][top:-1]
+    begun = np.maximum.accumulate(np.where(new[:n], spots, 0))  # where the block of a place begins
     prefix = (~new[:n]).astype(np.int16)  # rounds without a boundary
-    known = False  # whether ``place`` is that of ``at``
-    for _ in range(1, rounds):
-        active = np.flatnonzero(~(new[:n] & new[1:]))
+    active = spots  # places whose blocks have several suffixes
+    for _ in range(1, length // step):
+        active = active[~(new.take(active) & new.take(active + 1))]
         if not len(active):
             break
-        begun = np.maximum.accumulate(np.where(new[:n], spots, 0))
-        if 2 * len(active) > n:  # all suffixes move: one counting sort by the symbol before
-            merged = symbols[at]
-            order = np.argsort(merged, kind="stable")[top:]
-            symbol, came = merged[order], begun.take(order)
-            at = np.concatenate([fixed, longer.take(at.take(order))])
-            new[top + 1 : n] |= (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
-            known = False
-        else:  # two counting sorts of those that move: by the place of the shorter suffix, then by block
-            if not known:
-                place[at], known = spots, True
-            moved, parted = at.take(active), new.take(active)
-            came = place.take(shorter.take(moved))
-            slots[came] = np.arange(len(active))
-            order = slots[slots >= 0]
-            slots[came] = -1
-            block = (np.cumsum(parted) - 1).take(order)
-            order = order.take(np.argsort(block.astype(np.uint16) if int(block.max()) < 1 << 16 else block, kind="stable"))
-            moved, came = moved.take(order), begun.take(came.take(order))
-            at[active], place[moved] = moved, active
-            parted[1:] |= came[1:] != came[:-1]
-            new[active] = parted
-        prefix += ~new[:n]
-    place[at] = spots
-    return place, np.cumsum(new[:n]) - 1, prefix
+        moved, parted = at.take(active), new.take(active)
+        came = place.take(rest.take(moved))
+        order = np.argsort(begun.take(active) * n + came)
+        moved, came = moved.take(order), begun.take(came.take(order))
+        at[active], place[moved] = moved, active
+        parted[1:] |= came[1:] != came[:-1]
+        new[active] = parted
+        begun[active] = np.maximum.accumulate(np.where(parted, active, 0))
+        prefix[active] += ~parted
+    return place, np.cumsum(new[:n]) - 1, prefix * np.int16(step)
 
 
 def repeated(strings: list[np.ndarray], doc: np.ndarray, start: np.ndarray, several: np.ndarray) -> tuple[tuple, tuple]:
@@ -229,7 +220,7 @@ def repeated(strings: list[np.ndarray], doc: np.ndarray, start: np.ndarray, seve
         before = np.where(np.isin(order + lo, begin[a:b]), 0, text[lo:hi][order - 1])
         shards.append((before.astype(np.uint8), b - a))
         arrays.append(order + lo)
-    place, block, _ = merge_transforms(shards, LENGTH)
+    place, block, _ = merge_transforms(shards, LENGTH, STEP)
     where = np.empty(len(text), np.int64)
     where[place] = np.concatenate(arrays)
     own = owner[where]
