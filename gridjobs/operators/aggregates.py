@@ -84,9 +84,12 @@ def composite(pixels: DataFrame, value: str) -> DataFrame:
 
 
 def best_pixel(pixels: DataFrame, index: str, bands: list[str], tie: str) -> DataFrame:
-    """All bands of the pixel with the greatest index at each x, y; of equals, the one with the smallest ``tie``."""
-    best = F.max_by(F.struct(index, *bands, tie), F.struct(F.col(index), -F.col(tie)))
-    return pixels.groupBy("x", "y").agg(best.alias("b")).select("x", "y", "b.*")
+    """All bands of the pixel with the greatest index at each x, y; of equals, the one with the smallest ``tie``. Nulls come last.
+    First by index, then over these: single columns are aggregated by hash, while one struct of them has all pixels sorted."""
+    first = lambda c: F.when(F.min(tie).isNull(), F.first(c)).otherwise(F.min_by(c, tie)).alias(c)
+    each = pixels.groupBy("x", "y", index).agg(*map(first, bands), F.min(tie).alias(tie))
+    best = lambda c: F.when(F.max(index).isNull(), F.first(c)).otherwise(F.max_by(c, index)).alias(c)
+    return each.groupBy("x", "y").agg(F.max(index).alias(index), *map(best, [*bands, tie]))
 
 
 def compact(tiles: DataFrame, z: int) -> DataFrame:
