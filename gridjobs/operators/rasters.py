@@ -11,6 +11,7 @@ have no pixels; rows without ring have none. A zone without pixels does not appe
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,17 @@ from pyspark.sql import functions as F
 from . import scans
 
 
+#: Values of blocks that one task takes, about.
+TASK_VALUES = 1 << 20
+
+
+def dealt(blocks: DataFrame, values: int, *keys: str) -> DataFrame:
+    """``blocks`` of so many values each, dealt by ``keys`` over as many tasks as the values ask for. Where blocks are read, one
+    small file may hold millions, and groups within blocks are nearly as many as values; dealt before the values are taken out,
+    groups by the keys and more stay in their task without another shuffle, and a task's memory is that of TASK_VALUES."""
+    return blocks.repartition(max(1, math.ceil(blocks.count() * values / TASK_VALUES)), *keys)
+
+
 @dataclass(frozen=True)
 class Grid:
     """Corner and size of pixels in degrees, and how many columns and rows a block has."""
@@ -74,6 +86,7 @@ def statistics(counts: DataFrame, keys: list[str], kept: Column | None = None) -
 
 def coarsen(blocks: DataFrame, grid: Grid, n: int, by: tuple[str, ...] = ()) -> DataFrame:
     """bx, by, x, y (of n by n pixels, within the block), top, mean and count of their values; n divides the block's sides."""
-    each = blocks.select("bx", "by", *by, F.posexplode("v").alias("i", "value")).where("value is not null")
+    held = dealt(blocks.select("bx", "by", *by, "v"), grid.width * grid.height, "bx", "by", *by)
+    each = held.select("bx", "by", *by, F.posexplode("v").alias("i", "value")).where("value is not null")
     x, y = F.floor((F.col("i") % grid.width) / n).cast("int"), F.floor(F.floor(F.col("i") / grid.width) / n).cast("int")
     return each.groupBy("bx", "by", *by, x.alias("x"), y.alias("y")).agg(F.max("value").alias("top"), F.avg("value").alias("mean"), F.count(F.lit(1)).alias("count"))

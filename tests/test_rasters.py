@@ -2,7 +2,10 @@
 
 import random
 
-from gridjobs.operators import aggregates
+from pyspark.sql import functions as F
+
+from gridjobs.operators import aggregates, rasters
+from gridjobs.plans import registry
 
 R = random.Random(5)
 
@@ -21,3 +24,28 @@ def test_best_pixel_without_sorting_pixels(spark):
     assert {tuple(r)[:2]: tuple(r) for r in out.collect()} == {k: r for k, (_, r) in best.items()}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def exchanges(df):
+    """Shuffles of a plan that has not run."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_coarsened_blocks_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rasters, "TASK_VALUES", 64 * 50)
+    grid = rasters.Grid(west=0.0, north=0.0, dx=1.0, dy=1.0, width=8, height=8)
+    blocks = [(i % 20, i // 20 % 10, i // 400, [R.choice([None, R.randrange(50)]) for _ in range(64)]) for i in range(1000)] + [(3, 3, 1, [i] * 64) for i in range(9)] + [(None, 1, None, [1] * 64), (1, 1, 1, None)]
+    want = {}
+    for bx, by, layer, v in blocks:
+        for i, x in enumerate(v or []):
+            if x is not None:
+                want.setdefault((bx, by, layer, i % 8 // 2, i // 8 // 2), []).append(x)
+    out = rasters.coarsen(spark.createDataFrame(blocks, "bx long, by long, layer long, v array<int>").coalesce(1), grid, 2, ("layer",))
+    assert exchanges(out) == 1
+    got = {tuple(r)[:5]: tuple(r)[5:] for r in out.collect()}
+    assert got == {k: (max(v), sum(v) / len(v), len(v)) for k, v in want.items()}
+    assert len(got) > 6000 and largest_task(out) < 16 * 120
