@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import rasters
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -57,7 +59,7 @@ class Tables:
     @property
     def pixels(self) -> DataFrame:
         """A raster block of 64 values for each part, as pixel rows without nodata."""
-        blocks = self.part.select("p_partkey", F.expr("transform(sequence(0, 63), j -> (p_partkey * j) % 11)").alias("v"))
+        blocks = rasters.dealt(self.part.select("p_partkey"), 64, "p_partkey").select("p_partkey", F.expr("transform(sequence(0, 63), j -> (p_partkey * j) % 11)").alias("v"))
         return blocks.select("p_partkey", F.posexplode("v").alias("i", "data")).where("data <> 0").withColumn("x", F.expr("i % 8")).withColumn("y", F.expr("i div 8"))
 
 

@@ -49,3 +49,22 @@ def test_coarsened_blocks_in_bounded_tasks(spark, monkeypatch):
     got = {tuple(r)[:5]: tuple(r)[5:] for r in out.collect()}
     assert got == {k: (max(v), sum(v) / len(v), len(v)) for k, v in want.items()}
     assert len(got) > 6000 and largest_task(out) < 16 * 120
+
+
+def parts(spark, tmp_path, n):
+    spark.range(n).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_pixels_of_one_file_in_bounded_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(rasters, "TASK_VALUES", 64 * 50)
+    out = registry.QUERIES["A26_coarsen"](spark, parts(spark, tmp_path, 1000))
+    assert exchanges(out) == 1
+    want = {}
+    for p in range(1000):
+        for i in range(64):
+            if p * i % 11:
+                at = (p, i % 8 // 2, i // 8 // 2)
+                want[at] = max(want.get(at, 0), p * i % 11)
+    assert {tuple(r)[:3]: r["top"] for r in out.collect()} == want
+    assert largest_task(out) < 16 * 120
