@@ -68,3 +68,16 @@ def test_pixels_of_one_file_in_bounded_tasks(spark, monkeypatch, tmp_path):
                 want[at] = max(want.get(at, 0), p * i % 11)
     assert {tuple(r)[:3]: r["top"] for r in out.collect()} == want
     assert largest_task(out) < 16 * 120
+
+
+def test_classes_of_one_file_in_bounded_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(rasters, "TASK_VALUES", 64 * 50)
+    out = registry.QUERIES["A24_zonal_classes"](spark, parts(spark, tmp_path, 1000))
+    assert exchanges(out) == 1
+    want = {}
+    for p in range(1000):
+        each = [p * i % 11 for i in range(64) if p * i % 11]
+        if each:
+            want[p] = ",".join(f"{c}:{each.count(c)}" for c in sorted(set(each)))
+    assert {r["p_partkey"]: r["classes"] for r in out.collect()} == want
+    assert largest_task(out) < 120
