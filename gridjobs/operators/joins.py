@@ -204,31 +204,37 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, other: str, metres
     return left.join(every, ["lng", "lat"]).select(*left.columns, *right.columns, "distance", "rank")
 
 
-def within_reach(rows: DataFrame, others: DataFrame, key: str, metres: float) -> DataFrame:
-    """Keys of ``rows`` (key, r_lng, r_lat) that have one of ``others`` (lng, lat) at most ``metres`` away. No pairs are made:
-    rows in a square of half that size with one of the others are done, and the rest ends at its first hit."""
-    places = others.select("lng", "lat").distinct()
+def _reached(spots: DataFrame, places: DataFrame, metres: float) -> DataFrame:
+    """The different ``spots`` (r_lng, r_lat) that have one of the different ``places`` (lng, lat) at most ``metres`` away. No pairs
+    are made: spots in a square of half that size with one of the places are done, and the rest ends at its first hit."""
     half = Bands(metres / 2)
     fine = lambda df, lng, lat: df.withColumn("band", half.band(lat)).withColumn("slot", F.floor((F.col(lng) + 180.0) / 360.0 * F.ceil(360.0 / half.high * F.cos(F.radians(F.least(F.abs(F.col("band") * half.high - 90.0), F.abs((F.col("band") + 1) * half.high - 90.0)))))))
     squares = fine(places, "lng", "lat").select("band", "slot").distinct()
-    sure = fine(rows, "r_lng", "r_lat").join(squares, ["band", "slot"], "left_semi").select(key).distinct()
+    sure = fine(spots, "r_lng", "r_lat").join(squares, ["band", "slot"], "left_semi").select("r_lng", "r_lat")
     bands = Bands(metres)
-    asked = bands.asked(rows.join(sure, key, "left_anti").select(key, "r_lng", "r_lat"), "r_lng", "r_lat").withColumnsRenamed({"band": "a_band", "slot": "a_slot"})
+    asked = bands.asked(spots.join(sure, ["r_lng", "r_lat"], "left_anti"), "r_lng", "r_lat").withColumnsRenamed({"band": "a_band", "slot": "a_slot"})
     stored = bands.stored(places, "lng", "lat")
     near = (F.col("a_band") == F.col("band")) & (F.col("a_slot") == F.col("slot")) & (geo.haversine_m("lng", "lat", "r_lng", "r_lat") <= metres)
-    return sure.unionByName(asked.join(stored, near, "left_semi").select(key).distinct())
+    return sure.unionByName(asked.join(stored, near, "left_semi").select("r_lng", "r_lat").distinct())
+
+
+def within_reach(rows: DataFrame, others: DataFrame, key: str, metres: float) -> DataFrame:
+    """Keys of ``rows`` (key, r_lng, r_lat) that have one of ``others`` (lng, lat) at most ``metres`` away. Rows of one place have
+    the same answer and are met once."""
+    met = _reached(rows.select("r_lng", "r_lat").distinct(), others.select("lng", "lat").distinct(), metres)
+    return rows.join(met, ["r_lng", "r_lat"], "left_semi").select(key).distinct()
 
 
 def best_ring(rows: DataFrame, others: DataFrame, key: str, rings: list[tuple[float, int]]) -> DataFrame:
     """key and score of ``rows`` that are within a distance of one of ``others``: the score of the smallest such distance.
-    ``rings`` are distances, ascending, and scores; only rows that no smaller ring holds go on to the next."""
-    out, rest = None, rows
-    for metres, score in rings:
-        hit = within_reach(rest, others, key, metres)
-        scored = hit.withColumn("score", F.lit(score))
+    ``rings`` are distances, ascending, and scores; only places of rows that no smaller ring holds go on to the next."""
+    out, rest, places = None, rows.select("r_lng", "r_lat").distinct(), others.select("lng", "lat").distinct()
+    for at, (metres, score) in enumerate(rings):
+        hit = _reached(rest, places, metres)
+        scored = hit.withColumn("ring", F.lit(at)).withColumn("score", F.lit(score))
         out = scored if out is None else out.unionByName(scored)
-        rest = rest.join(hit, key, "left_anti")
-    return out
+        rest = rest.join(hit, ["r_lng", "r_lat"], "left_anti")
+    return rows.select(key, "r_lng", "r_lat").join(out, ["r_lng", "r_lat"]).groupBy(key).agg(F.min_by("score", "ring").alias("score"))
 
 
 def prefix_join(addresses: DataFrame, blocks: DataFrame, lengths: list[int]) -> DataFrame:
