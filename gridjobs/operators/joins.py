@@ -159,14 +159,35 @@ class Bands:
         return around.withColumn("slot", F.explode(F.array_distinct(near)))
 
 
-def distance_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs at most ``metres`` apart with ``distance``; left has lng, lat, right has r_lng, r_lat. An equi-join on band and slot
-    stands before the exact test."""
+def _near(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """distance_join() of rows as they are, best for different places."""
     bands = Bands(metres)
     met = bands.asked(left, "lng", "lat").join(bands.stored(right, "r_lng", "r_lat"), ["band", "slot"]).drop("band", "slot")
     return met.withColumn("distance", geo.haversine_m("lng", "lat", "r_lng", "r_lat")).where(F.col("distance") <= metres)
 
 
+#: Rows of one place that are met as one.
+BUNCH = 64
+
+
+def _bunches(df: DataFrame, lng: str, lat: str, name: str) -> DataFrame:
+    """lng, lat and ``name``: the other columns of each place's rows, in lists of at most BUNCH."""
+    nth = F.row_number().over(Window.partitionBy(lng, lat).orderBy(lng))
+    numbered = df.select(lng, lat, F.struct(*(c for c in df.columns if c not in (lng, lat))).alias("row"), F.floor((nth - 1) / BUNCH).alias("bunch"))
+    return numbered.groupBy(lng, lat, "bunch").agg(F.collect_list("row").alias(name)).drop("bunch")
+
+
+def distance_join(left: DataFrame, right: DataFrame, metres: float, digits: int | None = None) -> DataFrame:
+    """Pairs at most ``metres`` apart with ``distance``, rounded to ``digits`` where they are given; left has lng, lat, right has
+    r_lng, r_lat. An equi-join on band and slot stands before the exact test. Rows of one place go through both in lists
+    of at most BUNCH, so that places are met, not rows; pairs of rows are only made of places that are near."""
+    met = _near(_bunches(left, "lng", "lat", "left rows"), _bunches(right, "r_lng", "r_lat", "right rows"), metres)
+    met = met if digits is None else met.withColumn("distance", F.round("distance", digits))
+    each = met.withColumn("left row", F.explode("left rows")).withColumn("right row", F.explode("right rows"))
+    own = lambda df, row, at: [F.col(c) if c in at else F.col(row).getField(c).alias(c) for c in df.columns]
+    return each.select(*own(left, "left row", ("lng", "lat")), *own(right, "right row", ("r_lng", "r_lat")), "distance")
+
+
 #: Different places in a slot from which on the nearest ones are looked for within a quarter of the distance first.
 CROWD = 2000
 
@@ -182,7 +203,7 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, other: str, metres
     spots = right.withColumn("nth", F.row_number().over(spot)).where(F.col("nth") <= k).drop("nth")
     open_ = left.select("lng", "lat").distinct()
     best = Window.partitionBy("lng", "lat").orderBy("distance", other)
-    ranked = lambda places, far: distance_join(places, spots, far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = lambda places, far: _near(places, spots, far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     slots = Bands(metres).stored(right.select("r_lng", "r_lat").distinct(), "r_lng", "r_lat").groupBy("band", "slot").agg(F.count(F.lit(1)).alias("n"))
     crowd, far, found = slots.agg(F.max("n").alias("n")).first()["n"] or 0, [metres], []
     while crowd > CROWD and far[0] > 1:

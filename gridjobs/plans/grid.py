@@ -259,7 +259,7 @@ def sides(t):
 
 @query("J10_distance_join", f"select event_id, other, round(distance, 2) as distance from {PAIRS} where distance <= 200000")
 def j10(t):
-    return joins.distance_join(*sides(t), 200_000).select("event_id", "other", F.round("distance", 2).alias("distance"))
+    return joins.distance_join(*sides(t), 200_000, digits=2).select("event_id", "other", "distance")
 
 
 @query("J11_nearest_join", f"select event_id, other, rank from (select *, row_number() over (partition by event_id order by distance, other)::int as rank from {PAIRS} where distance <= 400000) where rank <= 3")

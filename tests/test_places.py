@@ -43,3 +43,25 @@ def test_reach_by_places(spark, crowd):
     got = [tuple(r) for r in joins.best_ring(right, left, "other", rings).collect()]
     assert sorted(got, key=repr) == sorted(((k, next(s for m, s in rings if d <= m)) for k, d in near.items() if d <= 900_000), key=repr)
     assert len(looked) == 4 and max(looked) <= len(SPOTS)
+
+
+@pytest.mark.parametrize("bunch", [64, 3])
+def test_pairs_by_places(crowd, monkeypatch, bunch):
+    a, b, left, right, looked = crowd
+    monkeypatch.setattr(joins, "BUNCH", bunch, raising=False)
+    out = joins.distance_join(left.selectExpr("id", "lng", "concat('n', id) as name", "lat"), right, 500_000.0)
+    assert out.columns == ["id", "lng", "name", "lat", "other", "r_lng", "r_lat", "distance"]
+    got = {(r["id"], r["other"]): r for r in out.collect()}
+    want = {(i, k): (*p, *q, far(p, q)) for i, *p in a for k, *q in b if far(p, q) <= 500_000}
+    assert out.count() == len(got) and got.keys() == want.keys()
+    for k, (*at, d) in want.items():
+        r = got[k]
+        assert r["name"] == f"n{k[0]}" and [r["lng"], r["lat"], r["r_lng"], r["r_lat"]] == at and abs(r["distance"] - d) < 1e-3
+    assert max(looked) <= len(a) / bunch + len(SPOTS)
+
+
+def test_rounded_pairs(crowd):
+    _, _, left, right, _ = crowd
+    rough = {(r["id"], r["other"]): r["distance"] for r in joins.distance_join(left, right, 500_000.0, digits=1).collect()}
+    fine = {(r["id"], r["other"]): r["distance"] for r in joins.distance_join(left, right, 500_000.0).collect()}
+    assert rough.keys() == fine.keys() and all(abs(rough[k] - fine[k]) < 0.0501 and abs(rough[k] * 10 - round(rough[k] * 10)) < 1e-6 for k in fine)
