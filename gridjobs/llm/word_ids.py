@@ -37,7 +37,7 @@ class Memory:
         if todo:
             self.young.update(zip(todo, self.learn(todo), strict=True))
         item = 1 if self.young and isinstance(next(iter(self.young.values())), bytes) else 8
-        self.held += sum(self.ENTRY + len(k) + item * len(self.young[k]) for k in new)
+        self.held += self.ENTRY * len(new) + sum(map(len, new)) + item * sum(map(len, map(self.young.__getitem__, new)))
         return self.young.__getitem__
 
 
@@ -76,25 +76,35 @@ class WordIds:
     def learn(self, words: list[str]) -> list[bytes]:
         """Ids of each word. A lower-case word of letters alone ends with the one id that closes a word; another is told
         apart by where its ids start."""
-        out: dict[str, bytes] = {}
-        stems, marked, others = {"."}, [], []
+        # lists side by side, not tuples, which the garbage collector would go through
+        marked, lows, ends, others = [], [], [], []
         for w in words:
-            stem = w[:-1] if w[-1:] in MARKS else w
+            if w.isalpha():
+                stem, end = w, ""
+            elif w[-1:] in MARKS:
+                stem, end = w[:-1], w[-1]
+            else:
+                others.append(w)
+                continue
             low = stem.lower()
-            if stem.isascii() and low.isalpha() or low.isalpha() and low.islower() and "Σ" not in stem and is_normalized("NFC", stem):
-                stems.add(low)
-                marked.append((w, low, w[len(stem) :]))
+            if low.isalpha() and (stem.isascii() or low.islower() and "Σ" not in stem and is_normalized("NFC", stem)):
+                marked.append(w)
+                lows.append(low)
+                ends.append(end)
             else:
                 others.append(w)
-        stems = [*stems - {"."}]
-        known: dict[str, bytes] = {}
+        # a stem may have been a word before
+        stems, young, old = set(lows), self.memory.young, self.memory.old
+        known: dict[str, bytes] = {w: old[w] for w in stems & old.keys()} | {w: young[w] for w in stems & young.keys()}
+        stems = [*stems - known.keys()]
         for line, found in self.lines(stems, fast=True):
             ids = np.array(found.ids, "<u4")
             at = (np.flatnonzero(self.closes[ids]) + 1) * 4
             raw = ids.tobytes()
-            known.update(zip(line, [raw[a:b] for a, b in zip([0, *at.tolist()], at.tolist(), strict=False)], strict=True))
+            at = at.tolist()
+            known.update(zip(line, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
         marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS} | {"": b""}
-        out = {w: known[stem] + marks[mark] for w, stem, mark in marked}
+        out = {w: known[low] + marks[end] if end else known[low] for w, low, end in zip(marked, lows, ends, strict=True)}
         for line, found in self.lines(others, fast=False):
             ids = np.array(found.ids, "<u4")
             starts = np.array([a for a, _ in found.offsets], np.int64)
