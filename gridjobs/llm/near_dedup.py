@@ -6,7 +6,8 @@ document to the child named by its token there; a child with more than SMALL doc
 and branches again. Two documents of exactly the threshold's similarity are expected to share one child at every
 branching, so each tree finds them with a probability of about 0.3 at the deepest level and far more near the root, and
 all trees together with about 0.9999. Small children are compared exhaustively by eight-bit sketches of the tokens;
-bitmaps of the sets rule out most pairs that pass but are less alike, and the rest are confirmed on full sets.
+bitmaps of the sets rule out most pairs that pass but are less alike, and the rest are confirmed on full sets. Where more
+pairs pass than a child has members, as in a family of documents not alike enough, bitmaps are looked at within the task.
 
 Skew: documents with one set are one class before anything else. A first round over CONTRACTING coordinates only links
 each class with the best partner of its child, or with the best of a large child's PIVOTS, which merges big groups of
@@ -24,6 +25,7 @@ least doc_id. A text of any length counts whole; an empty table gives no rows; o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ DEPTH = 4
 SMALL = 128
 CONTRACTING = 6
 PIVOTS = 8
-BLOCK = 512
+BLOCK = 1024
 BITS = 2048  # of the bitmap of a set
+MOST_BITS = 1 << 17  # of a bitmap that is as long as its set asks for
+CROWDED = 2  # passing pairs for each member of a child beyond which they are looked at by bitmaps before they leave it
 WITHIN = 2  # the side of members that meet all of their group
 PASSED = 36  # of COORDINATES equal sketch bytes: at a similarity of 0.8, fewer has a probability of 4e-6
 _r = np.random.default_rng(1)
@@ -150,60 +154,160 @@ def child(coordinate: int) -> Column:
     return F.xxhash64(F.lit(coordinate), F.col("tokens")[coordinate])
 
 
-def _whole_groups(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """node, cid, component, side and sketches of sorted rows, cut between nodes."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _whole_groups(stream: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted rows, cut between nodes; sketches are rows of a matrix, bitmaps bytes."""
+
+    def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        now = {c: np.asarray(batch.column(c)) for c in batch.schema.names if c not in ("sketch", "bits")}
+        data, starts, _ = views(batch.column("sketch"))
+        now["sketch"] = data[starts[0] : starts[0] + batch.num_rows * COORDINATES].reshape(-1, COORDINATES)
+        if "bits" in batch.schema.names:
+            now["bits"] = np.array([*batch.column("bits").to_pylist(), None], object)[:-1]  # bytes stay objects
+        return now
+
+    held: list[dict[str, np.ndarray]] = []
     for batch in stream:
         if not batch.num_rows:
             continue
-        data, starts, _ = views(batch.column("sketch"))
-        side = np.asarray(batch.column("side")) if "side" in batch.schema.names else np.full(batch.num_rows, WITHIN, np.int32)
-        now = (np.asarray(batch.column("node")), np.asarray(batch.column("cid")), np.asarray(batch.column("component")), side, data[starts[0] : starts[0] + batch.num_rows * COORDINATES].reshape(-1, COORDINATES))
+        now = arrays(batch)
         held.append(now)
-        if now[0][-1] == held[0][0][0]:
+        if now["node"][-1] == held[0]["node"][0]:
             continue
-        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-        cut = int(len(whole[0]) - np.argmax(whole[0][::-1] != whole[0][-1]))
-        yield tuple(x[:cut] for x in whole)
-        held = [tuple(x[cut:] for x in whole)]
+        whole = {c: np.concatenate([x[c] for x in held]) for c in now}
+        node = whole["node"]
+        cut = int(len(node) - np.argmax(node[::-1] != node[-1]))
+        yield {c: x[:cut] for c, x in whole.items()}
+        held = [{c: x[cut:] for c, x in whole.items()}]
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+
+
+def _alike(node: np.ndarray, component: np.ndarray, sketch: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i and j of one node whose sketches pass, of different components, and how many bytes are equal. With ``side``, of
+    different sides, or both WITHIN."""
+    first = np.arange(len(node))
+    for d in range(1, len(node)):
+        first = first[: np.searchsorted(first, len(node) - d)]
+        first = first[node[first] == node[first + d]]
+        if not len(first):
+            break
+        i = first[component[first] != component[first + d]]
+        if side is not None:
+            i = i[(side[i] != side[i + d]) | (side[i] == WITHIN)]
+        same = np.concatenate([(sketch[x] == sketch[x + d]).sum(axis=1) for x in np.array_split(i, max(1, len(i) >> 16))])
+        ok = same >= PASSED
+        yield i[ok], i[ok] + d, same[ok]
 
 
 def compare_children(members: DataFrame, best_only: bool) -> DataFrame:
     """Pairs (a, b) within small children whose sketches pass, of different components; for the first round each
-    member's best partner only. With a column ``side``, of different sides, or both WITHIN."""
-    sides = [c for c in members.columns if c == "side"]
+    member's best partner only. Else a child with more than CROWDED passing pairs for each member gives its members, as a and
+    ``node`` without b, in place of the pairs: those are for compare_bitmaps()."""
+    names = ["a", "b"] if best_only else ["a", "b", "node"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, cid, component, side, sketch in _whole_groups(stream):
-            left, right, seen = [], [], []
-            first = np.arange(len(node))
-            for d in range(1, len(node)):
-                first = first[: np.searchsorted(first, len(node) - d)]
-                first = first[node[first] == node[first + d]]
-                if not len(first):
-                    break
-                meet = (side[first] != side[first + d]) | (side[first] == WITHIN)
-                i = first[meet & (component[first] != component[first + d])]
-                same = np.concatenate([(sketch[x] == sketch[x + d]).sum(axis=1) for x in np.array_split(i, max(1, len(i) >> 16))])
-                ok = same >= PASSED
-                left.append(i[ok])
-                right.append(i[ok] + d)
-                seen.append(same[ok])
-            if not left:
+        for group in _whole_groups(stream):
+            node, cid = group["node"], group["cid"]
+            found = list(_alike(node, group["component"], group["sketch"]))
+            if not found:
                 continue
-            left, right, seen = map(np.concatenate, (left, right, seen))
+            left, right, seen = map(np.concatenate, zip(*found, strict=True))
             if best_only:
                 who, partner, score = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([seen, seen])
                 order = np.lexsort((cid[partner], -score, who))
                 keep = order[np.concatenate([[True], who[order][1:] != who[order][:-1]])] if len(order) else order
                 left, right = who[keep], partner[keep]
+            else:
+                of = np.cumsum(np.concatenate([[0], node[1:] != node[:-1]]))
+                crowded = np.bincount(of[left], minlength=of[-1] + 1) > CROWDED * np.bincount(of)
+                few, there = ~crowded[of[left]], crowded[of]
+                left, right = left[few], right[few]
+                if there.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[there]), pa.nulls(int(there.sum()), pa.int64()), pa.array(node[there])], names)
             a, b = cid[left], cid[right]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())][: len(names)], names)
+
+    placed = members.select("node", "cid", "component", "sketch").repartition("node").sortWithinPartitions("node")
+    return placed.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
+
+
+class Bitmaps:
+    """Bitmaps of sets, 8 bits or more for each member, up to MOST_BITS. The bit of a member in half the bits is that of its hash
+    with one bit less, so the wider of two maps is folded."""
+
+    def __init__(self, size: np.ndarray, bits: np.ndarray):
+        self.size = size
+        self.words = np.fromiter((len(x) // 8 for x in bits), np.int64, len(bits))
+        self.at = np.zeros(len(bits), np.int64)
+        self.maps, self.folded = {}, {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.at[own] = np.arange(len(own))
+            self.maps[w] = np.frombuffer(b"".join(bits[own]), np.uint64).reshape(-1, w)
+            self.folded[w // 2] = self.maps[w][:, : w // 2] | self.maps[w][:, w // 2 :]
+
+    @staticmethod
+    def of(members: np.ndarray) -> bytes:
+        """The bitmap of a set of hashes."""
+        bits = np.zeros(min(MOST_BITS, max(512, 1 << (8 * len(members) - 1).bit_length())), bool)
+        bits[members & np.uint64(len(bits) - 1)] = True
+        return np.packbits(bits).tobytes()
 
-    placed = members.select("node", "cid", "component", "sketch", *sides).repartition("node").sortWithinPartitions("node")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    def rows(self, of: np.ndarray, words: int) -> np.ndarray:
+        """The maps of some sets in so many words, which is what they have or half of that."""
+        out = np.empty((len(of), words), np.uint64)
+        own = self.words[of] == words
+        for here, maps in ((own, self.maps), (~own, self.folded)):
+            if here.any():
+                out[here] = maps[words][self.at[of[here]]]
+        return out
+
+    def possible(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether maps and sizes leave the similarity possible: each bit that only one set has stands for a member that the
+        other lacks."""
+        m, n = self.size[i], self.size[j]
+        ok = np.minimum(m, n) * 100 >= np.maximum(m, n) * percent
+        words = np.minimum(self.words[i], self.words[j])
+        ok &= np.maximum(self.words[i], self.words[j]) <= 2 * words  # sizes so near differ by one fold at most
+        for w in np.unique(words[ok]).tolist():
+            of = np.flatnonzero(ok & (words == w))
+            for k in np.array_split(of, max(1, len(of) * w >> 18)):
+                x, y = self.rows(i[k], w), self.rows(j[k], w)
+                both = np.minimum(m[k] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[k] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                ok[k] = both * 100 >= (m[k] + n[k] - both) * percent
+        return ok
+
+
+def compare_bitmaps(docs: DataFrame, known: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose sketches pass and whose bitmaps leave the similarity possible, within the
+    nodes of ``placed`` (node, cid, side): of crowded children, where pairs of less likeness would grow with the square of a
+    family. Bitmaps are made for their members only, and pairs ruled out do not leave the task."""
+
+    def mapped(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for a, b, block in blocks(batch.column("text"), lower=True):
+                sets = shingles(block, words)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([Bitmaps.of(s) for s in sets], pa.binary())], ["cid", "size", "bits"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(stream):
+            cid, maps = group["cid"], Bitmaps(group["size"], group["bits"])
+            for i, j, _ in _alike(group["node"], group["component"], group["sketch"], group["side"]):
+                ok = maps.possible(i, j, percent)
+                a, b = cid[i[ok]], cid[j[ok]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    placed = materialize(placed, "placed")
+    used = materialize(placed.select("cid").distinct(), "used")
+    few = maybe_broadcast(used, width=16)
+    texts = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("cid"), "left_semi")
+    maps = texts.mapInArrow(mapped, "cid long, size long, bits binary").dropDuplicates(["cid"])
+    maps = materialize(known.select("cid", "component", "sketch").join(few, "cid", "left_semi").join(maps, "cid"), "maps")
+    met = placed.join(maps, "cid").select("node", "cid", "component", "side", "sketch", "size", "bits")
+    found = materialize(met.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct(), "pairs")
+    release(placed, used, maps)
+    return found
 
 
 def compare_pivots(members: DataFrame, big: DataFrame, classes: DataFrame) -> DataFrame:
@@ -238,10 +342,10 @@ def compare_pivots(members: DataFrame, big: DataFrame, classes: DataFrame) -> Da
 
 
 def blockwise(members: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Passing pairs of different components within the children ``mixed``, in blocks of about BLOCK members against BLOCK;
+    """node, cid and side of the members of the children ``mixed``, in blocks of about BLOCK members against BLOCK, each a node;
     the members of a child's main component, that with most of it, meet the others only, not one another."""
     n = mixed.count()
-    within = members.select("node", "cid", "component", "sketch").join(maybe_broadcast(mixed.select("node"), n, width=16), "node")
+    within = members.select("node", "cid", "component").join(maybe_broadcast(mixed.select("node"), n, width=16), "node")
     counts = within.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
     shape = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
     blocks = lambda of: F.ceil(of / BLOCK).cast("int")
@@ -253,11 +357,10 @@ def blockwise(members: DataFrame, mixed: DataFrame) -> DataFrame:
     rest = F.transform(others, lambda k: F.struct(F.lit(0).alias("kind"), F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), F.when(k == F.col("block"), WITHIN).otherwise((k < F.col("block")).cast("int")).alias("side")))
     to_main = F.transform(F.expr("sequence(0, mains - 1)"), lambda k: F.struct(F.lit(1).alias("kind"), F.col("block").alias("i"), k.alias("j"), F.lit(0).alias("side")))
     of_main = F.transform(others, lambda k: F.struct(F.lit(1).alias("kind"), k.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
-    met = placed.select("node", "cid", "component", "sketch", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(rest, to_main))).alias("x"))
-    met = met.select(F.xxhash64("node", "x.kind", "x.i", "x.j").alias("node"), "cid", "component", "sketch", "x.side")
-    found = materialize(compare_children(met, best_only=False), "pairs")
+    met = placed.select("node", "cid", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(rest, to_main))).alias("x"))
+    met = materialize(met.select(F.xxhash64("node", "x.kind", "x.i", "x.j").alias("node"), "cid", "x.side"), "blocks")
     release(shape)
-    return found
+    return met
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -303,17 +406,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     known = materialize(classes.drop("k1", "k2").join(merged.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "known")
 
     # then all trees, level by level, for links between components
-    level, found, stored = members(known, coordinates), [], []
+    level, found, placed, stored = members(known, coordinates), [], [], []
     for depth in range(1, DEPTH + 1):
         big = large(level)
         stored.append(big)
         small = level.join(maybe_broadcast(big.select("node"), width=16), "node", "left_anti")
         found.append(materialize(compare_children(small, best_only=False), "pairs"))
+        placed.append(found[-1].where("node is not null").select("node", F.col("a").alias("cid"), F.lit(WITHIN).alias("side")))
         mixed = big.where("lo < hi")
         if not mixed.limit(1).count():
             break
         if depth == DEPTH:
-            found.append(blockwise(level, mixed))
+            stored.append(blockwise(level, mixed))
+            placed.append(stored[-1])
             break
         picked = mixed.select("node", F.col("node").alias("own"), "coordinate")
         if depth == 1:  # from here on trees differ
@@ -325,10 +430,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         below = level.drop("coordinate").join(maybe_broadcast(picked), "node")
         level = materialize(below.withColumn("node", F.expr("xxhash64(own, coordinate, tokens[coordinate])")).drop("own"), "level")
         stored.append(level)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = materialize(pairs.distinct(), "pairs")
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    stored.append(compare_bitmaps(docs, known, union(placed), words, percent))
+    pairs = [*(x.where("node is null").select("a", "b") for x in found), stored[-1]]
+    pairs = materialize(union(pairs).distinct(), "pairs")
     new = confirm(docs, pairs, words, percent)
     release(pairs, *found, *stored)
     whole = connected_components(links.unionByName(new)) if new.limit(1).count() else merged

@@ -146,6 +146,41 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     assert [found[i]["component_id"] for i in range(len(texts))] == name
 
 
+def test_family_below_the_similarity_sends_few_pairs(spark, monkeypatch):
+    """Documents of about 0.71, few of which are linked, whose sketches nearly all pass: pairs do not leave their children; short
+    sets and such as fill a bitmap of fixed size."""
+    sent, confirm = [], near_dedup.confirm
+    monkeypatch.setattr(near_dedup, "confirm", lambda docs, pairs, words, percent: sent.append(pairs.count()) or confirm(docs, pairs, words, percent))
+    r = random.Random(5)
+    for count, size, changed in ((400, 200, 9), (200, 3000, 135)):
+        base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        texts = []
+        for i in range(count):
+            words = base[:]
+            for k in r.sample(range(size), changed):
+                words[k] = f"x{i}_{k}"
+            texts.append(" ".join(words))
+        texts.append(texts[0] + " tail")
+        sent.clear()
+        found = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2).collect()
+        assert sum(sent) <= 4 * count  # of count * (count - 1) / 2
+        _, name = brute_components(texts, 2, 80)
+        assert {x["doc_id"]: x["component_id"] for x in found} == dict(enumerate(name))
+
+
+def test_bitmaps_of_two_widths_rule_out_no_similar_pair():
+    r = np.random.default_rng(6)
+    sets = []
+    for n in (1, 40, 63, 66, 500, 520, 20_000):
+        base = r.integers(0, 1 << 63, n, np.uint64)
+        sets += [base, np.concatenate([base[n // 10 :], r.integers(0, 1 << 63, n // 20, np.uint64)]), np.concatenate([base, r.integers(0, 1 << 63, n // 4, np.uint64)])]
+    maps = near_dedup.Bitmaps(np.array([len(s) for s in sets]), np.array([*map(near_dedup.Bitmaps.of, sets), None], object)[:-1])
+    i, j = np.triu_indices(len(sets), 1)
+    left = set(zip(*(x[maps.possible(i, j, 80)].tolist() for x in (i, j)), strict=True))
+    alike = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert alike and alike <= left and len(left) <= len(alike) + 8
+
+
 def test_bitmaps_rule_out_no_link(spark):
     texts = [" ".join(R.choice(WORDS) for _ in range(120))]
     for k in range(0, 60, 3):
