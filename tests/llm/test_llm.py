@@ -368,6 +368,22 @@ def test_lines_across_signature_kinds(spark):
     assert sum(r["n_removed"] for r in found.values()) >= expected - 2  # found with high probability
 
 
+def test_lines_have_one_row_of_bands(spark):
+    """A class of lines is one row with all its bands, those of minima over each bin; only bands of several classes are kept."""
+    rows = ["".join(R.choice("abcdef ") for _ in range(n)).strip() + "." for n in (1, 5, 9, 40, 200, 900)]
+    rows += [rows[4], rows[5][:-3] + "xyz", "\u00e9\u4e2d\U0001f600 " * 9]
+    each = line_dedup.lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    found = {(r["k1"], r["k2"]): r for r in line_dedup.signatures(each).collect()}
+    assert len(found) == len(set(rows)) and sorted(r["copies"] for r in found.values())[-2:] == [1, 2]
+    at = line_dedup.shingled(each, "k1", "k2")
+    plain = at.selectExpr("k1", "k2", "int(h & 7) as bin", *[f"int(shiftrightunsigned(h, {s}) & 2147483647) as v{r}" for r, s in enumerate(line_dedup.ORDERS)]).groupBy("k1", "k2", "bin").min("v0", "v1", "v2")
+    plain = plain.selectExpr("k1", "k2", "bin", "xxhash64(bin, `min(v0)`, `min(v1)`, `min(v2)`) as band").collect()
+    assert sorted((*k, b, x) for k, r in found.items() for b, x in enumerate(r["bands"]) if x is not None) == sorted(tuple(r) for r in plain)
+    sizes = {r["band"]: r["size"] for r in line_dedup.shared(line_dedup.signatures(each)).collect()}
+    counts = {b: sum(r["band"] == b for r in plain) for b in {r["band"] for r in plain}}
+    assert sizes == {b: n for b, n in counts.items() if n > 1} and sizes
+
+
 @pytest.mark.parametrize("crowded", [20_000, 0])
 def test_lines_of_templates(spark, monkeypatch, crowded):
     """Lines alike below the similarity share buckets with their true partners; also with salts and small blocks."""
